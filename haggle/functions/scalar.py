@@ -109,7 +109,10 @@ def zoned(c: Column) -> Column:
 
 
 def seconds_between(start: Column, end: Column) -> Column:
-    return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(1e6)
+    def micros(c: Column) -> Column:
+        return F.unix_micros(c.cast("timestamp"))
+
+    return (micros(end) - micros(start)) / F.lit(1e6)
 
 
 def days_between(start: Column, end: Column) -> Column:

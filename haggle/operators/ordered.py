@@ -55,10 +55,15 @@ class Grouped:
         return Window.partitionBy(*self.parts).orderBy(*self.order)
 
 
-def grouped(df: DataFrame, keys: list[str], order: list[str]) -> Grouped:
+def grouped(df: DataFrame, keys: list[str], order: list[str], probe: DataFrame | None = None) -> Grouped:
     """Find hot groups and segment them on the first order column. Equal values
-    of that column stay in one segment, so the full order decides ties."""
-    hot = hot_groups(df, keys)
+    of that column stay in one segment, so the full order decides ties.
+
+    `probe` is a cheaper frame to look for hot groups in, for instance the scan
+    that df was joined from. It holds some of the keys, with one row or more per
+    row of df; a group of all keys is never larger than its group of some."""
+    by = [k for k in keys if k in probe.columns] if probe is not None else keys
+    hot = hot_groups(df if probe is None else probe, by)
     if not hot:
         return Grouped(df, keys, order, False)
     limit = hot_limit(df)
@@ -66,8 +71,9 @@ def grouped(df: DataFrame, keys: list[str], order: list[str]) -> Grouped:
     steps = [i / pieces for i in range(1, pieces)]
     lead_col = order[0]
     kind = df.schema[lead_col].dataType.simpleString()
-    code = F.unix_micros(lead_col) if kind == "timestamp" else F.col(lead_col).cast("double")
-    coded = df.withColumn("_h", F.xxhash64(*keys)).withColumn("_o", code)
+    timed = kind in ("timestamp", "timestamp_ntz", "date")
+    code = F.unix_micros(F.col(lead_col).cast("timestamp")) if timed else F.col(lead_col).cast("double")
+    coded = df.withColumn("_h", F.xxhash64(*by)).withColumn("_o", code)
     cuts = (
         coded.filter(F.col("_h").isin(list(hot)))
         .groupBy("_h")

@@ -32,11 +32,12 @@ def _flag(cond: Column) -> Column:
     return F.max(F.when(cond, 1).otherwise(0))
 
 
-def thread_flags(turns: DataFrame, ordinal: list[str], tie_order: str = "ordinal") -> DataFrame:
+def thread_flags(turns: DataFrame, ordinal: list[str], tie_order: str = "ordinal",
+                 probe: DataFrame | None = None) -> DataFrame:
     """Restriction flags per (listing, buyer). One shuffle by thread: the window
     that looks at the next turn and the aggregate share the partitioning."""
     order = turn_order(tie_order, ordinal)
-    g = grouped(turns, THREAD, order)
+    g = grouped(turns, THREAD, order, probe)
     df = with_next(g, {"_next_type": "offer_type", "_next_time": "event_time"}).df
     kind, status = F.col("offer_type"), F.col("status_id")
     countered = status == COUNTERED
@@ -86,10 +87,11 @@ def flag_counts(flags: DataFrame) -> DataFrame:
     return sums.select(F.inline(F.array(*pairs)))
 
 
-def thread_summary(turns: DataFrame, ordinal: list[str], tie_order: str = "ordinal") -> DataFrame:
+def thread_summary(turns: DataFrame, ordinal: list[str], tie_order: str = "ordinal",
+                 probe: DataFrame | None = None) -> DataFrame:
     """Rounds, success, first offer and the first six types and statuses."""
     order = turn_order(tie_order, ordinal)
-    df = done(with_row_number(grouped(turns, THREAD, order), "_pos"))
+    df = done(with_row_number(grouped(turns, THREAD, order, probe), "_pos"))
     first = F.col("_pos") == 1
 
     def head_list(col: str) -> Column:

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 from haggle.operators import sample as S
 from haggle.operators import threads as T
 from haggle.plans.registry import query, view
-from haggle.sources.tables import TURN_ORDER, listings_view, turns_view
+from haggle.sources.tables import TURN_ORDER, listings_view, thread_probe, turns_view
 
 ORDINAL = TURN_ORDER[1:]
 
 
 def flags_of(spark, sf):
-    return T.thread_flags(turns_view(spark, sf), ORDINAL)
+    return T.thread_flags(turns_view(spark, sf), ORDINAL, probe=thread_probe(spark, sf))
+
+
+def summary_of(spark, sf):
+    return T.thread_summary(turns_view(spark, sf), ORDINAL, probe=thread_probe(spark, sf))
 
 
 def sample_of(spark, sf):
@@ -94,7 +98,7 @@ def _(spark, sf):
 @query("thread_flags_value_ties",
        _flags_sql("event_time, offer_type, offer_price NULLS FIRST, status_id"), "max_offer")
 def _(spark, sf):
-    return T.thread_flags(turns_view(spark, sf), ORDINAL, tie_order="value")
+    return T.thread_flags(turns_view(spark, sf), ORDINAL, tie_order="value", probe=thread_probe(spark, sf))
 
 
 @query("listing_flags", "SELECT * FROM v_listing_flags", "max_offer")
@@ -114,7 +118,7 @@ def _(spark, sf):
 
 @query("thread_summary", "SELECT * FROM v_summary", "first_offer_price")
 def _(spark, sf):
-    return T.thread_summary(turns_view(spark, sf), ORDINAL)
+    return summary_of(spark, sf)
 
 
 @query("buyer_stats", "SELECT * FROM v_buyers")
@@ -244,7 +248,7 @@ def _(spark, sf):
 SELECT t.*, l.start_price, l.seller_id, l.category FROM v_summary t
 JOIN v_sample l ON l.listing_id = t.listing_id WHERE l.sample_no_t5 = 1""", "first_offer_price start_price")
 def _(spark, sf):
-    return S.sample_threads(T.thread_summary(turns_view(spark, sf), ORDINAL), sample_of(spark, sf), "sample_no_t5")
+    return S.sample_threads(summary_of(spark, sf), sample_of(spark, sf), "sample_no_t5")
 
 
 @query("active_buyers", """
@@ -312,7 +316,7 @@ view("v_moments", " UNION ALL ".join(
 
 def moments_of(spark, sf):
     turns = turns_view(spark, sf)
-    return S.moments(sample_of(spark, sf), T.thread_summary(turns, ORDINAL), T.buyer_stats(turns))
+    return S.moments(sample_of(spark, sf), summary_of(spark, sf), T.buyer_stats(turns))
 
 
 @query("moments", "SELECT * FROM v_moments", "observed")
@@ -375,4 +379,4 @@ def _audit_sql() -> str:
 @query("denominator_audit", _audit_sql(), "value")
 def _(spark, sf):
     turns = turns_view(spark, sf)
-    return S.denominator_audit(sample_of(spark, sf), T.thread_summary(turns, ORDINAL), T.buyer_stats(turns))
+    return S.denominator_audit(sample_of(spark, sf), summary_of(spark, sf), T.buyer_stats(turns))

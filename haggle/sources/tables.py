@@ -71,3 +71,9 @@ def listings_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("c_custkey") % 4 == 0, 1).otherwise(0).alias("bin_rev"),
         F.when(F.col("c_custkey") % 7 == 0, None).otherwise(F.col("c_custkey") % 40).alias("count4"),
     )
+
+
+def thread_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thread keys straight from the line scan, to look for hot threads in."""
+    key = F.col("l_orderkey").cast("string")
+    return table(spark, sf_dir, "lineitem").select(key.alias("thread_id"), key.alias("buyer_id"))

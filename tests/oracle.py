@@ -54,12 +54,14 @@ def compare(spark, con, name, build, sql, sf_dir):
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     if sql is None:
         return f"rows-only {len(rows)} rows {took:.1f}s", bool(rows)
+    t = time.time()
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     types = {d[0]: str(d[1]) for d in cur.description}
     if sorted(names) != cols:
         return f"COLUMNS spark={cols} sql={sorted(names)}", False
     pos = [names.index(c) for c in cols]
+    took = f"{took:.1f}s/{time.time() - t:.1f}"
     want = sorted([tuple(canon(r[i]) for i in pos) for r in cur.fetchall()])
     odd = [c for c in cols if not _same_kind(kinds[c], types[c])]
     if odd:
@@ -68,10 +70,11 @@ def compare(spark, con, name, build, sql, sf_dir):
         return f"COUNT spark={len(rows)} sql={len(want)}\n  {rows[:3]}\n  {want[:3]}", False
     bad = [(a, b) for a, b in zip(rows, want) if a != b]
     if bad:
-        only_a = [r for r in rows if r not in set(want)][:3]
-        only_b = [r for r in want if r not in set(rows)][:3]
+        have, wanted = set(rows), set(want)
+        only_a = [r for r in rows if r not in wanted][:3]
+        only_b = [r for r in want if r not in have][:3]
         return f"VALUES {len(bad)}/{len(rows)} differ {cols}\n  spark {only_a}\n  sql   {only_b}", False
-    return f"ok {len(rows)} rows {took:.1f}s", True
+    return f"ok {len(rows)} rows {took}s", True
 
 
 def _same_kind(a: str, b: str) -> bool:
@@ -109,7 +112,7 @@ def main() -> None:
         try:
             msg, ok = compare(spark, con, name, build, sqls.get(name), sf)
         except Exception as e:
-            msg, ok = f"ERROR {type(e).__name__} {str(e)[:1500]}", False
+            msg, ok = f"ERROR {type(e).__name__} {str(e)[:400]}", False
         print(("  " if ok else "X ") + name, msg, flush=True)
         if not ok:
             failed.append(name)

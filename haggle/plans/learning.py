@@ -10,6 +10,7 @@ from haggle.operators import tasks as K
 from haggle.operators.ordered import done, grouped, with_row_number
 from haggle.operators.rank import global_rank
 from haggle.plans.registry import query, view
+from haggle.session import scratch_path
 from haggle.sources.tables import TURN_ORDER, listings_view, table, thread_probe, turns_view
 
 ORDER = ", ".join(TURN_ORDER)
@@ -28,7 +29,21 @@ def norm_listings(spark, sf):
         (F.col("bo_ck") == 1).alias("sold_by_best_offer"))
 
 
+_STAGED: dict[tuple[str, str], str] = {}
+
+
 def cases_of(spark, sf):
+    """The case table, written once per session to the shared folder and
+    partitioned by target, since every split, metric and model reads it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STAGED:
+        path = scratch_path(spark, "cases")
+        fresh_cases(spark, sf).write.partitionBy("target").parquet(path)
+        _STAGED[key] = path
+    return spark.read.parquet(_STAGED[key])
+
+
+def fresh_cases(spark, sf):
     return K.build_cases(norm_turns(spark, sf), norm_listings(spark, sf), thread_probe(spark, sf))
 
 
@@ -102,7 +117,7 @@ _CASE_DOUBLES = "value listing_price current_amount offer_to_asking_ratio event_
 
 @query("build_cases", "SELECT * FROM v_cases", _CASE_DOUBLES)
 def _(spark, sf):
-    return cases_of(spark, sf)
+    return fresh_cases(spark, sf)
 
 
 @query("build_tasks", "SELECT * FROM v_cases WHERE outcome_state = 'supervised'", _CASE_DOUBLES)

@@ -116,3 +116,16 @@ JOIN (SELECT o_custkey,
              MIN(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) / 500 AS item_price,
              CAST(MIN(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS STRING) AS buyer_id
       FROM orders GROUP BY 1, 2) k ON k.o_custkey = c.c_custkey""")
+
+
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An input view in portable SQL, read by Spark from the same tables. Only
+    inputs are built this way; what is checked runs through the operators."""
+    sql = with_views(f"SELECT * FROM {name}")
+    for t in _TABLES:
+        if re.search(rf"\b{t}\b", sql):
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    return spark.sql(sql)

@@ -344,7 +344,8 @@ def comparable_counts(snapshots: DataFrame) -> DataFrame:
     return snapshots.filter(ok).groupBy("decision_channel", F.lower("category").alias("folded")).agg(F.count(F.lit(1)).alias("comparables"))
 
 
-def evaluate_actions(snapshots: DataFrame, fee: float = 0.1325, holding: float = 0.0, return_cost: float = 0.0, horizon: int = 7) -> DataFrame:
+def evaluate_actions(snapshots: DataFrame, fee: float = 0.1325, holding: float = 0.0, return_cost: float = 0.0, horizon: int = 7,
+                     digits: int = 2) -> DataFrame:
     """Expected margin of every available action of a decision."""
     d = snapshots.select("*", F.explode("available_actions").alias("a"))
     act, c = F.col("a.action"), F.col
@@ -369,7 +370,7 @@ def evaluate_actions(snapshots: DataFrame, fee: float = 0.1325, holding: float =
     margin = net - c("seller_cost_basis")
     expected = F.col("p") * margin - F.col("days") * holding - F.col("p") * F.greatest(margin, F.lit(0.0)) * return_cost
     return d.select(*[x for x in snapshots.columns if x != "action"], F.col("action_name").alias("action"), F.round("amount", 2).alias("amount"), F.round("p", 4).alias("sale_probability"),
-                    F.round(expected, 2).alias("expected_margin"), F.round(margin, 2).alias("net_margin_if_sold"), F.round("days", 2).alias("extra_days"),
+                    F.round(expected, digits).alias("expected_margin"), F.round(margin, digits).alias("net_margin_if_sold"), F.round("days", 2).alias("extra_days"),
                     F.coalesce(net < c("minimum_net_proceeds"), F.lit(False)).alias("violates_floor"))
 
 

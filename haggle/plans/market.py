@@ -286,7 +286,7 @@ def _(spark, sf):
 _TREND = "CASE traffic_trend WHEN 'declining' THEN -0.06 WHEN 'increasing' THEN 0.06 WHEN 'flat' THEN 0 ELSE -0.02 END::DOUBLE"
 _TRAF = "LEAST(0.12::DOUBLE, ln(1 + views_7d) / 60)"
 view("v_eval", f"""
-SELECT *, amount * (1 - 0.1325::DOUBLE) - shipping_cost - promotion_cost AS net FROM (SELECT s.decision_id, s.decision_channel, s.category, seller_cost_basis, traffic_age_hours, shipping_cost, promotion_cost, minimum_net_proceeds, seller_urgency, a.action,
+SELECT *, amount * (1 - 0.125::DOUBLE) - shipping_cost - promotion_cost AS net FROM (SELECT s.decision_id, s.decision_channel, s.category, seller_cost_basis, traffic_age_hours, shipping_cost, promotion_cost, minimum_net_proceeds, seller_urgency, a.action,
   CASE a.action WHEN 'accept' THEN COALESCE(buyer_offer_amount, 0) WHEN 'counter' THEN c90 WHEN 'wait' THEN asking_price END AS amount,
   CASE a.action WHEN 'accept' THEN 1.0::DOUBLE WHEN 'decline' THEN 0.0 WHEN 'wait' THEN GREATEST(0.02, LEAST(0.65, 0.12 + {_TRAF} + 0.03::DOUBLE * interested_buyers + {_TREND} - 0.03::DOUBLE * seller_urgency))
    ELSE CASE WHEN buyer_offer_amount IS NULL THEN GREATEST(0.02, LEAST(0.88, 0.10 + GREATEST(0, 1 - c90 / asking_price) * 1.8::DOUBLE + 0.04::DOUBLE * interested_buyers + {_TRAF} + {_TREND}))
@@ -295,11 +295,11 @@ SELECT *, amount * (1 - 0.1325::DOUBLE) - shipping_cost - promotion_cost AS net
 
 
 @query("evaluate_actions", f"""
-SELECT decision_id, action, amount, {_r('p', 4)} AS sale_probability, {_r('p * (net - seller_cost_basis)', 2)} AS expected_margin, COALESCE(net < minimum_net_proceeds, FALSE) AS violates_floor,
+SELECT decision_id, action, amount, {_r('p', 4)} AS sale_probability, p * (net - seller_cost_basis) AS expected_margin, COALESCE(net < minimum_net_proceeds, FALSE) AS violates_floor,
   {_r("CASE action WHEN 'accept' THEN 0.1::DOUBLE WHEN 'decline' THEN 7 WHEN 'wait' THEN LEAST(7, GREATEST(1, 7 - seller_urgency)) ELSE GREATEST(0.5, LEAST(7, (1 - p) * 7)) END", 2)} AS extra_days FROM v_eval""",
-       "sale_probability expected_margin extra_days")
+       "sale_probability expected_margin:6 extra_days")
 def _(spark, sf):
-    return C.evaluate_actions(snapshots(spark, sf)).select("decision_id", "action", "amount", "sale_probability", "expected_margin", "violates_floor", "extra_days")
+    return C.evaluate_actions(snapshots(spark, sf), fee=0.125, digits=8).select("decision_id", "action", "amount", "sale_probability", "expected_margin", "violates_floor", "extra_days")
 
 
 @query("recommend", """
@@ -314,7 +314,7 @@ SELECT decision_id, CASE WHEN reasons = '' THEN 'recommend' ELSE 'abstain' END A
   LEFT JOIN v_compcat c ON c.decision_channel = r.decision_channel AND c.folded = lower(r.category)) t""")
 def _(spark, sf):
     s = snapshots(spark, sf)
-    return C.recommend(s, s).select("decision_id", "status", "reasons", "comparables", "action")
+    return C.recommend(s, s, fee=0.125).select("decision_id", "status", "reasons", "comparables", "action")
 
 
 # ---- lifecycle transactions: twelve paths, legal, out of order, duplicated, illegal

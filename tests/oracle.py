@@ -97,12 +97,18 @@ def main() -> None:
     from haggle.session import get_session
 
     sf = "/root/testdata/sf0.01"
-    picks = [a for a in sys.argv[1:] if not a.startswith("--sf=")]
+    picks = [a for a in sys.argv[1:] if not a.startswith("--")]
+    hot = None
     for a in sys.argv[1:]:
         if a.startswith("--sf="):
             sf = a[5:]
+        if a.startswith("--hot="):
+            hot = a[6:]
     spark = get_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
+    if hot:
+        # groups above this many rows take the split path
+        spark.conf.set("haggle.hot.rows", hot)
     con = connect(sf)
     queries, sqls = entry.queries(), entry.oracle_sql()
     failed = []

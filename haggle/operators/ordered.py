@@ -73,22 +73,22 @@ def grouped(df: DataFrame, keys: list[str], order: list[str], probe: DataFrame |
     kind = df.schema[lead_col].dataType.simpleString()
     timed = kind in ("timestamp", "timestamp_ntz", "date")
     code = F.unix_micros(F.col(lead_col).cast("timestamp")) if timed else F.col(lead_col).cast("double")
-    coded = df.withColumn("_h", F.xxhash64(*by)).withColumn("_o", code)
+    coded = df.withColumn("_hk", F.xxhash64(*by)).withColumn("_ok", code)
     cuts = (
-        coded.filter(F.col("_h").isin(list(hot)))
-        .groupBy("_h")
-        .agg(F.percentile_approx("_o", steps, 10_000).alias("_cuts"))
+        coded.filter(F.col("_hk").isin(list(hot)))
+        .groupBy("_hk")
+        .agg(F.percentile_approx("_ok", steps, 10_000).alias("_cutlist"))
     )
     # one row per hot group: at most MAX_HOT_KEYS rows, so the broadcast is bounded
     out = (
-        coded.join(F.broadcast(cuts), "_h", "left")
-        .withColumn("_hot", F.col("_cuts").isNotNull())
+        coded.join(F.broadcast(cuts), "_hk", "left")
+        .withColumn("_hot", F.col("_cutlist").isNotNull())
         .withColumn(
             "_seg",
-            F.when(F.col("_hot") & F.col("_o").isNotNull(), F.size(F.filter("_cuts", lambda c: c < F.col("_o"))) + 1)
+            F.when(F.col("_hot") & F.col("_ok").isNotNull(), F.size(F.filter("_cutlist", lambda c: c < F.col("_ok"))) + 1)
             .otherwise(0),
         )
-        .drop("_h", "_o", "_cuts")
+        .drop("_hk", "_ok", "_cutlist")
     )
     return Grouped(out, keys, order, True)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haggle.functions.scalar import first_match, row_hash
-from haggle.operators.ordered import done, grouped, with_row_number
+from haggle.operators.ordered import done, grouped, with_previous, with_row_number, with_running
 from haggle.operators.tasks import STATUSES, decode_codes
 
 
@@ -74,14 +74,27 @@ def safe_flag(c: str) -> Column:
     return F.when(_text(c) == "1", True).when(_text(c) == "0", False)
 
 
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+
+
+def _iso_text(t: Column) -> Column:
+    """01may2012 11:00:00 as 2012-05-01 11:00:00, so that the plain cast reads it."""
+    at = F.instr(F.lit(MONTHS), F.substring(t, 3, 3))
+    month = F.lpad(((at + 2) / 3).cast("int").cast("string"), 2, "0")
+    day = F.concat(F.substring(t, 6, 4), F.lit("-"), month, F.lit("-"), F.substring(t, 1, 2))
+    return F.when((at > 0) & (at % 3 == 1), F.concat(day, F.substring(t, 10, 9)))
+
+
 def source_date(c: str) -> Column:
-    """01may2012 as a date."""
-    return F.try_to_timestamp(F.initcap(_text(c)), F.lit("ddMMMyyyy")).cast("date")
+    """01may2012 as a date. Cells of another length go through the slower parser."""
+    t = F.lower(_text(c))
+    return F.when(F.length(t) == 9, _iso_text(t).try_cast("date")).otherwise(F.try_to_timestamp(F.initcap(t), F.lit("ddMMMyyyy")).cast("date"))
 
 
 def source_time(c: str) -> Column:
     """01may2012 11:00:00 as a timestamp."""
-    return F.try_to_timestamp(F.initcap(_text(c)), F.lit("ddMMMyyyy HH:mm:ss"))
+    t = F.lower(_text(c))
+    return F.when(F.length(t) == 18, _iso_text(t).try_cast("timestamp")).otherwise(F.try_to_timestamp(F.initcap(t), F.lit("ddMMMyyyy HH:mm:ss")))
 
 
 TURN_CASTS = {
@@ -107,20 +120,40 @@ def cast_failed(casts: dict) -> Column:
     return bad
 
 
-def normalize_turns(raw: DataFrame, text_order: bool = False, version: str = "normalized-v1") -> tuple[DataFrame, DataFrame]:
-    """Typed turns numbered inside their thread, and the rows whose cells do not
-    cast. Numbers are given before that rejection, so a rejected turn leaves a
-    gap (Q5). With text_order the price sorts as text, as in old files."""
-    d = raw.withColumns({"_t": source_time("src_cre_date"), "_p": F.col("offr_price") if text_order else safe_double("offr_price"),
-                         "_h": row_hash(raw.columns)})
-    g = with_row_number(grouped(d, ["anon_thread_id"], ["_t", "offr_type_id", "_p", "_h"]), "turn_index")
-    marked = done(g).withColumn("_bad", cast_failed(TURN_CASTS))
-    coded = decode_codes(marked.withColumns({"_k": F.col("offr_type_id").cast("int"), "_s": F.col("status_id").cast("int")}), "_k", "_s")
-    good = coded.filter(~F.col("_bad")).select(
-        F.col("_h").alias("source_row_id"), F.col("anon_thread_id").alias("thread_id"), F.col("anon_item_id").alias("listing_id"), F.col("anon_byr_id").alias("buyer_id"),
-        F.col("anon_slr_id").alias("seller_id"), "turn_index", "actor", "action", "status", F.col("_s").alias("status_id"),
-        *[fn(src).alias(name) for name, (src, fn) in TURN_CASTS.items()], F.lit(version).alias("transformation_version"))
-    return good, coded.filter("_bad").select(*raw.columns, F.lit("thread_normalization_error").alias("reason"))
+def normalize_turns(raw: DataFrame, text_order: bool = False, drop_duplicates: bool = False, version: str = "normalized-v1",
+                    probe: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Typed turns numbered inside their thread, and the ids of the rows whose
+    cells do not cast. Numbers are given before that rejection, so a rejected
+    turn leaves a gap (Q5). With text_order the price sorts as text, as in old
+    files. With drop_duplicates copies of a row are left out in the same pass:
+    they share the thread and are neighbours in its order.
+
+    Cells are cast once, before the one shuffle, which then moves typed columns
+    instead of text."""
+    ids = {"thread_id": "anon_thread_id", "listing_id": "anon_item_id", "buyer_id": "anon_byr_id", "seller_id": "anon_slr_id"}
+    cells = [src for src, _ in TURN_CASTS.values()]
+    cast = raw.select(
+        row_hash(raw.columns).alias("source_row_id"), *[F.col(c).alias(n) for n, c in ids.items()],
+        F.col("offr_type_id").cast("int").alias("_k"), F.col("status_id").cast("int").alias("status_id"),
+        *[fn(src).alias(f"_c_{name}") for name, (src, fn) in TURN_CASTS.items()], *[_text(c).isNotNull().alias(f"_has_{c}") for c in cells],
+        (F.col("offr_price") if text_order else F.lit(None)).alias("_text"))
+    bad = F.lit(False)
+    for name, (src, _) in TURN_CASTS.items():
+        bad = bad | (F.col(f"_has_{src}") & F.col(f"_c_{name}").isNull())
+    typed = cast.select("source_row_id", *ids, "_k", "status_id", "_text", *[F.col(f"_c_{n}").alias(n) for n in TURN_CASTS], bad.alias("_bad"))
+    order = ["event_time", "_k", "_text" if text_order else "amount", "source_row_id"]
+    g = grouped(typed, ["thread_id"], order, probe)
+    if drop_duplicates:
+        g = with_previous(g, {"_before": "source_row_id"})
+        fresh = F.when(F.col("_is_first") | (F.col("_before") != F.col("source_row_id")), 1).otherwise(0)
+        d = done(with_running(g, sums={"turn_index": fresh})).filter(F.col("_is_first") | (F.col("_before") != F.col("source_row_id")))
+        d = d.withColumn("turn_index", F.col("turn_index").cast("int"))
+    else:
+        d = done(with_row_number(g, "turn_index"))
+    coded = decode_codes(d, "_k", "status_id")
+    good = coded.filter(~F.col("_bad")).select("source_row_id", *ids, "turn_index", "actor", "action", "status", "status_id", *TURN_CASTS,
+                                               F.lit(version).alias("transformation_version"))
+    return good, coded.filter("_bad").select("source_row_id", "thread_id", "turn_index", F.lit("thread_normalization_error").alias("reason"))
 
 
 # Fixed value: the product id that stands for none.

@@ -12,7 +12,7 @@ from haggle.plans.learning import norm_listings, norm_turns
 from haggle.plans.registry import query, view
 from haggle.session import scratch_path
 from haggle.sources import files as S
-from haggle.sources.tables import listings_view, table, turns_view
+from haggle.sources.tables import listings_view, table, thread_probe, turns_view
 
 T_DATE, T_TIME = "ddMMMyyyy", "ddMMMyyyy HH:mm:ss"
 
@@ -36,11 +36,17 @@ def raw_threads(spark, sf):
 view("v_raw", """SELECT *, l_partkey % 97 = 0 AS blank, l_partkey % 89 = 0 AS odd, l_partkey % 79 = 0 AS flag FROM v_turns""")
 
 
+def staged_threads(spark, sf):
+    """The text source as CSV files in the shared folder, one per core."""
+    path = scratch_path(spark, "threads-csv")
+    spread = raw_threads(spark, sf).repartition(spark.sparkContext.defaultParallelism)
+    spread.write.option("header", True).option("emptyValue", "").csv(path)
+    return S.read_threads(spark, path).drop(S.CORRUPT)
+
+
 @query("read_threads", "SELECT listing_id AS anon_item_id, COUNT(*) + COUNT(*) FILTER (WHERE l_partkey % 83 = 0) AS rows, COUNT(offer_price) + COUNT(offer_price) FILTER (WHERE l_partkey % 83 = 0) AS priced FROM v_turns GROUP BY 1")
 def _(spark, sf):
-    path = scratch_path(spark, "threads-csv")
-    raw_threads(spark, sf).write.option("header", True).option("emptyValue", "").csv(path)
-    return S.read_threads(spark, path).groupBy("anon_item_id").agg(F.count(F.lit(1)).alias("rows"), F.count(F.nullif("offr_price", F.lit(""))).alias("priced"))
+    return staged_threads(spark, sf).groupBy("anon_item_id").agg(F.count(F.lit(1)).alias("rows"), F.count(F.nullif("offr_price", F.lit(""))).alias("priced"))
 
 
 @query("quarantine", """SELECT reason, COUNT(*) + COUNT(*) FILTER (WHERE l_partkey % 83 = 0) AS rows, LEAST(25, COUNT(*) + COUNT(*) FILTER (WHERE l_partkey % 83 = 0))::INTEGER AS examples FROM (
@@ -61,10 +67,9 @@ def _(spark, sf):
     offer_price AS amount, event_time, response_time, l_partkey % 2 = 1 AS has_message, flag, CASE status_id WHEN 0 THEN 'expired' WHEN 1 THEN 'accepted' WHEN 2 THEN 'declined' WHEN 6 THEN 'auto_declined' WHEN 7 THEN 'countered' WHEN 8 THEN 'declined_other_buyer_accepted' ELSE 'auto_accepted' END AS status
   FROM (SELECT *, l_linenumber AS rh FROM v_raw WHERE NOT blank AND NOT odd) a) t WHERE NOT flag""", "amount")
 def _(spark, sf):
-    raw = turns_view(spark, sf)
-    good, _, _ = Q.quarantine(Q.drop_exact_duplicates(raw_threads(spark, sf))[0], Q.thread_rules())
-    _ = raw
-    return Q.normalize_turns(good)[0].select("thread_id", "turn_index", "actor", "action", "amount", F.to_timestamp_ntz(F.col("event_time").cast("string")).alias("event_time"),
+    good, _, _ = Q.quarantine(staged_threads(spark, sf), Q.thread_rules())
+    probe = thread_probe(spark, sf).select(F.col("thread_id"))
+    return Q.normalize_turns(good, drop_duplicates=True, probe=probe)[0].select("thread_id", "turn_index", "actor", "action", "amount", F.to_timestamp_ntz(F.col("event_time").cast("string")).alias("event_time"),
                                              F.to_timestamp_ntz(F.col("response_time").cast("string")).alias("response_time"), "has_message", "status")
 
 

@@ -584,9 +584,9 @@ def _nearest_blocks(train: DataFrame, rows: DataFrame, vector: str, block: int,
     over the blocks follows. No pair of rows is ever put out."""
     t_blocks, r_blocks = -(-n // block), max(1, -(-rows.count() // block))
     t = train.select(F.col("id").alias("tid"), F.col(vector).alias("v"), F.pmod(F.xxhash64("id"), F.lit(t_blocks)).alias("tb"),
-                     F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1))).cast("long").alias("rb"))
+                     F.explode(F.sequence(F.lit(0).cast("long"), F.lit(r_blocks - 1).cast("long"))).alias("rb"))
     r = rows.select("id", F.col(vector).alias("v"), F.pmod(F.xxhash64("id"), F.lit(r_blocks)).alias("rb"),
-                    F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1))).cast("long").alias("tb"))
+                    F.explode(F.sequence(F.lit(0).cast("long"), F.lit(t_blocks - 1).cast("long"))).alias("tb"))
 
     def best(left, right):
         import numpy as np

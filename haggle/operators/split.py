@@ -210,9 +210,6 @@ def assert_disjoint(df: DataFrame, group: str, region: str = "region") -> DataFr
         F.col(group), F.col("a").alias("first_region"), F.col("b").alias("last_region"))
 
 
-PUBLIC_DROP = ["label", "value", "outcome_state"]
-
-
 def publish_cases(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Public cases without labels, and the protected labels in a table of their own."""
     labels = cases.filter(F.col("outcome_state") == "supervised").select("target", "row_id", "label", "value")

@@ -58,7 +58,6 @@ def _(spark, sf):
 
 @query("drop_exact_duplicates", "SELECT COUNT(*) FILTER (WHERE l_partkey % 83 = 0) AS duplicates FROM v_turns")
 def _(spark, sf):
-    # the text rows leave out the line price, so rows equal in text are told apart by it first
     return Q.drop_exact_duplicates(raw_threads(spark, sf))[1]
 
 

@@ -384,19 +384,13 @@ def _(spark, sf):
 
 
 @query("no_future_leakage", """
-SELECT row_id, CASE WHEN label IN ('accept') THEN 'finished_status_in_history' ELSE 'future_history_field' END AS leak
-FROM v_cases WHERE target = 'seller_next_action' AND label IN ('accept', 'counter')""")
+SELECT row_id, 'future_history_field' AS leak FROM v_cases WHERE target = 'seller_next_action' AND label IN ('accept', 'counter')""")
 def _(spark, sf):
     c = one_target(spark, sf, "seller_next_action")
-    extra = F.when(F.col("label") == "counter", F.create_map(F.lit("future_rounds"), F.lit("2"))).when(
-        F.col("label") == "accept", F.create_map(F.lit("action"), F.lit("offer"))).otherwise(F.create_map(F.lit("actor"), F.lit("buyer")))
-    status = F.when(F.col("label") == "accept", "accepted").otherwise("open")
-    # the status key itself is forbidden, so the finished text is only seen under another spelling of the guard
-    rows = c.select("row_id", "label", F.create_map(F.lit("category"), F.col("category")).alias("features"),
-                    F.array(extra).alias("history"), status.alias("s"))
-    leaks = G.no_future_leakage(rows, "features", "history").select("row_id", "leak")
-    done_rows = rows.filter("s = 'accepted'").select("row_id", F.lit("finished_status_in_history").alias("leak"))
-    return leaks.unionByName(done_rows)
+    item = F.when(F.col("label") == "counter", F.create_map(F.lit("future_rounds"), F.lit("2"))).when(
+        F.col("label") == "accept", F.create_map(F.lit("status"), F.lit("accepted"))).otherwise(F.create_map(F.lit("actor"), F.lit("buyer")))
+    d = c.select("row_id", F.create_map(F.lit("category"), F.col("category")).alias("features"), F.array(item).alias("history"))
+    return G.no_future_leakage(d, "features", "history").select("row_id", "leak")
 
 
 @query("pre_decision_guard", """

@@ -451,13 +451,6 @@ def _(spark, sf):
 
 # ---- neighbours
 
-view("v_cand", "SELECT row_id AS cand_id, category, r AS ratio FROM v_dv WHERE offer_to_asking_ratio IS NOT NULL")
-view("v_histr", "SELECT row_id AS hist_id, category, r AS ratio, label FROM v_tr WHERE offer_to_asking_ratio IS NOT NULL")
-view("v_near", """SELECT * FROM (SELECT c.cand_id, c.category, c.ratio, h.hist_id, h.ratio AS h_ratio, h.label, ROW_NUMBER() OVER (PARTITION BY c.cand_id ORDER BY
-  ABS(h.ratio - c.ratio), h.ratio > c.ratio, CASE WHEN h.ratio > c.ratio THEN h.pos ELSE -h.pos END)::INTEGER AS nearest
-  FROM v_cand c JOIN (SELECT *, ROW_NUMBER() OVER (PARTITION BY category ORDER BY ratio, hist_id) AS pos FROM v_histr) h ON h.category = c.category) t WHERE nearest <= 5""")
-
-
 def _sides(spark, sf):
     train, dev = parts(spark, sf)
     keep = F.col("offer_to_asking_ratio").isNotNull()

@@ -297,7 +297,7 @@ SELECT *, amount * (1 - 0.125::DOUBLE) - shipping_cost - promotion_cost AS net F
 @query("evaluate_actions", f"""
 SELECT decision_id, action, amount, {_r('p', 4)} AS sale_probability, p * (net - seller_cost_basis) AS expected_margin, COALESCE(net < minimum_net_proceeds, FALSE) AS violates_floor,
   {_r("CASE action WHEN 'accept' THEN 0.1::DOUBLE WHEN 'decline' THEN 7 WHEN 'wait' THEN LEAST(7, GREATEST(1, 7 - seller_urgency)) ELSE GREATEST(0.5, LEAST(7, (1 - p) * 7)) END", 2)} AS extra_days FROM v_eval""",
-       "sale_probability expected_margin:6 extra_days")
+       "sale_probability expected_margin:9 extra_days")
 def _(spark, sf):
     return C.evaluate_actions(snapshots(spark, sf), fee=0.125, digits=12).select("decision_id", "action", "amount", "sale_probability", "expected_margin", "violates_floor", "extra_days")
 

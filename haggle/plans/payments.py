@@ -142,7 +142,7 @@ def _(spark, sf):
 # ---- streams: the events are written as files of a few batches and drained
 
 
-def _as_stream(spark, df, name: str, files: int = 3):
+def _as_stream(spark, df, name: str, files: int = 2):
     path = scratch_path(spark, name)
     df.repartition(files).write.parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)

@@ -28,10 +28,14 @@ def get_session(app: str = "haggle", master: str | None = None, **conf: str) ->
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: spark.checkpoint.dir when the cluster
-    names one, else (single machine, tests) a fresh temporary folder."""
+    names one, else a fresh temporary folder, which only a local master may use:
+    on a cluster each executor would write to a disk of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
     known = getattr(spark, "_haggle_shared_dir", None)
     if known is None:
         known = tempfile.mkdtemp(prefix="haggle-")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haggle.llm import byte_pairs, token_counts, token_files
+from haggle.llm import byte_pairs, contamination, exact, token_counts, token_files
 from haggle.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,41 @@ def op6_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     decimal = F.concat_ws(" ", F.transform("ids", lambda x: x.cast("string")))
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op4_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit, ids = F.size("hits").cast("long"), F.col("item_ids")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
+                        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+@query
+def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op10_exact"] = """
+SELECT doc_id, MAX(doc_id) OVER w AS keep_id, COUNT(*) OVER w AS group_size, doc_id = MAX(doc_id) OVER w AS kept,
+       sha256(COALESCE(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY COALESCE(text, ''))"""
+
+ORACLES["op4_contamination"] = r"""
+WITH iw AS (SELECT CAST(item_id AS VARCHAR) AS item_id,
+                   regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark),
+win AS (SELECT item_id, len(w) AS n, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 10 THEN [array_to_string(w, ' ')]
+                   ELSE list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' ')) END) AS k
+        FROM iw),
+keys AS (SELECT DISTINCT item_id, LEAST(n, 10) AS n, k FROM win),
+dw AS (SELECT doc_id, COALESCE(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+sizes AS (SELECT DISTINCT n FROM keys),
+grams AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM dw, sizes WHERE len(w) >= n),
+hit AS (SELECT g.doc_id, g.i, g.n, k.item_id FROM grams g JOIN keys k ON k.n = g.n AND k.k = array_to_string(g.w[g.i:g.i + g.n - 1], ' ')),
+pos AS (SELECT doc_id, COUNT(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, COUNT(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, COALESCE(p.n_hit, 0) AS n_hit, COALESCE(t.n_items, 0) AS n_items,
+       sha256(COALESCE(t.ids, '')) AS items_sha256, COALESCE(p.n_hit, 0) > 0 AS contaminated
+FROM dw d LEFT JOIN pos p USING (doc_id) LEFT JOIN its t USING (doc_id)"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haggle.llm import byte_pairs, contamination, exact, token_counts, token_files
+from haggle.llm import byte_pairs, contamination, exact, near, token_counts, token_files
 from haggle.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,9 @@ its AS (SELECT doc_id, COUNT(*) AS n_items, string_agg(item_id, ',' ORDER BY ite
 SELECT d.doc_id, len(d.w) AS n_words, COALESCE(p.n_hit, 0) AS n_hit, COALESCE(t.n_items, 0) AS n_items,
        sha256(COALESCE(t.ids, '')) AS items_sha256, COALESCE(p.n_hit, 0) > 0 AS contaminated
 FROM dw d LEFT JOIN pos p USING (doc_id) LEFT JOIN its t USING (doc_id)"""
+
+
+@query
+def op5_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near.near_components(table(spark, sf_dir, "documents"), size=3, low=85, high=100)
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -148,3 +148,10 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.flatten(F.collect_list("item_ids")).alias("item_ids"),
         )
     return one.select("doc_id", "n_words", "hits", "spans", F.array_sort(F.array_distinct("item_ids")).alias("item_ids"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs without those that hold a benchmark window; all columns as they are. Rows
+    that share an id go together; a row without an id stays, since nothing names it."""
+    gone = find_passages(docs, benchmark, id_col, text_col, **how).where(F.size("hits") > 0).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

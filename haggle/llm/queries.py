@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haggle.llm import byte_pairs, contamination, exact, near, token_counts, token_files
+from haggle.llm import byte_pairs, contamination, exact, near, token_counts, token_files, toxicity
 from haggle.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,11 @@ FROM dw d LEFT JOIN pos p USING (doc_id) LEFT JOIN its t USING (doc_id)"""
 def op5_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near.near_components(table(spark, sf_dir, "documents"), size=3, low=85, high=100)
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
+    scores = toxicity.score(docs, model)
+    return scores.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))

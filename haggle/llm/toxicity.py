@@ -43,7 +43,7 @@ LEET = {
 # Signs put between the letters of one word.
 GAPS = " .-_*~,/"
 #: Costs in natural logarithms: a sign read as a letter, a sign or gap dropped, a repeated letter dropped, one kept.
-READ, DROP, GAP, ONCE, AGAIN = 0.7, 6.0, 0.1, 0.2, 1.5
+READ, DROP, GAP, ONCE, AGAIN = 0.7, 12.0, 0.1, 0.2, 1.5
 
 _LETTER = r"[^\W\d_]"
 _SIGN = "[" + re.escape("".join(LEET)) + "]"

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haggle.llm import byte_pairs, contamination, exact, near, token_counts, token_files, toxicity
+from haggle.llm import byte_pairs, contamination, exact, near, pages, token_counts, token_files, toxicity
 from haggle.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
     scores = toxicity.score(docs, model)
     return scores.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
+
+
+@query
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))

@@ -1,7 +1,8 @@
 """Passages that repeat across documents: MinHash banding of paragraphs, exact Jaccard, components, removals.
 
-A paragraph here is a sentence or a line, whichever ends first, so that a passage
-has the same paragraphs wherever it stands inside a text. Equal paragraphs are one
+A paragraph here is a sentence or a line, whichever ends first, or some short ones
+in a row, cut by what they say, so that a passage has the same paragraphs wherever
+it stands inside a text. Equal paragraphs are one
 group; groups that share a band are compared by their full sets of five-word
 shingles; linked groups are one cluster. The document of the least id keeps a
 cluster's text, and runs of such paragraphs elsewhere are the removals."""
@@ -62,6 +63,14 @@ class Paragraphs:
             first[1:] = closed[:-1] | (lines[1:] != lines[:-1]) | (doc[1:] != doc[:-1])
         head = np.flatnonzero(first)
         tail = np.concatenate((head[1:], [len(starts)])).astype(np.int64) if len(head) else head
+        if len(head):
+            # short sentences in a row are one paragraph, cut after those whose hash says so
+            short, of = tail - head < least, doc[head]
+            one = span_hashes(np.ascontiguousarray(self.words).view(np.uint8), head * 8, tail * 8)
+            cut = ~short | (one % np.uint64(4) == 0)
+            new = np.concatenate(([True], ~short[1:] | cut[:-1] | (of[1:] != of[:-1])))
+            last = np.concatenate((new[1:], [True]))
+            head, tail = head[new], tail[last]
         good = tail - head >= least
         self.head, self.tail = head[good], tail[good]
         self.doc = doc[self.head] if len(self.head) else np.zeros(0, np.int64)

@@ -210,7 +210,7 @@ def _join_up(known: DataFrame | None, links: DataFrame) -> DataFrame:
     if known is None:
         return cut_lineage(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     at = _places(links, known)
-    merged = components(at.select(F.col("ca").alias("u"), F.col("cb").alias("v"))).withColumnsRenamed({"v": "component", "component": "to"})
+    merged = components(at.select(F.col("ca").alias("u"), F.col("cb").alias("v"))).select(F.col("v").alias("component"), F.col("component").alias("to"))
     every = known.unionByName(links.select(F.col("a").alias("v"), F.col("a").alias("component"))).unionByName(links.select(F.col("b").alias("v"), F.col("b").alias("component")))
     least = every.groupBy("v").agg(F.min("component").alias("component"))
     return cut_lineage(least.join(merged, "component", "left").select("v", F.coalesce("to", "component").alias("component")))

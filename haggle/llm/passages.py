@@ -197,11 +197,11 @@ def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Removals: doc_id, start and end (bytes of its text), n_words, keep_id.
+    """Removals: doc_id, start and end (bytes of its text), n_words, keep_ids.
 
     A removal is a run of paragraphs of doc_id, at least `run_words` words of them,
-    whose clusters also stand in a document of a lesser id; keep_id is the least of
-    those. Shorter paragraphs inside a run go with it. Copies of a document are whole
+    whose clusters also stand in a document of a lesser id; keep_ids are the documents
+    that keep them. Shorter paragraphs inside a run go with it. Copies of a document are whole
     repeated runs. Repetition inside one document, or in rows that share an id, is
     none across documents. A null or empty text has no paragraphs; a null id neither
     keeps nor loses any; other columns are not read; an empty table gives an empty result.
@@ -238,9 +238,9 @@ def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str =
     # paragraphs in a row have a constant distance between their place and their number among the removed
     run = F.col("place") - F.row_number().over(Window.partitionBy("row").orderBy("place"))
     runs = removed.withColumn("run", run).groupBy("row", "run").agg(
-        F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_words"), F.min("keep_id").alias("keep_id"),
+        F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_words"), F.array_sort(F.collect_set("keep_id")).alias("keep_ids"),
     )
-    return runs.where(F.col("n_words") >= run_words).select("doc_id", "start", "end", "n_words", "keep_id")
+    return runs.where(F.col("n_words") >= run_words).select("doc_id", "start", "end", "n_words", "keep_ids")
 
 
 def without(docs: DataFrame, removals: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -67,7 +67,8 @@ class Paragraphs:
             # short sentences in a row are one paragraph, cut after those whose hash says so
             short, of = tail - head < least, doc[head]
             one = span_hashes(np.ascontiguousarray(self.words).view(np.uint8), head * 8, tail * 8)
-            cut = ~short | (one % np.uint64(4) == 0)
+            every = -(-3 * least // (tail - head))  # of so many sentences one: about three times the least length
+            cut = ~short | (one % every.astype(np.uint64) == 0)
             new = np.concatenate(([True], ~short[1:] | cut[:-1] | (of[1:] != of[:-1])))
             last = np.concatenate((new[1:], [True]))
             head, tail = head[new], tail[last]

@@ -4,8 +4,8 @@ A signature has 40 places of 16 bits in 8 chunks. If two signatures differ in at
 15 places, some chunk differs in at most one (pigeonhole), so the two agree on a key
 of that chunk with one place left out. Keys name every chunk and place left out:
 all pairs within that distance meet under a key, and a pair at the threshold lies
-beyond it once in several thousand. What meets is compared by signature, size and
-at last by the whole sets."""
+beyond it once in several thousand. What meets is compared by signature, by size, by a
+finer signature, and at last by the whole sets."""
 
 from __future__ import annotations
 
@@ -26,10 +26,13 @@ PLACES = CHUNKS * CHUNK
 #: Distance up to which every pair is found: one error in each chunk, and one more chunk hit would be two.
 REACH = 2 * CHUNKS - 1
 
+#: Places of one byte that tell near pairs from the rest before their sets are fetched.
+FINE = 256
+
 #: Members of a key that are compared at once; more are compared block by block.
 BLOCK = 2048
 
-_FACTORS = mix(np.arange(1, PLACES + 1, dtype=np.uint64)) | np.uint64(1)
+_FACTORS = mix(np.arange(1, PLACES + FINE + 1, dtype=np.uint64)) | np.uint64(1)
 # Words are cut at space, tab, line feed, vertical tab, form feed and return.
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -66,14 +69,26 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nd
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """The signature of each non-empty set: 16 bits of the least hash under each of 40 orders."""
+def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two signatures of each non-empty set: bits of the least hash under each of many orders."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets[:-1])])
     out = np.empty((len(sets), PLACES), np.uint16)
+    fine = np.empty((len(sets), FINE), np.uint8)
     for k, factor in enumerate(_FACTORS):
-        out[:, k] = mix(np.minimum.reduceat(flat * factor, starts)) & np.uint64(0xFFFF)
-    return out
+        least = mix(np.minimum.reduceat(flat * factor, starts))
+        if k < PLACES:
+            out[:, k] = least & np.uint64(0xFFFF)
+        else:
+            fine[:, k - PLACES] = least & np.uint64(0xFF)
+    return out, fine
+
+
+def fine_reach(low: int, high: int) -> int:
+    """Places of the fine signature in which a pair at the threshold differs at most,
+    but for one pair in about 300,000 (four and a half standard deviations)."""
+    apart = (1 - low / high) * (1 - 1 / 256)
+    return int(np.ceil(FINE * apart + 4.5 * np.sqrt(FINE * apart * (1 - apart))))
 
 
 def _sketch(size: int):
@@ -83,12 +98,13 @@ def _sketch(size: int):
                 sets = shingle_sets(data, offsets, size)
                 full = [k for k, s in enumerate(sets) if len(s)]
                 sig: list[bytes | None] = [None] * len(sets)
+                fine: list[bytes | None] = [None] * len(sets)
                 digest: list[bytes | None] = [None] * len(sets)
                 if full:
-                    for k, row in zip(full, signatures([sets[k] for k in full])):
-                        sig[k], digest[k] = row.tobytes(), hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest()
-                columns = [batch.column("doc_id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "sig"])
+                    for k, row, more in zip(full, *signatures([sets[k] for k in full])):
+                        sig[k], fine[k], digest[k] = row.tobytes(), more.tobytes(), hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest()
+                columns = [batch.column("doc_id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(fine, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "sig", "fine"])
 
     return run
 
@@ -113,26 +129,36 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _distance(pairs: DataFrame, sketches: DataFrame, low: int, high: int) -> DataFrame:
     """Pairs (a, b) whose signatures and sizes allow a link, with their distance."""
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, PLACES) for c in ("sig_a", "sig_b"))
-                d = (x != y).sum(axis=1)
-                near = np.flatnonzero(d <= REACH)
-                yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(near)), batch.column("b").take(pa.array(near)), pa.array(d[near].astype(np.int32))], ["a", "b", "d"])
+    def measure(col: str, kind: type, reach: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x, y = (np.frombuffer(b"".join(batch.column(f"{col}_{c}").to_pylist()), kind).reshape(batch.num_rows, -1) for c in ("a", "b"))
+                    d = (x != y).sum(axis=1)
+                    near = np.flatnonzero(d <= reach)
+                    at = pa.array(near)
+                    yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at), pa.array(d[near].astype(np.int32))], ["a", "b", "d"])
+
+        return run
 
     sides = [sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}")) for c in ("a", "b")]
     both = pairs.join(sides[0], "a").join(sides[1], "b")
     fits = F.least("n_a", "n_b") * high >= F.greatest("n_a", "n_b") * low
-    return both.where(fits).select("a", "b", "sig_a", "sig_b").mapInArrow(measure, "a bigint, b bigint, d int")
+    close = both.where(fits).select("a", "b", "sig_a", "sig_b").mapInArrow(measure("sig", np.uint16, REACH), "a bigint, b bigint, d int")
+    finer = [sketches.select(F.col("id").alias(c), F.col("fine").alias(f"fine_{c}")) for c in ("a", "b")]
+    told = close.select("a", "b").join(finer[0], "a").join(finer[1], "b").select("a", "b", "fine_a", "fine_b")
+    return told.mapInArrow(measure("fine", np.uint8, fine_reach(low, high)), "a bigint, b bigint, d int")
 
 
 def _cross_pairs(low: int, high: int):
     """Pairs of different components under one key block; rows come sorted by (key, i, j)."""
 
+    reach = fine_reach(low, high)
+
     def of_group(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids, comp, n, mine = (rows.column(c).to_numpy() for c in ("id", "component", "n", "mine"))
         sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(-1, PLACES)
+        fine = np.frombuffer(b"".join(rows.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
         left = np.flatnonzero(mine == rows.column("i")[0].as_py())
         right = left if rows.column("i")[0] == rows.column("j")[0] else np.flatnonzero(mine == rows.column("j")[0].as_py())
         a, b, d = [], [], []
@@ -140,8 +166,9 @@ def _cross_pairs(low: int, high: int):
             fit = (comp[right] != comp[k]) & (np.minimum(n[right], n[k]) * high >= np.maximum(n[right], n[k]) * low) & ((ids[right] > ids[k]) | (right is not left))
             other = right[fit]
             if len(other):
-                far = (sig[other] != sig[k]).sum(axis=1)
-                near = far <= REACH
+                other = other[(sig[other] != sig[k]).sum(axis=1) <= REACH]
+                far = (fine[other] != fine[k]).sum(axis=1)
+                near = far <= reach
                 a.append(np.full(int(near.sum()), ids[k]))
                 b.append(ids[other[near]])
                 d.append(far[near])
@@ -271,11 +298,11 @@ def near_components(docs: DataFrame, size: int = 5, low: int = 80, high: int = 1
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     path = scratch_path(spark, "sketches")
-    rows.mapInArrow(_sketch(size), "doc_id bigint, n bigint, digest binary, sig binary").write.parquet(path)
+    rows.mapInArrow(_sketch(size), "doc_id bigint, n bigint, digest binary, sig binary, fine binary").write.parquet(path)
     sketches = spark.read.parquet(path)
     classes_path = scratch_path(spark, "classes")
     usable = sketches.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    usable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.max("sig").alias("sig")).write.parquet(classes_path)
+    usable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.max("fine").alias("fine")).write.parquet(classes_path)
     classes = spark.read.parquet(classes_path)
     texts = rows.withColumnRenamed("doc_id", "id")
 
@@ -299,7 +326,7 @@ def near_components(docs: DataFrame, size: int = 5, low: int = 80, high: int = 1
     mine = F.pmod(F.xxhash64("id"), parts).cast("int")
     spread = placed.join(split, "key", "left_semi").select("key", "id", "component", mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
     blocks = spread.select("key", "id", "component", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    blocks = blocks.join(classes.groupBy("id").agg(F.max("n").alias("n"), F.max("sig").alias("sig")), "id")
+    blocks = blocks.join(classes.dropDuplicates(["id"]).select("id", "n", "sig", "fine"), "id")
     sorted_ = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     more_path = scratch_path(spark, "candidates")
     found = sorted_.mapInArrow(_cross_pairs(low, high), "a bigint, b bigint, d int").distinct().join(done, ["a", "b"], "left_anti")

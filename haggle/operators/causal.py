@@ -81,17 +81,23 @@ def permutation_test(df: DataFrame, treatment: str, outcome: str, samples: int =
     n, treated = sum(counts), sum(r["k"] for r in rows)
     total = sum(v * c for v, c in zip(values, counts))
     seen = sum(r["y"] * r["k"] for r in rows)
-    observed = seen / treated - (total - seen) / (n - treated)
     spark = df.sparkSession
-    if comb(n, treated) <= samples if n < 64 else False:
+    if not 0 < treated < n:
+        raise ValueError("a permutation needs rows in both arms")
+    # the count of assignments is at least n choose 1; it is worked out only where it may be small
+    if n <= samples and comb(n, treated) <= samples:
         from itertools import combinations
 
+        observed = seen / treated - (total - seen) / (n - treated)
+
         flat = [v for v, c in zip(values, counts) for _ in range(c)]
         null = [sum(x) / treated - (total - sum(x)) / (n - treated) for x in combinations(flat, treated)]
         hits = sum(abs(x) >= abs(observed) for x in null)
         return spark.createDataFrame([("exact_permutation_null", len(null), float(observed), sum(null) / len(null), hits / len(null))],
                                      "method string, samples long, observed double, null_mean double, p_value double")
 
+    observed = seen / treated - (total - seen) / (n - treated)
+
     def draw(batches):
         import numpy as np
         import pandas as pd

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from haggle.functions.scalar import sha256_hex
 from haggle.operators.rank import global_rank
-from haggle.operators.split import id_fingerprint
+from haggle.operators.split import id_set_hash
 
 # Names allowed as features and names that never may be.
 FEATURE_CONTRACT = [
@@ -128,8 +128,8 @@ def lineage(df: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
     """Order-free fingerprint of the training rows and their feature values."""
     text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [row_id, *columns]])
     return df.agg(F.count(F.lit(1)).alias("training_rows"),
-                  F.bit_xor(id_fingerprint(F.col(row_id))).alias("row_hash"),
-                  F.bit_xor(id_fingerprint(text)).alias("feature_hash"))
+                  id_set_hash(F.col(row_id)).alias("row_hash"),
+                  id_set_hash(text).alias("feature_hash"))
 
 
 def case_tokens(cases: DataFrame, content: list[str], source: str) -> DataFrame:

@@ -450,7 +450,7 @@ def candidate_terms(train: DataFrame, features: list[str], limit: int = 18) -> l
     return list(dict.fromkeys([*top, *flags, *pairs]))[:limit]
 
 
-def forward_search(train: DataFrame, dev: DataFrame, features: list[str], max_terms: int = 3, limit: int = 6) -> dict:
+def forward_search(train: DataFrame, dev: DataFrame, features: list[str], max_terms: int = 5, limit: int = 18) -> dict:
     """Add the term that lowers the development loss most, until none does.
     The driver holds only losses; every fit and score is a Spark job."""
     pool = candidate_terms(train, features, limit)

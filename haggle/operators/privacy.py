@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from haggle.operators.split import id_fingerprint
+from haggle.operators.split import id_set_hash
 
 # Patterns of direct identifiers in text.
 VALUE_PATTERNS = {
@@ -17,6 +20,7 @@ VALUE_PATTERNS = {
     "commerce identifier": r"(?i)\bgid://shopify/(?:customer|checkout|order|fulfillment|payment|cart)/",
     "url": r"(?i)^\s*https?://[^/\s]+",
 }
+_NAME_PARTS = r"[._:/\\ -]"
 INTERNAL_TOKEN = r"^\s*(cp_[a-z0-9_]+_[a-f0-9]{16,64}|[a-f0-9]{24,128})\s*$"
 REPORT_PATTERNS = {
     "raw commerce identifier": r"gid://shopify/", "checkout or order url": r"https?://\S+",
@@ -75,10 +79,8 @@ def report_leaks(df: DataFrame, text: str) -> DataFrame:
 
 def key_is_pii(key: str, context: set[str]) -> bool:
     """Whether a field name, under the names above it, points at a person."""
-    import re
-
     low = key.lower()
-    tokens = {t for t in re.split(r"[._:/\\ -]", low) if t}
+    tokens = {t for t in re.split(_NAME_PARTS, low) if t}
     around = context | tokens
     if tokens & set(PSEUDONYM):
         return False
@@ -90,8 +92,6 @@ def key_is_pii(key: str, context: set[str]) -> bool:
 
 def pii_schema_findings(schema: T.DataType, path: str = "$", context: frozenset = frozenset()) -> list[str]:
     """Paths of field names that point at a person, with inherited context (Q22)."""
-    import re
-
     found = []
     if isinstance(schema, T.StructType):
         for f in schema.fields:
@@ -107,16 +107,38 @@ def pii_schema_findings(schema: T.DataType, path: str = "$", context: frozenset
     return found
 
 
+def _person_keys(node: object, context: frozenset[str]) -> set[str]:
+    """Keys of a parsed JSON value that point at a person, under the names above them."""
+    found: set[str] = set()
+    if isinstance(node, dict):
+        for name, below in node.items():
+            low = name.lower()
+            if key_is_pii(low, set(context)):
+                found.add(low)
+            found |= _person_keys(below, context | {t for t in re.split(_NAME_PARTS, low) if t})
+    elif isinstance(node, list):
+        for x in node:
+            found |= _person_keys(x, context)
+    return found
+
+
 def pii_json_keys(df: DataFrame, json_col: str) -> DataFrame:
-    """Rows per key of a JSON column that points at a person. Keys are read as
-    quoted names before a colon, at any depth."""
-    keys = F.array_distinct(F.transform(F.regexp_extract_all(F.col(json_col), F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), F.lit(1)), lambda k: F.lower(k)))
-    d = df.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
-    tokens = F.split("key", r"[._:/\\ -]")
-    has = lambda xs: F.arrays_overlap(tokens, F.array(*[F.lit(x) for x in xs]))
-    hit = (F.col("key").isin(DIRECT_KEYS) | has(CONTACT) | has(FREE_TEXT) | (has(OPERATIONAL) & has(["gid", "id", "ids", "url"]))
-           | (has(CONTEXT) & has([*IDENTIFIER, *FREE_TEXT])))
-    return d.filter(hit & ~has(PSEUDONYM))
+    """Rows per key of a JSON column that points at a person (Q22), at any depth
+    and with the context of the names above it. Text that is no JSON has no keys."""
+
+    def scan(batches):
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for text in batch["j"]:
+                try:
+                    out.extend(_person_keys(json.loads(text), frozenset()) if text else ())
+                except ValueError:
+                    continue
+            yield pd.DataFrame({"key": pd.Series(out, dtype="object")})
+
+    return df.select(F.col(json_col).alias("j")).mapInPandas(scan, "key string").groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def hmac_sha256(key: bytes, message: Column) -> Column:
@@ -197,7 +219,7 @@ def training_dataset(events: DataFrame, consents: DataFrame, purpose: str, as_of
     if gate["m"] and not gate["ok"]:
         raise ValueError(f"a store has no active consent for {purpose}")
     body = F.to_json(F.struct(*sorted(events.columns)))
-    lineage = events.agg(F.count(F.lit(1)).alias("event_count"), F.bit_xor(id_fingerprint(body)).alias("dataset_id"))
+    lineage = events.agg(F.count(F.lit(1)).alias("event_count"), id_set_hash(body).alias("dataset_id"))
     return events, lineage
 
 

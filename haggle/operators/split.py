@@ -193,15 +193,16 @@ def split_table(cases: DataFrame) -> DataFrame:
     return chrono.unionByName(rest)
 
 
-def id_fingerprint(c: Column) -> Column:
-    """A 60-bit number per id; combined with xor it does not depend on order."""
-    return F.conv(F.substring(sha256_hex(c), 1, 15), 16, 10).cast("long")
+def id_set_hash(c: Column) -> Column:
+    """A sum of 60-bit numbers of the ids: it does not depend on order, and
+    repeated ids add up instead of cancelling."""
+    return F.sum(F.conv(F.substring(sha256_hex(c), 1, 15), 16, 10).cast("decimal(20,0)")).cast("string")
 
 
 def split_manifests(table: DataFrame) -> DataFrame:
     """Row counts and an order-free fingerprint per split, target and region."""
     return table.groupBy("split", "target", "region").agg(
-        F.count(F.lit(1)).alias("rows"), F.bit_xor(id_fingerprint(F.col("row_id"))).alias("case_set_hash"))
+        F.count(F.lit(1)).alias("rows"), id_set_hash(F.col("row_id")).alias("case_set_hash"))
 
 
 def assert_disjoint(df: DataFrame, group: str, region: str = "region") -> DataFrame:

@@ -310,7 +310,7 @@ view("v_splits", "SELECT 'chronological_listing_purged' AS split, target, region
 
 
 @query("split_manifests", """
-SELECT split, target, region, COUNT(*) AS rows, BIT_XOR(('0x' || substr(sha256(row_id), 1, 15))::BIGINT) AS case_set_hash
+SELECT split, target, region, COUNT(*) AS rows, SUM(('0x' || substr(sha256(row_id), 1, 15))::BIGINT)::VARCHAR AS case_set_hash
 FROM v_splits GROUP BY ALL""")
 def _(spark, sf):
     return P.split_manifests(P.split_table(cases_of(spark, sf)))
@@ -436,8 +436,8 @@ def _(spark, sf):
 
 
 @query("training_lineage", """
-SELECT COUNT(*) AS training_rows, BIT_XOR(('0x' || substr(sha256(row_id), 1, 15))::BIGINT) AS row_hash,
-       BIT_XOR(('0x' || substr(sha256(concat_ws(chr(31), row_id, category, COALESCE(condition, ''), round_number)), 1, 15))::BIGINT) AS feature_hash
+SELECT COUNT(*) AS training_rows, SUM(('0x' || substr(sha256(row_id), 1, 15))::BIGINT)::VARCHAR AS row_hash,
+       SUM(('0x' || substr(sha256(concat_ws(chr(31), row_id, category, COALESCE(condition, ''), round_number)), 1, 15))::BIGINT)::VARCHAR AS feature_hash
 FROM v_cases WHERE outcome_state = 'supervised'""")
 def _(spark, sf):
     return G.lineage(cases_of(spark, sf).filter("outcome_state = 'supervised'"), "row_id", ["category", "condition", "round_number"])

@@ -258,7 +258,7 @@ def main_text(pages: DataFrame, run: int = RUN, page_col: str = "page_id", url_c
     suffixes = texts.mapInArrow(_suffixes(run), "host string, gram bigint, first bigint, last bigint")
     repeated = suffixes.groupBy("host", "gram").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first <> last")
     own = open_.where("text IS NOT NULL AND NOT chrome").select("row", "host", "place", "text")
-    mine = own.select(F.col("row").alias("first"), F.col("place").alias("last"), "host", "text").mapInArrow(_suffixes(run), "host string, gram bigint, first bigint, last bigint")
+    mine = own.select(F.col("row").alias("first"), F.col("place").cast("long").alias("last"), "host", "text").mapInArrow(_suffixes(run), "host string, gram bigint, first bigint, last bigint")
     hits = mine.distinct().join(repeated.select("host", "gram"), ["host", "gram"]).groupBy(F.col("first").alias("row"), F.col("last").alias("place")).agg(F.collect_list("gram").alias("repeated"))
     left = own.join(hits, ["row", "place"], "left").select("row", "place", "text", "repeated").mapInArrow(_unique_runs(run), "row bigint, place int, text string").where("text <> ''")
     joined = left.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n").alias("text"))

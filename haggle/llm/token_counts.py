@@ -14,12 +14,13 @@ from haggle.llm import library, pretokens
 from haggle.llm.arrays import text_slices
 from haggle.session import scratch_path
 
-#: The most frequent pre-tokens are joined inside the tasks: so many of at most so
-#: many bytes, 18 MB in all with their counts. All others are joined by a shuffle.
+#: The most frequent pre-tokens have their pieces in a table that every task holds:
+#: so many rows of at most so many bytes, 18 MB in all with their counts.
 HEAD, HEAD_BYTES = 1 << 18, 64
 
-#: Distinct pre-tokens that a task holds before it hands them on.
-HELD = 1 << 20
+#: Distinct pre-tokens that a task holds before it hands them on, and how often it
+#: must have seen one to hand it on. Only what is in the table depends on it, no count.
+HELD, SEEN = 1 << 20, 2
 
 
 def _distinct(path: str):
@@ -28,7 +29,8 @@ def _distinct(path: str):
         held: dict[bytes, int] = {}
 
         def hand_on() -> Iterator[pa.RecordBatch]:
-            words, counts = list(held), list(held.values())
+            often = {w: n for w, n in held.items() if n >= SEEN and len(w) <= HEAD_BYTES}
+            words, counts = list(often), list(often.values())
             held.clear()
             for i in range(0, len(words), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 100_000], pa.binary()), pa.array(counts[i : i + 100_000], pa.int64())], ["token", "n"])
@@ -57,7 +59,7 @@ def _pieces(path: str):
 
 
 def _frequencies(path: str, head: pa.Table):
-    """One row per document with the pieces of its frequent pre-tokens, and one per document and other pre-token."""
+    """Each document's pre-token frequencies, joined to the pieces per pre-token and summed."""
     known, pieces = head.column("token").combine_chunks(), head.column("pieces").to_numpy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,25 +68,17 @@ def _frequencies(path: str, head: pa.Table):
             for i, j, data, offsets in text_slices(batch, "text"):
                 tokens, bounds = pretokens.split(data, offsets, special)
                 index = tokens.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                place = pc.fill_null(pc.index_in(tokens.dictionary, value_set=known), -1).to_numpy(zero_copy_only=False)
                 width = max(1, len(tokens.dictionary))
                 doc = np.repeat(np.arange(j - i), np.diff(bounds))
                 pairs, freq = np.unique(doc * width + index, return_counts=True)
-                doc, token = pairs // width, pairs % width
-                frequent = place[token] >= 0
-                near = np.zeros(j - i, np.int64)
-                np.add.at(near, doc[frequent], freq[frequent] * pieces[place[token[frequent]]])
-                rows = batch.slice(i, j - i)
-                own = [rows.column("row"), rows.column("doc_id"), pa.array(np.diff(offsets)), pa.array(near)]
-                none = pa.nulls(j - i, pa.binary())
-                yield pa.RecordBatch.from_arrays([*own, none, pa.nulls(j - i, pa.int64())], ["row", "doc_id", "n_bytes", "near", "token", "freq"])
-                rest = np.flatnonzero(~frequent)
-                for k in range(0, len(rest), 200_000):
-                    some = rest[k : k + 200_000]
-                    at = pa.array(doc[some])
-                    columns = [own[0].take(at), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()),
-                               tokens.dictionary.take(pa.array(token[some])), pa.array(freq[some].astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_bytes", "near", "token", "freq"])
+                place = pc.fill_null(pc.index_in(tokens.dictionary, value_set=known), -1).to_numpy(zero_copy_only=False)
+                each = np.zeros(width, np.int64)
+                frequent = np.flatnonzero(place >= 0)
+                each[frequent] = pieces[place[frequent]]
+                rare = np.flatnonzero(place < 0)
+                each[rare] = library.encode_distinct(path, tokens.dictionary.take(pa.array(rare)))[1]
+                total = np.bincount(pairs // width, weights=freq * each[pairs % width], minlength=j - i).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(offsets)), pa.array(total)], ["doc_id", "n_bytes", "n_tokens"])
 
     return run
 
@@ -92,25 +86,20 @@ def _frequencies(path: str, head: pa.Table):
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes (UTF-8) and n_tokens of every row, as the tokenizers library counts them.
 
-    The distinct pre-tokens of the corpus are gathered with their frequencies and
-    each goes through the library once. Then a document's pre-token frequencies are
-    joined to the pieces per pre-token and summed: the most frequent ones inside the
-    task against a table of bounded size, the rest by a shuffle on the pre-token.
+    The frequencies of pre-tokens are summed over all texts and the most frequent
+    ones go through the library once; their table, of bounded size, is joined inside
+    the tasks to each document's pre-token frequencies. A rarer pre-token is counted
+    where it stands, once for all documents of a slice and as long as the worker
+    remembers it, so neither pairs of documents and pre-tokens nor ids are shuffled.
     A null or empty text has 0 bytes and 0 tokens. Special strings count as the
     library takes them. Repeated rows keep one result each, null ids too; other
     columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    distinct = rows.select("text").mapInArrow(_distinct(tokenizer_path), "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    counted = rows.select("text").mapInArrow(_distinct(tokenizer_path), "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    top = counted.orderBy(F.desc("n"), "token").limit(HEAD)
     path = scratch_path(spark, "pieces")
-    distinct.mapInArrow(_pieces(tokenizer_path), "token binary, n bigint, pieces int").write.option("compression", "zstd").parquet(path)
-    pieces = spark.read.parquet(path)
-    short = F.octet_length("token") <= HEAD_BYTES
-    head = pieces.where(short).orderBy(F.desc("n"), "token").limit(HEAD).select("token", "pieces").toArrow()
-    found = rows.mapInArrow(_frequencies(tokenizer_path, head), "row bigint, doc_id bigint, n_bytes bigint, near bigint, token binary, freq bigint")
-    # a document's own row meets no pre-token: its key is no UTF-8, and spread
-    key = F.coalesce("token", F.concat(F.unhex(F.lit("FF")), F.encode(F.col("row").cast("string"), "utf-8")))
-    joined = found.withColumn("token", key).join(pieces.select("token", "pieces"), "token", "left")
-    tokens = F.sum(F.coalesce("near", F.col("freq") * F.col("pieces")))
-    return joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), tokens.alias("n_tokens")).drop("row")
+    top.mapInArrow(_pieces(tokenizer_path), "token binary, n bigint, pieces int").write.parquet(path)
+    head = spark.read.parquet(path).select("token", "pieces").toArrow()
+    return rows.mapInArrow(_frequencies(tokenizer_path, head), "doc_id bigint, n_bytes bigint, n_tokens bigint")

@@ -38,7 +38,7 @@ SYMBOLS = _OTHER_LETTER + 1
 # Letters that a sign may stand for.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c",
+    "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l",
 }
 # Signs put between the letters of one word.
 GAPS = " .-_*~,/"
@@ -144,7 +144,7 @@ def _may_hold(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     times, or single letters two gaps apart. Bytes are enough for that."""
     kind = np.zeros(256, np.uint8)
     kind[[*range(65, 91), *range(97, 123), *range(0x80, 0x100)]] = 1
-    kind[[b for b in b"0123456789@$!|+(<"]] = 2
+    kind[[b for b in b"0123456789@$!|+"]] = 2
     kind[[b for b in GAPS.encode()]] = 3
     k = kind[data]
     hit = np.zeros(len(data), bool)

@@ -30,8 +30,10 @@ RUN_WORDS = 20
 RECALL = 0.99
 #: Bits of the filter that spares a shuffle of paragraphs; its size is fixed, false hits cost only time.
 FILTER_BITS = 1 << 24
+#: Bytes of text that a task takes at once.
+SLICE = 1 << 20
 #: Band rows that a task holds to drop its own repetitions.
-HELD = 1 << 20
+HELD = 1 << 18
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -98,7 +100,7 @@ class Paragraphs:
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Paragraphs]]:
     for batch in batches:
-        for i, j, data, offsets in text_slices(batch, "text"):
+        for i, j, data, offsets in text_slices(batch, "text", SLICE):
             yield batch.slice(i, j - i), Paragraphs(data, offsets)
 
 

@@ -139,38 +139,49 @@ def restore(text: str, model: CharacterModel) -> str:
     return _SUSPECT.sub(read, text)
 
 
-def _may_hold(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Which texts may hold a suspect span: a sign before a letter, a letter three
-    times, or single letters two gaps apart. Bytes are enough for that."""
+def _hits(data: np.ndarray) -> np.ndarray:
+    """Bytes at which a suspect span may be: a sign before a letter, a letter three
+    times, or single letters two gaps apart. Every suspect span has one."""
     kind = np.zeros(256, np.uint8)
     kind[[*range(65, 91), *range(97, 123), *range(0x80, 0x100)]] = 1
     kind[[b for b in b"0123456789@$!|+"]] = 2
     kind[[b for b in GAPS.encode()]] = 3
     k = kind[data]
     hit = np.zeros(len(data), bool)
-    if len(data) > 4:
+    if len(data) > 5:
         low = data | 0x20
         hit[:-1] = (k[:-1] == 2) & (k[1:] == 1)
         hit[:-2] |= (k[:-2] == 1) & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:])
+        twice = (data[:-5] >= 0x80) & (low[:-5] == low[2:-3]) & (low[2:-3] == low[4:-1]) & (low[1:-4] == low[3:-2]) & (low[3:-2] == low[5:])
+        hit[:-5] |= twice  # the same letter of two bytes
         any_ = (k == 1) | (k == 2)
-        wide = np.zeros(len(data), bool)  # letter, gap, one character of at most two bytes, gap, letter
-        wide[:-4] = any_[:-4] & (k[1:-3] == 3) & any_[2:-2] & (k[3:-1] == 3) & any_[4:]
-        wide[:-5] |= any_[:-5] & (k[1:-4] == 3) & (data[2:-3] >= 0x80) & (data[3:-2] >= 0x80) & (k[4:-1] == 3) & any_[5:]
-        hit |= wide
-    total = np.concatenate(([0], np.cumsum(hit)))
-    return total[offsets[1:]] > total[offsets[:-1]]
+        # letter, gap, one character of at most two bytes, gap, letter
+        hit[:-4] |= any_[:-4] & (k[1:-3] == 3) & any_[2:-2] & (k[3:-1] == 3) & any_[4:]
+        hit[:-5] |= any_[:-5] & (k[1:-4] == 3) & (data[2:-3] >= 0x80) & (data[3:-2] >= 0x80) & (k[4:-1] == 3) & any_[5:]
+    else:
+        hit[:] = True
+    return np.flatnonzero(hit)
 
 
 def _restored_symbols(data: np.ndarray, offsets: np.ndarray, model: CharacterModel) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of the restored texts of a slice, and where each begins."""
+    """Symbols of the restored texts of a slice, and where each begins. Only lines
+    with a hit are searched: no suspect span reaches beyond its line."""
     raw = data.tobytes()
-    maybe = _may_hold(data, offsets)
-    if maybe.any():
-        texts = [raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])]
-        texts = [restore(t, model) if m else t for t, m in zip(texts, maybe)]
-        coded, lengths = symbols("".join(texts)), [len(t) for t in texts]
-        return coded, np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
-    lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    at = _hits(data)
+    if len(at):
+        cuts = np.unique(np.concatenate((offsets, np.flatnonzero(data == 0x0A) + 1)))
+        parts, ends, grown, done = [], [], [], 0
+        for k in np.unique(np.searchsorted(cuts, at, side="right") - 1):
+            a, b = int(cuts[k]), int(cuts[k + 1]) if k + 1 < len(cuts) else len(raw)
+            read = restore(raw[a:b].decode(), model).encode()
+            parts += [raw[done:a], read]
+            ends.append(b)
+            grown.append(len(read) - (b - a))
+            done = b
+        parts.append(raw[done:])
+        raw = b"".join(parts)
+        offsets = offsets + np.concatenate(([0], np.cumsum(grown)))[np.searchsorted(ends, offsets, side="right")]
+    lead = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
     return symbols(raw.decode()), lead[offsets]
 
 

@@ -150,8 +150,9 @@ def _distance(pairs: DataFrame, sketches: DataFrame, low: int, high: int) -> Dat
     return told.mapInArrow(measure("fine", np.uint8, fine_reach(low, high)), "a bigint, b bigint, d int")
 
 
-def _cross_pairs(low: int, high: int):
-    """Pairs of different components under one key block; rows come sorted by (key, i, j)."""
+def _cross_pairs(low: int, high: int, nearest: bool):
+    """Pairs of different components under one key block, or each member's nearest
+    such pair; rows come sorted by (key, i, j)."""
 
     reach = fine_reach(low, high)
 
@@ -169,6 +170,8 @@ def _cross_pairs(low: int, high: int):
                 other = other[(sig[other] != sig[k]).sum(axis=1) <= REACH]
                 far = (fine[other] != fine[k]).sum(axis=1)
                 near = far <= reach
+                if nearest and near.any():
+                    near = np.arange(len(far)) == np.argmin(far)
                 a.append(np.full(int(near.sum()), ids[k]))
                 b.append(ids[other[near]])
                 d.append(far[near])
@@ -320,20 +323,32 @@ def near_components(docs: DataFrame, size: int = 5, low: int = 80, high: int = 1
     known, done = _link(cand, None, texts, size, low, high)
 
     # what is left: keys over several components, whose members beside the hubs have not met
-    placed = shared.where("members > 2").join(known.withColumnRenamed("v", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    parts = F.ceil(F.col("members") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), parts).cast("int")
-    spread = placed.join(split, "key", "left_semi").select("key", "id", "component", mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    blocks = spread.select("key", "id", "component", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    blocks = blocks.join(classes.dropDuplicates(["id"]).select("id", "n", "sig", "fine"), "id")
-    sorted_ = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more_path = scratch_path(spark, "candidates")
-    found = sorted_.mapInArrow(_cross_pairs(low, high), "a bigint, b bigint, d int").distinct().join(done, ["a", "b"], "left_anti")
-    found.write.parquet(more_path)
-    more = spark.read.parquet(more_path)
-    if not more.isEmpty():
-        known, _ = _link(more, known, texts, size, low, high)
+    sketched = classes.dropDuplicates(["id"]).select("id", "n", "sig", "fine")
+
+    def across(known: DataFrame, done: DataFrame, nearest: bool) -> DataFrame:
+        placed = shared.where("members > 2").join(known.withColumnRenamed("v", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+        parts = F.ceil(F.col("members") / BLOCK).cast("int")
+        mine = F.pmod(F.xxhash64("id"), parts).cast("int")
+        spread = placed.join(split, "key", "left_semi").select("key", "id", "component", mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+        blocks = spread.select("key", "id", "component", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+        sorted_ = blocks.join(sketched, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        found = sorted_.mapInArrow(_cross_pairs(low, high, nearest), "a bigint, b bigint, d int").distinct().join(done, ["a", "b"], "left_anti")
+        more_path = scratch_path(spark, "candidates")
+        found.write.parquet(more_path)
+        return spark.read.parquet(more_path)
+
+    # each member's nearest partner elsewhere first, while that joins components; then every pair still between two
+    nearest, parts_left = True, None
+    while True:
+        more = across(known, done, nearest)
+        if not more.isEmpty():
+            known, compared = _link(more, known, texts, size, low, high)
+            done = done.unionByName(compared)
+        if not nearest:
+            break
+        now = known.select("component").distinct().count()
+        nearest, parts_left = now != parts_left and not more.isEmpty(), now
 
     of_class = classes.select("digest", "id").join(known.withColumnRenamed("v", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     joined = sketches.select("doc_id", "n", "digest").join(of_class, "digest", "left")

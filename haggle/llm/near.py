@@ -4,33 +4,41 @@ A signature has 40 places of 16 bits in 8 chunks. If two signatures differ in at
 15 places, some chunk differs in at most one (pigeonhole), so the two agree on a key
 of that chunk with one place left out. Keys name every chunk and place left out:
 all pairs within that distance meet under a key, and a pair at the threshold lies
-beyond it once in several thousand. What meets is compared by signature, by size, by a
-finer signature, and at last by the whole sets."""
+beyond it once in several thousand.
+
+Under each key a finer signature tells which pairs may be links; a spanning forest of
+those is all that leaves the task, as clusters need no more. The texts of a cluster
+then meet once, and full sets decide; a pair that confirmed links already connect is
+not compared again. So neither step hands on a row for each pair."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haggle.llm.arrays import lower_ascii, mix, span_hashes, text_slices
+from haggle.llm.arrays import lower_ascii, mix, ragged, span_hashes, text_slices
 from haggle.llm.components import components
-from haggle.session import cut_lineage, scratch_path
+from haggle.session import scratch_path
 
 CHUNKS, CHUNK = 8, 5
 PLACES = CHUNKS * CHUNK
 #: Distance up to which every pair is found: one error in each chunk, and one more chunk hit would be two.
 REACH = 2 * CHUNKS - 1
 
-#: Places of one byte that tell near pairs from the rest before their sets are fetched.
+#: Places of two bits that tell near pairs from the rest.
 FINE = 256
 
-#: Members of a key that are compared at once; more are compared block by block.
-BLOCK = 2048
+#: Classes under one key that are compared at once; more are compared block by block.
+BLOCK = 1 << 14
+
+#: Bytes of text of one cluster that are compared at once; more are compared block by block.
+BLOCK_BYTES = 16 << 20
 
 _FACTORS = mix(np.arange(1, PLACES + FINE + 1, dtype=np.uint64)) | np.uint64(1)
 # Words are cut at space, tab, line feed, vertical tab, form feed and return.
@@ -70,27 +78,41 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nd
 
 
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Two signatures of each non-empty set: bits of the least hash under each of many orders."""
+    """Two signatures of each non-empty set: bits of the least hash under each of many
+    orders. The finer one has 32 places of two bits in each of its words."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets[:-1])])
     out = np.empty((len(sets), PLACES), np.uint16)
-    fine = np.empty((len(sets), FINE), np.uint8)
+    fine = np.zeros((len(sets), FINE // 32), np.uint64)
     for k, factor in enumerate(_FACTORS):
         least = mix(np.minimum.reduceat(flat * factor, starts))
         if k < PLACES:
             out[:, k] = least & np.uint64(0xFFFF)
         else:
-            fine[:, k - PLACES] = least & np.uint64(0xFF)
+            word, place = divmod(k - PLACES, 32)
+            fine[:, word] |= (least & np.uint64(3)) << np.uint64(2 * place)
     return out, fine
 
 
+def fine_distance(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Places in which each of the others' finer signatures differs from one."""
+    x = others ^ one
+    x |= x >> np.uint64(1)
+    x &= np.uint64(0x5555555555555555)
+    return np.bitwise_count(x).sum(axis=1, dtype=np.int32)
+
+
 def fine_reach(low: int, high: int) -> int:
-    """Places of the fine signature in which a pair at the threshold differs at most,
+    """Places of the finer signature in which a pair at the threshold differs at most,
     but for one pair in about 300,000 (four and a half standard deviations)."""
-    apart = (1 - low / high) * (1 - 1 / 256)
+    apart = (1 - low / high) * (1 - 1 / 4)
     return int(np.ceil(FINE * apart + 4.5 * np.sqrt(FINE * apart * (1 - apart))))
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,9 +124,9 @@ def _sketch(size: int):
                 digest: list[bytes | None] = [None] * len(sets)
                 if full:
                     for k, row, more in zip(full, *signatures([sets[k] for k in full])):
-                        sig[k], fine[k], digest[k] = row.tobytes(), more.tobytes(), hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest()
-                columns = [batch.column("doc_id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(fine, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "sig", "fine"])
+                        sig[k], fine[k], digest[k] = row.tobytes(), more.tobytes(), _digest(sets[k])
+                columns = [batch.column("doc_id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.diff(offsets)), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(fine, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "bytes", "digest", "sig", "fine"])
 
     return run
 
@@ -114,180 +136,162 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, CHUNKS, CHUNK).astype(np.uint64)
-        found = []
         for c in range(CHUNKS):
             for left_out in range(CHUNK):
-                places = [p for p in range(CHUNK) if p != left_out]
                 packed = np.zeros(len(sig), np.uint64)
-                for p in places:
-                    packed = packed << np.uint64(16) | sig[:, c, p]
-                found.append(mix(packed ^ mix(np.array([c * CHUNK + left_out + 1], np.uint64))))
-        for key in found:
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("id")], ["key", "id"])
-
-
-def _distance(pairs: DataFrame, sketches: DataFrame, low: int, high: int) -> DataFrame:
-    """Pairs (a, b) whose signatures and sizes allow a link, with their distance."""
-
-    def measure(col: str, kind: type, reach: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    x, y = (np.frombuffer(b"".join(batch.column(f"{col}_{c}").to_pylist()), kind).reshape(batch.num_rows, -1) for c in ("a", "b"))
-                    d = (x != y).sum(axis=1)
-                    near = np.flatnonzero(d <= reach)
-                    at = pa.array(near)
-                    yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at), pa.array(d[near].astype(np.int32))], ["a", "b", "d"])
-
-        return run
+                for p in range(CHUNK):
+                    if p != left_out:
+                        packed = packed << np.uint64(16) | sig[:, c, p]
+                key = mix(packed ^ mix(np.array([c * CHUNK + left_out + 1], np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("c")], ["key", "c"])
+
+
+def _in_blocks(rows: DataFrame, group: str, parts: Column, member: str = "c") -> DataFrame:
+    """rows with the pairs of blocks (i, j) that they take part in, so that every two
+    members of a group share one; `mine` is a row's own block of its group's `parts`."""
+    mine = F.pmod(F.xxhash64(member, F.lit(7)), parts).cast("int")
+    spread = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
+    pairs = spread.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("other")
+    return pairs.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], group: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of (group, i, j) and the bounds of these; rows come sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            ends = [batch.slice(0, 1), batch.slice(batch.num_rows - 1)]
+            if len(held) > 1 and all(x.column(c)[0] == held[0].column(c)[0] for x in ends for c in (group, "i", "j")):
+                continue  # the whole batch goes on with what is held
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).combine_chunks()
+        same = np.ones(len(rows) - 1, bool)
+        for c in (group, "i", "j"):
+            v = rows.column(c).to_numpy()
+            same &= v[1:] == v[:-1]
+        bounds = np.array([0, *(np.flatnonzero(~same) + 1), len(rows)])
+        whole = bounds if batch is None else bounds[:-1]
+        if len(whole) > 1:
+            yield rows.slice(0, int(whole[-1])), whole
+        held = rows.slice(int(whole[-1])).to_batches()
+
+
+def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are of block i, and which of block j."""
+    return tuple(rows.column("mine").to_numpy() == rows.column(c).to_numpy() for c in ("i", "j"))
+
+
+def _words(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), FINE // 32)
+
+
+def _spanning(of_left: np.ndarray, of_right: np.ndarray, near) -> list[tuple[int, int]]:
+    """A spanning forest of the graph between left and right (or inside left, if they
+    are the same): `near(k, others)` gives those of the others that are tied to k."""
+    left, right = np.flatnonzero(of_left), np.flatnonzero(of_right)
+    inside = len(left) == len(of_left)
+    unseen = np.ones(len(of_left), bool)
+    edges = []
+    for root in left:
+        if not unseen[root]:
+            continue
+        unseen[root] = False
+        queue = [root]
+        while queue:
+            k = queue.pop()
+            others = left if inside else right if of_left[k] else left
+            others = others[unseen[others]]
+            if len(others):
+                found = near(k, others)
+                unseen[found] = False
+                edges += [(int(k), int(o)) for o in found]
+                queue += found.tolist()
+    return edges
+
+
+def _edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
+def _forest(low: int, high: int):
+    """Edges that span the pairs under a key which sizes and finer signatures allow."""
+    reach = fine_reach(low, high)
 
-    sides = [sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}")) for c in ("a", "b")]
-    both = pairs.join(sides[0], "a").join(sides[1], "b")
-    fits = F.least("n_a", "n_b") * high >= F.greatest("n_a", "n_b") * low
-    close = both.where(fits).select("a", "b", "sig_a", "sig_b").mapInArrow(measure("sig", np.uint16, REACH), "a bigint, b bigint, d int")
-    finer = [sketches.select(F.col("id").alias(c), F.col("fine").alias(f"fine_{c}")) for c in ("a", "b")]
-    told = close.select("a", "b").join(finer[0], "a").join(finer[1], "b").select("a", "b", "fine_a", "fine_b")
-    return told.mapInArrow(measure("fine", np.uint8, fine_reach(low, high)), "a bigint, b bigint, d int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in _runs(batches, "key"):
+            c, n, fine = rows.column("c").to_numpy(), rows.column("n").to_numpy(), _words(rows.column("fine"))
+            lefts, rights = _sides(rows)
+
+            def fits(a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
+                return (np.minimum(n[a], n[b]) * high >= np.maximum(n[a], n[b]) * low) & (fine_distance(fine[a], fine[b]) <= reach)
+
+            two = bounds[:-1][np.diff(bounds) == 2]
+            two = two[fits(two, two + 1)]
+            edges = [_edges(c[two], c[two + 1])]
+            for x, y in zip(bounds[:-1], bounds[1:]):
+                if y - x > 2:
+                    tied = _spanning(lefts[x:y], rights[x:y], lambda k, others: others[fits(x + k, x + others)])
+                    if tied:
+                        u, v = x + np.array(tied).T
+                        edges.append(_edges(c[u], c[v]))
+            yield from pa.Table.from_batches(edges).combine_chunks().to_batches()
 
+    return run
 
-def _cross_pairs(low: int, high: int, nearest: bool):
-    """Pairs of different components under one key block, or each member's nearest
-    such pair; rows come sorted by (key, i, j)."""
 
+def _confirm(size: int, low: int, high: int):
+    """Links that span the pairs of a cluster with low * |union| <= high * |intersection| on full sets."""
     reach = fine_reach(low, high)
 
-    def of_group(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids, comp, n, mine = (rows.column(c).to_numpy() for c in ("id", "component", "n", "mine"))
-        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(-1, PLACES)
-        fine = np.frombuffer(b"".join(rows.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
-        left = np.flatnonzero(mine == rows.column("i")[0].as_py())
-        right = left if rows.column("i")[0] == rows.column("j")[0] else np.flatnonzero(mine == rows.column("j")[0].as_py())
-        a, b, d = [], [], []
-        for k in left:
-            fit = (comp[right] != comp[k]) & (np.minimum(n[right], n[k]) * high >= np.maximum(n[right], n[k]) * low) & ((ids[right] > ids[k]) | (right is not left))
-            other = right[fit]
-            if len(other):
-                other = other[(sig[other] != sig[k]).sum(axis=1) <= REACH]
-                far = (fine[other] != fine[k]).sum(axis=1)
-                near = far <= reach
-                if nearest and near.any():
-                    near = np.arange(len(far)) == np.argmin(far)
-                a.append(np.full(int(near.sum()), ids[k]))
-                b.append(ids[other[near]])
-                d.append(far[near])
-        none = np.zeros(0, np.int64)
-        return tuple(np.concatenate(x) if x else none for x in (a, b, d))
+    def of_cluster(rows: pa.Table) -> pa.RecordBatch | None:
+        texts = pa.RecordBatch.from_arrays([rows.column("text").combine_chunks()], ["text"])
+        sets = [s for _, _, data, offsets in text_slices(texts, "text") for s in shingle_sets(data, offsets, size)]
+        digests = rows.column("digest").to_pylist()
+        # rows that share an id come with the texts of all of them: one row of the class itself stays
+        own = {c: k for k, c in enumerate(rows.column("c").to_pylist()) if _digest(sets[k]) == digests[k]}
+        some = sorted(own.values())
+        if len(some) < 2:
+            return None
+        rows, sets = rows.take(pa.array(some)), [sets[k] for k in some]
+        fine = _words(rows.column("fine"))
+        n = np.array([len(s) for s in sets])
+        starts = np.cumsum(n) - n
+        _, code = np.unique(np.concatenate(sets), return_inverse=True)
+        marked = np.zeros(int(code.max()) + 1, bool)
+
+        def near(k: int, others: np.ndarray) -> np.ndarray:
+            others = others[np.minimum(n[others], n[k]) * high >= np.maximum(n[others], n[k]) * low]
+            others = others[fine_distance(fine[k], fine[others]) <= reach]
+            if not len(others):
+                return others
+            mine = code[starts[k] : starts[k] + n[k]]
+            marked[mine] = True
+            ends = np.cumsum(n[others])
+            shared = np.add.reduceat(marked[code[ragged(starts[others], n[others])]], ends - n[others], dtype=np.int64)
+            marked[mine] = False
+            return others[high * shared >= low * (n[others] + n[k] - shared)]
+
+        tied = _spanning(*_sides(rows), near)
+        if not tied:
+            return None
+        u, v = np.array(tied).T
+        c = rows.column("c").to_numpy()
+        return _edges(c[u], c[v])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def finished(last: bool) -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held).combine_chunks()
-            same = np.ones(len(rows) - 1, bool)
-            for c in ("key", "i", "j"):
-                v = rows.column(c).to_numpy()
-                same &= v[1:] == v[:-1]
-            bounds = [0, *(np.flatnonzero(~same) + 1).tolist(), len(rows)]
-            stop = len(bounds) - 1 if last else len(bounds) - 2
-            for x, y in zip(bounds[:stop], bounds[1 : stop + 1]):
-                a, b, d = of_group(rows.slice(x, y - x))
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d.astype(np.int32))], ["a", "b", "d"])
-            held[:] = rows.slice(bounds[stop]).to_batches()
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                yield from finished(False)
-        if held:
-            yield from finished(True)
+        for rows, bounds in _runs(batches, "cluster"):
+            for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                links = of_cluster(rows.slice(x, y - x))
+                if links is not None:
+                    yield links
 
     return run
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, size: int, low: int, high: int) -> DataFrame:
-    """Of the pairs (a, b), those whose full sets have low * |union| <= high * |intersection|; written."""
-    spark = pairs.sparkSession
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, data, offsets in text_slices(batch, "text"):
-                found = shingle_sets(data, offsets, size)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array([s.tobytes() for s in found], pa.binary())], ["id", "shingles"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(high * shared >= low * (len(p) + len(q) - shared) and shared > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    path = scratch_path(spark, "sets")
-    docs.join(ids, "id", "left_semi").mapInArrow(sets, "id bigint, shingles binary").write.option("compression", "none").parquet(path)
-    stored = spark.read.parquet(path)
-    first = pairs.select("a", "b").join(stored.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
-    both = first.join(stored.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
-    out = scratch_path(spark, "links")
-    both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a bigint, b bigint").write.parquet(out)
-    return spark.read.parquet(out)
-
-
-def _join_up(known: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Components (v, component) after some more links."""
-    if known is None:
-        return cut_lineage(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    at = _places(links, known)
-    merged = components(at.select(F.col("ca").alias("u"), F.col("cb").alias("v"))).select(F.col("v").alias("component"), F.col("component").alias("to"))
-    every = known.unionByName(links.select(F.col("a").alias("v"), F.col("a").alias("component"))).unionByName(links.select(F.col("b").alias("v"), F.col("b").alias("component")))
-    least = every.groupBy("v").agg(F.min("component").alias("component"))
-    return cut_lineage(least.join(merged, "component", "left").select("v", F.coalesce("to", "component").alias("component")))
-
-
-def _places(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs with the components of both sides; a vertex on no link is its own."""
-    a, b = (known.select(F.col("v").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b"))
-    return pairs.join(a, "a", "left").join(b, "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
-
-
-def _link(cand: DataFrame, known: DataFrame | None, docs: DataFrame, size: int, low: int, high: int) -> tuple[DataFrame | None, DataFrame]:
-    """Confirm candidates until none is left between two components.
-
-    A pair inside one component adds nothing, so each round takes the nearest pairs
-    of every two components, more each time, and at last all that are left. Returns
-    the components and the pairs that were compared.
-    """
-    spark = cand.sparkSession
-    done = None
-    take = 1
-    while True:
-        open_ = cand
-        if known is not None:
-            open_ = _places(cand, known).where("ca <> cb")
-        if done is not None:
-            open_ = open_.join(done, ["a", "b"], "left_anti")
-        if known is None:  # at first each document's nearest partner
-            now = open_.groupBy("b").agg(F.min(F.struct("d", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-        else:
-            open_ = cut_lineage(open_.select("a", "b", "d", F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")))
-            if open_.isEmpty():
-                return known, done if done is not None else cand.select("a", "b").limit(0)
-            now = open_.select("a", "b")
-            if take < 64:
-                nearest = F.row_number().over(Window.partitionBy("x", "y").orderBy("d", "a", "b"))
-                now = open_.withColumn("place", nearest).where(F.col("place") <= take).select("a", "b")
-        path = scratch_path(spark, "pairs")
-        now.write.parquet(path)
-        now = spark.read.parquet(path)
-        links = _confirm(now, docs, size, low, high)
-        if known is None or not links.isEmpty():
-            known = _join_up(known, links)
-        done = now if done is None else done.unionByName(now)
-        take *= 8
-
-
 def near_components(docs: DataFrame, size: int = 5, low: int = 80, high: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the least id that links lead to) of every row.
 
@@ -301,58 +305,44 @@ def near_components(docs: DataFrame, size: int = 5, low: int = 80, high: int = 1
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     path = scratch_path(spark, "sketches")
-    rows.mapInArrow(_sketch(size), "doc_id bigint, n bigint, digest binary, sig binary, fine binary").write.parquet(path)
+    rows.mapInArrow(_sketch(size), "doc_id bigint, n bigint, bytes bigint, digest binary, sig binary, fine binary").write.parquet(path)
     sketches = spark.read.parquet(path)
-    classes_path = scratch_path(spark, "classes")
     usable = sketches.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    usable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.max("fine").alias("fine")).write.parquet(classes_path)
-    classes = spark.read.parquet(classes_path)
-    texts = rows.withColumnRenamed("doc_id", "id")
-
-    keys_path = scratch_path(spark, "keys")
-    keys = classes.select("id", "sig").mapInArrow(_keys, "key bigint, id bigint")
-    # a hub for each key, another for each: the least id in an order that the key sets
-    hubs = keys.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(F.col("key"))).alias("least"), F.count(F.lit(1)).alias("members"))
-    hubs = hubs.where("members > 1").select("key", F.col("least").bitwiseXOR(F.col("key")).alias("hub"), "members")
-    hubs.join(keys, "key").write.parquet(keys_path)
-    shared = spark.read.parquet(keys_path)
-    star = shared.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    cand_path = scratch_path(spark, "candidates")
-    _distance(star, classes, low, high).write.parquet(cand_path)
-    cand = spark.read.parquet(cand_path)
-    known, done = _link(cand, None, texts, size, low, high)
-
-    # what is left: keys over several components, whose members beside the hubs have not met
-    sketched = classes.dropDuplicates(["id"]).select("id", "n", "sig", "fine")
-
-    def across(known: DataFrame, done: DataFrame, nearest: bool) -> DataFrame:
-        placed = shared.where("members > 2").join(known.withColumnRenamed("v", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        parts = F.ceil(F.col("members") / BLOCK).cast("int")
-        mine = F.pmod(F.xxhash64("id"), parts).cast("int")
-        spread = placed.join(split, "key", "left_semi").select("key", "id", "component", mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-        blocks = spread.select("key", "id", "component", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-        sorted_ = blocks.join(sketched, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        found = sorted_.mapInArrow(_cross_pairs(low, high, nearest), "a bigint, b bigint, d int").distinct().join(done, ["a", "b"], "left_anti")
-        more_path = scratch_path(spark, "candidates")
-        found.write.parquet(more_path)
-        return spark.read.parquet(more_path)
-
-    # each member's nearest partner elsewhere first, while that joins components; then every pair still between two
-    nearest, parts_left = True, None
-    while True:
-        more = across(known, done, nearest)
-        if not more.isEmpty():
-            known, compared = _link(more, known, texts, size, low, high)
-            done = done.unionByName(compared)
-        if not nearest:
-            break
-        now = known.select("component").distinct().count()
-        nearest, parts_left = now != parts_left and not more.isEmpty(), now
-
-    of_class = classes.select("digest", "id").join(known.withColumnRenamed("v", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    joined = sketches.select("doc_id", "n", "digest").join(of_class, "digest", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    # equal sets have equal sizes and signatures; the written number names a class from here on
+    least = usable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.max("bytes").alias("bytes"), *(F.max(x).alias(x) for x in ("n", "sig", "fine")))
+    path = scratch_path(spark, "classes")
+    least.withColumn("c", F.monotonically_increasing_id()).write.parquet(path)
+    classes = spark.read.parquet(path)
+
+    keys = classes.select("c", "sig").mapInArrow(_keys, "key bigint, c bigint")
+    members = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = keys.join(members, "key").join(classes.select("c", "n", "fine"), "c")
+    blocks = _in_blocks(shared, "key", F.ceil(F.col("members") / BLOCK)).select("key", "i", "j", "mine", "c", "n", "fine")
+    path = scratch_path(spark, "edges")
+    blocks.mapInArrow(_forest(low, high), "u bigint, v bigint").distinct().write.parquet(path)
+    clusters = components(spark.read.parquet(path))
+    path = scratch_path(spark, "clusters")
+    clusters.select(F.col("v").alias("c"), F.col("component").alias("cluster")).join(classes.drop("sig", "n"), "c").write.parquet(path)
+    placed = spark.read.parquet(path)
+
+    weights = placed.groupBy("cluster").agg(F.sum("bytes").alias("weight"))
+    texts = placed.join(weights, "cluster").join(rows.withColumnRenamed("doc_id", "id"), "id")
+    blocks = _in_blocks(texts, "cluster", F.ceil((F.col("weight") + 1) / BLOCK_BYTES)).select("cluster", "i", "j", "mine", "c", "digest", "fine", "text")
+    path = scratch_path(spark, "links")
+    blocks.mapInArrow(_confirm(size, low, high), "u bigint, v bigint").write.parquet(path)
+    links = spark.read.parquet(path)
+
+    # rows that share an id tie their classes
+    of_rows = usable.select("doc_id", "digest").join(classes.select("digest", "c"), "digest").groupBy("doc_id").agg(F.min("c").alias("u"), F.max("c").alias("w"))
+    several = of_rows.where("u <> w").select("doc_id", "u")
+    ties = usable.select("doc_id", "digest").join(several, "doc_id").join(classes.select("digest", F.col("c").alias("v")), "digest").select("u", "v")
+    tied = components(links.unionByName(ties)).withColumnRenamed("v", "c")
+    named = classes.select("digest", "id", "c").join(tied, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    lowest = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    of_class = named.join(lowest, "component").select("digest", "component_id")
+    found = sketches.select("doc_id", "n", "digest").join(of_class, "digest", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_first(docs: DataFrame, size: int = 5, low: int = 80, high: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -157,7 +157,7 @@ def least_links(sets, low, high):
     return {i: root(i) for i in sets}
 
 
-def test_near(docs, texts, none, spark):
+def test_near(docs, texts, none, spark, monkeypatch):
     rng = random.Random(3)
     base = [f"w{k}" for k in range(120)]
     made = list(texts)
@@ -171,6 +171,14 @@ def test_near(docs, texts, none, spark):
         want = least_links({i: shingles(t, size) for i, t in enumerate(made)}, low, 100)
         got = by_id(near.near_components(rows, size, low, 100))
         assert {i: (got[i]["n_shingles"], got[i]["component_id"]) for i in got} == {i: (len(shingles(t, size)), want[i]) for i, t in enumerate(made)}
+    monkeypatch.setattr(near, "BLOCK", 5)  # many blocks in each key and cluster
+    monkeypatch.setattr(near, "BLOCK_BYTES", 3000)
+    assert {i: r["component_id"] for i, r in by_id(near.near_components(rows, 5, 80, 100)).items()} == want
+    # rows that share an id are one vertex; a null id has no component
+    one, two = "a b c d e f g h", "i j k l m n o p"
+    shared = spark.createDataFrame([(1, one), (5, one), (5, two), (9, two), (None, one), (7, None)], "doc_id bigint, text string")
+    got = near.near_components(shared, 5, 80, 100).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 1), (5, 1), (5, 1), (9, 1), (None, None), (7, 7)], key=str)
     kept = near.keep_first(docs, 3, 85, 100)
     assert kept.columns == docs.columns
     assert near.near_components(none).count() == 0 and near.keep_first(none).count() == 0

@@ -28,8 +28,6 @@ from haggle.session import scratch_path
 
 CHUNKS, CHUNK = 8, 5
 PLACES = CHUNKS * CHUNK
-#: Distance up to which every pair is found: one error in each chunk, and one more chunk hit would be two.
-REACH = 2 * CHUNKS - 1
 
 #: Places of two bits that tell near pairs from the rest.
 FINE = 256
@@ -299,7 +297,7 @@ def near_components(docs: DataFrame, size: int = 5, low: int = 80, high: int = 1
     linked if high * |intersection| >= low * |union|. A text with fewer words is one
     shingle; a null or empty text, or one without words, has none and no link.
     Equal sets are one class before anything is compared, so copies cost no pairs.
-    Rows that share an id are one vertex. A null id is in no link and has a null
+    Rows with shingles that share an id are one vertex. A null id is in no link and has a null
     component. Other columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession

@@ -3,8 +3,9 @@
 A paragraph here is a sentence or a line, whichever ends first, or some short ones
 in a row, cut by what they say, so that a passage has the same paragraphs wherever
 it stands inside a text. Equal paragraphs are one
-group; groups that share a band are compared by their full sets of five-word
-shingles; linked groups are one cluster. The document of the least id keeps a
+group. All groups that share a band meet, as near copies do in `near`: a finer
+signature tells which may be alike, and full sets of five-word shingles decide;
+linked groups are one cluster. The document of the least id keeps a
 cluster's text, and runs of such paragraphs elsewhere are the removals."""
 
 from __future__ import annotations
@@ -16,12 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from haggle.llm.arrays import lower_ascii, mix, span_hashes, text_slices
+from haggle.llm import near
+from haggle.llm.arrays import lower_ascii, mix, ragged, span_hashes, text_slices
 from haggle.llm.components import components
 from haggle.session import cut_lineage, scratch_path
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: The similarity as a fraction.
+LOW, HIGH = 80, 100
 #: Words of a paragraph at least; shorter ones neither make nor break a run.
 PARAGRAPH_WORDS = 8
 #: Words of a removed run at least.
@@ -86,15 +90,15 @@ class Paragraphs:
         self.h1 = span_hashes(raw, self.head * 8, self.tail * 8)
         self.h2 = mix((one[self.tail] - one[self.head]) ^ self.h1)
 
-    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
-        """Shingle hashes of all paragraphs in a row, and where each paragraph's begin."""
+    def shingles(self, some: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """Shingle hashes of these paragraphs in a row, and where each paragraph's begin."""
         n = max(0, len(self.words) - SHINGLE + 1)
         rolled = np.zeros(n, np.uint64)
         for k in range(SHINGLE):
             rolled = mix(rolled * np.uint64(0x9E3779B97F4A7C15) + self.words[k : k + n])
-        counts = self.n - SHINGLE + 1
+        counts = self.n[some] - SHINGLE + 1
         bounds = np.concatenate(([0], np.cumsum(counts)))
-        at = np.arange(bounds[-1]) + np.repeat(self.head - bounds[:-1], counts)
+        at = np.arange(bounds[-1]) + np.repeat(self.head[some] - bounds[:-1], counts)
         return rolled[at], bounds
 
 
@@ -137,20 +141,26 @@ def _band_keys(count: int, rows: int):
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each key's first group with its others; rows come sorted by (key, h1)."""
-    key, hub = None, None
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each key's groups, once each, of keys that have more than one; rows come sorted by (key, h1)."""
+    held: tuple[int, int] | None = None  # the last row, and whether it went out
+    out = False
     for batch in batches:
         keys, ids = batch.column("key").to_numpy(), batch.column("h1").to_numpy()
         if not len(keys):
             continue
-        new = np.concatenate(([keys[0] != key], keys[1:] != keys[:-1]))
-        hubs = np.where(new, ids, 0)
-        last = np.maximum.accumulate(np.where(new, np.arange(len(keys)), -1))
-        hubs = np.where(last >= 0, ids[np.maximum(last, 0)], hub if hub is not None else 0)
-        key, hub = keys[-1], hubs[-1]
-        other = np.flatnonzero(hubs != ids)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(hubs[other], ids[other])), pa.array(np.maximum(hubs[other], ids[other]))], ["a", "b"])
+        if held is not None:
+            keys, ids = np.concatenate(([held[0]], keys)), np.concatenate(([held[1]], ids))
+        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])))
+        keys, ids = keys[new], ids[new]
+        tied = np.zeros(len(keys) + 1, bool)
+        tied[1:-1] = keys[1:] == keys[:-1]
+        some = tied[1:] | tied[:-1]
+        if held is not None and out:
+            some[0] = False
+        out = bool(some[-1]) or (len(keys) == 1 and out)
+        held = int(keys[-1]), int(ids[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(ids[some])], ["key", "h1"])
 
 
 def hash_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -166,9 +176,8 @@ def _passes(table: np.ndarray, h1: np.ndarray) -> np.ndarray:
     return np.flatnonzero(table[np.mod(h1.view(np.int64), len(table))])
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the pairs of groups, those with a Jaccard similarity of at least SIMILARITY on full sets."""
-    ids = pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct()
+def _shingle_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """h1 of the ids, and the full set of shingles of the paragraphs of that name."""
     packed = np.packbits(hash_filter(ids), bitorder="little")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,25 +187,85 @@ def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             if len(some):
                 _, one = np.unique(p.h1[some], return_index=True)
                 some = some[one]
-                flat, bounds = p.shingles()
-                found = [np.unique(flat[bounds[k] : bounds[k + 1]]).tobytes() for k in some]
+                flat, bounds = p.shingles(some)
+                found = [np.unique(flat[x:y]).tobytes() for x, y in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(p.h1[some].view(np.int64)), pa.array(found, pa.binary())], ["h1", "shingles"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(shared >= SIMILARITY * (len(p) + len(q) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return docs.mapInArrow(sets, "h1 bigint, shingles binary").join(ids, "h1", "left_semi").groupBy("h1").agg(F.min("shingles").alias("shingles"))
 
-    found = docs.mapInArrow(sets, "h1 bigint, shingles binary").join(ids, "h1", "left_semi").groupBy("h1").agg(F.min("shingles").alias("shingles"))
-    path = scratch_path(docs.sparkSession, "paragraph-sets")
-    found.write.parquet(path)
-    stored = docs.sparkSession.read.parquet(path)
-    both = pairs.join(stored.select(F.col("h1").alias("a"), F.col("shingles").alias("set_a")), "a").join(stored.select(F.col("h1").alias("b"), F.col("shingles").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a bigint, b bigint")
+
+def _unpacked(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets with their sizes and finer signatures."""
+    for batch in batches:
+        if batch.num_rows:
+            sets = _unpacked(batch.column("shingles"))
+            fine = [x.tobytes() for x in near.signatures(sets)[1]]
+            yield pa.RecordBatch.from_arrays([batch.column("h1"), pa.array([len(x) for x in sets], pa.int64()), pa.array(fine, pa.binary()), batch.column("shingles")], ["c", "n", "fine", "shingles"])
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that span the pairs of a cluster with a Jaccard similarity of at least SIMILARITY on full sets."""
+    reach = near.fine_reach(LOW, HIGH)
+
+    def of_cluster(rows: pa.Table) -> pa.RecordBatch | None:
+        fine, sets = near._words(rows.column("fine")), _unpacked(rows.column("shingles"))
+        n = np.array([len(s) for s in sets])
+        starts = np.cumsum(n) - n
+        _, code = np.unique(np.concatenate(sets), return_inverse=True)
+        marked = np.zeros(int(code.max()) + 1, bool)
+
+        def close(k: int, others: np.ndarray) -> np.ndarray:
+            others = others[np.minimum(n[others], n[k]) * HIGH >= np.maximum(n[others], n[k]) * LOW]
+            others = others[near.fine_distance(fine[k], fine[others]) <= reach]
+            if not len(others):
+                return others
+            mine = code[starts[k] : starts[k] + n[k]]
+            marked[mine] = True
+            ends = np.cumsum(n[others])
+            shared = np.add.reduceat(marked[code[ragged(starts[others], n[others])]], ends - n[others], dtype=np.int64)
+            marked[mine] = False
+            return others[HIGH * shared >= LOW * (n[others] + n[k] - shared)]
+
+        tied = near._spanning(*near._sides(rows), close)
+        if not tied:
+            return None
+        u, v = np.array(tied).T
+        c = rows.column("c").to_numpy()
+        return near._edges(c[u], c[v])
+
+    for rows, bounds in near._runs(batches, "cluster"):
+        for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            links = of_cluster(rows.slice(x, y - x))
+            if links is not None:
+                yield links
+
+
+def _links(keys: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (u, v) that span the pairs of similar groups: all groups of a key meet, those whose finer
+    signatures allow it are one cluster, and in a cluster every pair is held against full sets."""
+    spark = docs.sparkSession
+    path = scratch_path(spark, "paragraph-keys")
+    keys.repartition("key").sortWithinPartitions("key", "h1").mapInArrow(_shared, "key bigint, h1 bigint").write.parquet(path)
+    shared = spark.read.parquet(path)
+    path = scratch_path(spark, "paragraph-sets")
+    _shingle_sets(shared.select("h1").distinct(), docs).mapInArrow(_sketch, "c bigint, n bigint, fine binary, shingles binary").write.parquet(path)
+    sets = spark.read.parquet(path)
+    members = shared.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
+    met = shared.withColumnRenamed("h1", "c").join(members, "key").join(sets.select("c", "n", "fine"), "c")
+    blocks = near._in_blocks(met, "key", F.ceil(F.col("members") / near.BLOCK)).select("key", "i", "j", "mine", "c", "n", "fine")
+    path = scratch_path(spark, "paragraph-edges")
+    blocks.mapInArrow(near._forest(LOW, HIGH), "u bigint, v bigint").distinct().write.parquet(path)
+    clusters = components(spark.read.parquet(path))
+    path = scratch_path(spark, "paragraph-clusters")
+    clusters.select(F.col("v").alias("c"), F.col("component").alias("cluster")).join(sets, "c").write.parquet(path)
+    placed = spark.read.parquet(path)
+    weights = placed.groupBy("cluster").agg(F.sum(F.col("n") * 8).alias("weight"))
+    blocks = near._in_blocks(placed.join(weights, "cluster"), "cluster", F.ceil((F.col("weight") + 1) / near.BLOCK_BYTES)).select("cluster", "i", "j", "mine", "c", "fine", "shingles")
+    return blocks.mapInArrow(_linked, "u bigint, v bigint")
 
 
 def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,10 +282,7 @@ def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str =
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
     texts = rows.select("text")
     keys = texts.mapInArrow(_band_keys(bands(), 3), "key bigint, h1 bigint")
-    pairs_path = scratch_path(spark, "paragraph-pairs")
-    keys.repartition("key").sortWithinPartitions("key", "h1").mapInArrow(_stars, "a bigint, b bigint").distinct().write.parquet(pairs_path)
-    links = _confirm(spark.read.parquet(pairs_path), texts)
-    clusters = cut_lineage(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    clusters = cut_lineage(components(_links(keys, texts)))
 
     groups = rows.mapInArrow(_groups, "h1 bigint, h2 bigint, doc_id bigint").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     placed = groups.join(clusters.select(F.col("v").alias("h1"), "component"), "h1", "left")

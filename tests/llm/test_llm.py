@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
@@ -211,6 +212,37 @@ def test_passages(spark, none):
     assert passages.repeated_passages(none).count() == 0
 
 
+def test_passage_links(spark, monkeypatch):
+    """Pairs that meet under a key whose first group is like neither of them; also over many small blocks."""
+    rng = random.Random(12)
+    word = lambda: f"u{rng.randrange(10**6)}"
+    lines = []
+    for _ in range(60):
+        middle = [word() for _ in range(40)]
+        hub = [*(word() for _ in range(8)), *middle[:30], *(word() for _ in range(8))]
+        pair = [[*middle, *(word() for _ in range(3))] for _ in range(2)]
+        lines += [" ".join(x) for x in (hub, *pair)]
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string").repartition(3)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, lines)]
+    alike = {(i, k) for i in range(len(sets)) for k in range(i) if len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k])}
+    assert len(alike) == 60
+    for block in (near.BLOCK, 2):
+        monkeypatch.setattr(near, "BLOCK", block)
+        monkeypatch.setattr(near, "BLOCK_BYTES", 16 << 20 if block > 2 else 500)
+        got = {(r["doc_id"], k) for r in passages.repeated_passages(rows).collect() for k in r["keep_ids"]}
+        assert got <= alike and len(got) >= 0.95 * len(alike)
+
+    def one_key(count, rows):
+        def run(batches):
+            for _, p in passages._each(batches):
+                yield pa.RecordBatch.from_arrays([pa.array([7] * len(p.h1), pa.int64()), pa.array(p.h1.view(np.int64))], ["key", "h1"])
+
+        return run
+
+    monkeypatch.setattr(passages, "_band_keys", one_key)
+    assert {(r["doc_id"], k) for r in passages.repeated_passages(rows).collect() for k in r["keep_ids"]} == alike
+
+
 # ---- benchmark passages, toxicity, pages, secrets
 
 

@@ -2,7 +2,8 @@
 
 A paragraph here is a sentence or a line, whichever ends first, or some short ones
 in a row, cut by what they say, so that a passage has the same paragraphs wherever
-it stands inside a text. Equal paragraphs are one
+it stands inside a text. Long ones are also cut into pieces, again by what they say,
+so that a passage without an end of a sentence has the same pieces inside any other. Equal paragraphs are one
 group. All groups that share a band meet, as near copies do in `near`: a finer
 signature tells which may be alike, and full sets of five-word shingles decide;
 linked groups are one cluster. The document of the least id keeps a
@@ -28,6 +29,8 @@ SIMILARITY = 0.8
 LOW, HIGH = 80, 100
 #: Words of a paragraph at least; shorter ones neither make nor break a run.
 PARAGRAPH_WORDS = 8
+#: Paragraphs of so many words have pieces, cut by what they say, of at least so many words: as many as a shingle.
+LONG_WORDS, PIECE_WORDS = 16, SHINGLE
 #: Words of a removed run at least.
 RUN_WORDS = 20
 #: Chance that a pair at the similarity shares a band, at least.
@@ -39,6 +42,8 @@ SLICE = 1 << 20
 #: Band rows that a task holds to drop its own repetitions.
 HELD = 1 << 18
 
+# Quotes and brackets that may stand behind the end of a sentence.
+_CLOSERS = [x.encode() for x in ('"', "'", ")", "]", "}", "\u201d", "\u2019", "\u00bb", "\u203a")]
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -48,8 +53,37 @@ def bands(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = 3)
     return int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**rows)))
 
 
+def _unquoted(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The ends of words without the quotes and brackets that close them."""
+    ends = ends.copy()
+    for _ in range(4):
+        for sign in _CLOSERS:
+            # a word of closers only keeps one byte
+            at = np.flatnonzero(ends - starts > len(sign))
+            same = np.ones(len(at), bool)
+            for k, byte in enumerate(reversed(sign)):
+                same &= low[ends[at] - 1 - k] == byte
+            ends[at[same]] -= len(sign)
+    return ends
+
+
+def _cuts(words: np.ndarray) -> np.ndarray:
+    """Words after which a long paragraph is cut: the hash of a word and the next is less
+    than those of the PIECE_WORDS - 1 places on both sides (of equal ones the first counts)."""
+    if len(words) < 2:
+        return np.zeros(0, np.int64)
+    h = mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])
+    least = np.ones(len(h), bool)
+    for k in range(1, PIECE_WORDS):
+        least[k:] &= h[k:] < h[:-k]
+        least[:-k] &= h[:-k] <= h[k:]
+    return np.flatnonzero(least)
+
+
 class Paragraphs:
-    """The paragraphs of a slice's texts: text, place in it, bytes, words and two hashes of each."""
+    """The paragraphs of a slice's texts and the pieces of the long ones: text, place in it,
+    bytes, words and two hashes of each. Places count paragraphs that are not cut and
+    pieces; a paragraph of pieces has the place of the first and its width is their number."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, least: int = PARAGRAPH_WORDS):
         low = np.frombuffer(data.tobytes().translate(lower_ascii()), np.uint8)
@@ -65,7 +99,7 @@ class Paragraphs:
         doc = np.searchsorted(offsets, starts, side="right") - 1
         first = np.ones(len(starts), bool)
         if len(starts):
-            closed = np.isin(low[ends - 1], [0x21, 0x2E, 0x3F])
+            closed = np.isin(low[_unquoted(low, starts, ends) - 1], [0x21, 0x2E, 0x3F])
             first[1:] = closed[:-1] | (lines[1:] != lines[:-1]) | (doc[1:] != doc[:-1])
         head = np.flatnonzero(first)
         tail = np.concatenate((head[1:], [len(starts)])).astype(np.int64) if len(head) else head
@@ -79,12 +113,29 @@ class Paragraphs:
             last = np.concatenate((new[1:], [True]))
             head, tail = head[new], tail[last]
         good = tail - head >= least
-        self.head, self.tail = head[good], tail[good]
+        head, tail = head[good], tail[good]
+        cut = _cuts(self.words)
+        # at least PIECE_WORDS words before and behind, so that no word beyond the paragraph counts
+        left, right = np.searchsorted(cut, head + PIECE_WORDS - 1), np.searchsorted(cut, tail - PIECE_WORDS)
+        pieces = np.where(tail - head >= LONG_WORDS, np.maximum(right - left, 0), 0) + 1
+        first = np.cumsum(pieces) - pieces
+        unit = np.zeros(int(pieces.sum()), np.int64)
+        inner = np.ones(len(unit), bool)
+        inner[first] = False
+        unit[first] = head
+        unit[inner] = cut[ragged(left, pieces - 1)] + 1
+        stop = np.concatenate((unit[1:], [0])).astype(np.int64)
+        stop[first + pieces - 1] = tail
+        many = np.flatnonzero(pieces > 1)
+        self.head, self.tail = np.concatenate((unit, head[many])), np.concatenate((stop, tail[many]))
         self.doc = doc[self.head] if len(self.head) else np.zeros(0, np.int64)
         self.start, self.end = (starts[self.head], ends[self.tail - 1]) if len(self.head) else (self.head, self.head)
         self.start, self.end = self.start - offsets[self.doc], self.end - offsets[self.doc]
         self.n = self.tail - self.head
-        self.place = np.arange(len(self.head)) - np.searchsorted(self.doc, self.doc)
+        at = self.doc[: len(unit)]
+        place = np.arange(len(unit)) - np.searchsorted(at, at)
+        self.place = np.concatenate((place, place[first[many]]))
+        self.width = np.concatenate((np.ones(len(unit), np.int64), pieces[many]))
         one = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(self.words + np.uint64(7)), dtype=np.uint64)))
         raw = np.ascontiguousarray(self.words).view(np.uint8)
         self.h1 = span_hashes(raw, self.head * 8, self.tail * 8)
@@ -128,12 +179,15 @@ def _band_keys(count: int, rows: int):
             if not len(p.head):
                 continue
             _, one = np.unique(p.h1, return_index=True)
-            flat, bounds = p.shingles()
+            one = one[p.n[one] >= PARAGRAPH_WORDS]
+            if not len(one):
+                continue
+            flat, bounds = p.shingles(one)
             for b in range(count):
-                key = np.full(len(p.head), b + 1, np.uint64)
+                key = np.full(len(one), b + 1, np.uint64)
                 for factor in factors[b * rows : (b + 1) * rows]:
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(flat * factor, bounds[:-1]))
-                held.append(np.column_stack((key[one], p.h1[one])))
+                held.append(np.column_stack((key, p.h1[one])))
             if sum(map(len, held)) >= HELD:
                 yield hand_on()
         yield hand_on()
@@ -271,9 +325,9 @@ def _links(keys: DataFrame, docs: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Removals: doc_id, start and end (bytes of its text), n_words, keep_ids.
 
-    A removal is a run of paragraphs of doc_id, at least `run_words` words of them,
+    A removal is a run of paragraphs or pieces of doc_id, at least `run_words` words of them,
     whose clusters also stand in a document of a lesser id; keep_ids are the documents
-    that keep them. Shorter paragraphs inside a run go with it. Copies of a document are whole
+    that keep them. A paragraph and its pieces are looked up each. Shorter paragraphs inside a run go with it. Copies of a document are whole
     repeated runs. Repetition inside one document, or in rows that share an id, is
     none across documents. A null or empty text has no paragraphs; a null id neither
     keeps nor loses any; other columns are not read; an empty table gives an empty result.
@@ -299,15 +353,18 @@ def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str =
         for own, p in _each(batches):
             some = _passes(table, p.h1)
             at = pa.array(p.doc[some])
-            columns = [own.column("row").take(at), own.column("doc_id").take(at), *(pa.array(x[some]) for x in (p.place, p.start, p.end, p.n)), pa.array(p.h1[some].view(np.int64)), pa.array(p.h2[some].view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "place", "start", "end", "n", "h1", "h2"])
+            columns = [own.column("row").take(at), own.column("doc_id").take(at), *(pa.array(x[some]) for x in (p.place, p.width, p.start, p.end, p.n)), pa.array(p.h1[some].view(np.int64)), pa.array(p.h2[some].view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "place", "width", "start", "end", "n", "h1", "h2"])
 
-    schema = "row bigint, doc_id bigint, place bigint, start bigint, end bigint, n bigint, h1 bigint, h2 bigint"
+    schema = "row bigint, doc_id bigint, place bigint, width bigint, start bigint, end bigint, n bigint, h1 bigint, h2 bigint"
     removed = rows.mapInArrow(found, schema).join(repeated, ["h1", "h2"]).where("doc_id <> keep_id")
-    # paragraphs in a row have a constant distance between their place and their number among the removed
-    run = F.col("place") - F.row_number().over(Window.partitionBy("row").orderBy("place"))
-    runs = removed.withColumn("run", run).groupBy("row", "run").agg(
-        F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_words"), F.array_sort(F.collect_set("keep_id")).alias("keep_ids"),
+    # a run goes on while the next one begins no later than the last one ends; pieces of a removed paragraph add no words
+    reach = F.max(F.col("place") + F.col("width")).over(Window.partitionBy("row").orderBy("place", F.desc("width")).rowsBetween(Window.unboundedPreceding, -1))
+    placed = removed.withColumn("reach", F.coalesce(reach, F.lit(-1)))
+    run = F.sum((F.col("place") > F.col("reach")).cast("int")).over(Window.partitionBy("row").orderBy("place", F.desc("width")).rowsBetween(Window.unboundedPreceding, 0))
+    runs = placed.withColumn("run", run).groupBy("row", "run").agg(
+        F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"),
+        F.sum(F.when(F.col("place") + F.col("width") > F.col("reach"), F.col("n")).otherwise(0)).alias("n_words"), F.array_sort(F.collect_set("keep_id")).alias("keep_ids"),
     )
     return runs.where(F.col("n_words") >= run_words).select("doc_id", "start", "end", "n_words", "keep_ids")
 

@@ -218,18 +218,19 @@ def test_passage_links(spark, monkeypatch):
     word = lambda: f"u{rng.randrange(10**6)}"
     lines = []
     for _ in range(60):
-        middle = [word() for _ in range(40)]
-        hub = [*(word() for _ in range(8)), *middle[:30], *(word() for _ in range(8))]
-        pair = [[*middle, *(word() for _ in range(3))] for _ in range(2)]
+        one = [word() for _ in range(60)]
+        hub = [word() if k % 5 == 4 else w for k, w in enumerate(one)]
+        pair = [one, [word() if k == 30 else w for k, w in enumerate(one)]]
         lines += [" ".join(x) for x in (hub, *pair)]
     rows = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string").repartition(3)
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, lines)]
     alike = {(i, k) for i in range(len(sets)) for k in range(i) if len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k])}
     assert len(alike) == 60
+    # runs of 40 words are none of the equal pieces
     for block in (near.BLOCK, 2):
         monkeypatch.setattr(near, "BLOCK", block)
         monkeypatch.setattr(near, "BLOCK_BYTES", 16 << 20 if block > 2 else 500)
-        got = {(r["doc_id"], k) for r in passages.repeated_passages(rows).collect() for k in r["keep_ids"]}
+        got = {(r["doc_id"], k) for r in passages.repeated_passages(rows, run_words=40).collect() for k in r["keep_ids"]}
         assert got <= alike and len(got) >= 0.95 * len(alike)
 
     def one_key(count, rows):
@@ -240,7 +241,36 @@ def test_passage_links(spark, monkeypatch):
         return run
 
     monkeypatch.setattr(passages, "_band_keys", one_key)
-    assert {(r["doc_id"], k) for r in passages.repeated_passages(rows).collect() for k in r["keep_ids"]} == alike
+    assert {(r["doc_id"], k) for r in passages.repeated_passages(rows, run_words=40).collect() for k in r["keep_ids"]} == alike
+
+
+def test_passages_inside_sentences(spark):
+    """Passages without an end of a sentence, or with two long ones, in the middle of others' sentences."""
+    rng = random.Random(21)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    made, planted = {}, []
+    for i in range(0, 120, 2):
+        passage = words(60)
+        if i % 4 == 0:
+            passage[29] += "."
+        planted.append(" ".join(passage))
+        for k in (i, i + 1):
+            made[k] = " ".join([*words(30 + rng.randrange(9)), *passage, *words(30 + rng.randrange(9))])
+    rows = spark.createDataFrame(list(made.items()), "doc_id bigint, text string").repartition(3)
+    got = by_id(passages.repeated_passages(rows))
+    assert set(got) <= set(range(1, 120, 2)) and len(got) >= 57 and all(r["keep_ids"] == [i - 1] for i, r in got.items())
+    for i, r in got.items():
+        cut = made[i].encode()[r["start"] : r["end"]].decode()
+        assert cut in planted[i // 2] and r["n_words"] == len(cut.split())
+    assert sum(r["n_words"] for r in got.values()) >= 0.6 * 60 * 60
+
+
+def test_sentence_ends():
+    rest = "one two three four five six seven eight nine"
+    for end in ('."', ".)", ".\u201d", "?')", "!\u00bb"):
+        text = f"{rest}{end} {rest} ten.".encode()
+        p = passages.Paragraphs(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert text[p.start[0] : p.end[0]].decode() == rest + end and len(p.head) == 2
 
 
 # ---- benchmark passages, toxicity, pages, secrets

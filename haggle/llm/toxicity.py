@@ -47,9 +47,11 @@ READ, DROP, GAP, ONCE, AGAIN = 0.7, 12.0, 0.1, 0.2, 1.5
 
 _LETTER = r"[^\W\d_]"
 _SIGN = "[" + re.escape("".join(LEET)) + "]"
-#: A word with signs before a letter, a run of single letters with gaps, or a letter three times in a row.
+#: As the last of a word, "!" ends a sentence more often than it is a letter.
+_LAST = "[" + re.escape("".join(LEET).replace("!", "")) + "]"
+#: A word with signs before a letter or behind the last one, a run of single letters with gaps, or a letter three times in a row.
 _SUSPECT = re.compile(
-    rf"(?<!\S)(?=\S*{_LETTER})(?:{_LETTER}|{_SIGN})*{_SIGN}{_LETTER}(?:{_LETTER}|{_SIGN})*"
+    rf"(?<![^\W_])(?<!{_SIGN})(?:{_LETTER}|{_SIGN})*(?:{_SIGN}{_LETTER}|{_LETTER}{_SIGN}*{_LAST})(?:{_LETTER}|{_SIGN})*(?<!!)"
     rf"|(?<![^\W_])(?:{_LETTER}|{_SIGN})(?:[{re.escape(GAPS)}](?:{_LETTER}|{_SIGN})){{2,}}(?![^\W_])"
     rf"|(?:{_LETTER})*({_LETTER})\1\1(?:{_LETTER})*",
     re.IGNORECASE,
@@ -140,26 +142,43 @@ def restore(text: str, model: CharacterModel) -> str:
 
 
 def _hits(data: np.ndarray) -> np.ndarray:
-    """Bytes at which a suspect span may be: a sign before a letter, a letter three
-    times, or single letters two gaps apart. Every suspect span has one."""
+    """Bytes at which a suspect span may be: a sign beside a letter or behind "!", three letters
+    that may be the same, or single letters two gaps apart. Every suspect span has one."""
     kind = np.zeros(256, np.uint8)
     kind[[*range(65, 91), *range(97, 123), *range(0x80, 0x100)]] = 1
     kind[[b for b in b"0123456789@$!|+"]] = 2
     kind[[b for b in GAPS.encode()]] = 3
     k = kind[data]
-    hit = np.zeros(len(data), bool)
-    if len(data) > 5:
-        low = data | 0x20
-        hit[:-1] = (k[:-1] == 2) & (k[1:] == 1)
-        hit[:-2] |= (k[:-2] == 1) & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:])
-        twice = (data[:-5] >= 0x80) & (low[:-5] == low[2:-3]) & (low[2:-3] == low[4:-1]) & (low[1:-4] == low[3:-2]) & (low[3:-2] == low[5:])
-        hit[:-5] |= twice  # the same letter of two bytes
-        any_ = (k == 1) | (k == 2)
-        # letter, gap, one character of at most two bytes, gap, letter
-        hit[:-4] |= any_[:-4] & (k[1:-3] == 3) & any_[2:-2] & (k[3:-1] == 3) & any_[4:]
-        hit[:-5] |= any_[:-5] & (k[1:-4] == 3) & (data[2:-3] >= 0x80) & (data[3:-2] >= 0x80) & (k[4:-1] == 3) & any_[5:]
-    else:
-        hit[:] = True
+    n = len(data)
+    if n <= 14:
+        return np.arange(n)
+    for sign in ("€", "£"):
+        raw = sign.encode()
+        at = np.flatnonzero(data[: n - len(raw) + 1] == raw[0])
+        for j, byte in enumerate(raw):
+            at = at[data[at + j] == byte]
+        for j in range(len(raw)):
+            k[at + j] = 2
+    hit = np.zeros(n, bool)
+    low = data | 0x20
+    call = data == 0x21
+    hit[:-1] = (k[:-1] == 2) & (k[1:] == 1)
+    hit[:-1] |= ((k[:-1] == 1) | call[:-1]) & (k[1:] == 2) & ~call[1:]
+    hit[:-2] |= (k[:-2] == 1) & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:])
+    # capitals and small letters differ in any byte but the first: three characters of as many bytes
+    lead = np.zeros(256, np.uint8)
+    lead[0xC2:0xE0], lead[0xE0:0xF0], lead[0xF0:] = 2, 3, 4
+    size = lead[data]
+    for w in (2, 3, 4):
+        hit[: -2 * w] |= (size[: -2 * w] == w) & (size[w:-w] == w) & (size[2 * w :] == w)
+    # letter, gap, one character of at most four bytes, gap, letter
+    any_, gap, more = (k == 1) | (k == 2), k == 3, data >= 0x80
+    for w in (1, 2, 3, 4):
+        m = n - 3 - w
+        found = any_[:m] & gap[1 : 1 + m] & any_[2 : 2 + m] & gap[2 + w : 2 + w + m] & any_[3 + w :]
+        for j in range(w if w > 1 else 0):
+            found &= more[2 + j : 2 + j + m]
+        hit[:m] |= found
     return np.flatnonzero(hit)
 
 

@@ -312,6 +312,21 @@ def test_restoring():
     assert toxicity.restore("plain words, 3 of them! (really)", model) == "plain words, 3 of them! (really)"
 
 
+def test_suspects():
+    """Disguised words after quotes, brackets and hyphens, signs at the end, and a filter that misses none of them."""
+    spans = lambda text: [m.group() for m in toxicity._SUSPECT.finditer(text)]
+    for text, span in (('"1d1ot"', "1d1ot"), ("(cl0wn),", "cl0wn"), ("you-l0ser", "l0ser"), ("*tr@sh*", "tr@sh"), ("an a$$ it is", "a$$"), ("cl0wn!", "cl0wn"), ("£oser", "£oser"), ("trick€", "trick€")):
+        assert spans(text) == [span], text
+    assert not spans("plain words, 3 of them! (really) wow!! £5 and 20 €")
+    rng = random.Random(31)
+    signs = [*"abIi01!$@|+€£ .-_*,/\"(", "é", "É", "ß", "ж", "Р", "р", "ẞ", "中", "𝐚"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(1, 9)))
+        text = rng.choice(["", "# "]) + text + rng.choice(["", " # # # # # # # #"])
+        if spans(text):
+            assert len(toxicity._hits(np.frombuffer(text.encode(), np.uint8))), text
+
+
 def test_toxicity(spark, none):
     rng = random.Random(6)
     clean = ["river", "stone", "garden", "window", "paper", "summer", "winter", "market"]

@@ -1,6 +1,6 @@
 """Secrets in documents, in DataFrame and ML operations only: candidates by form, false findings out by a random forest.
 
-A candidate is a run of key-like characters. The forest sees its length, how its
+A candidate is a run of key-like characters, or any value that a telling name assigns. The forest sees its length, how its
 characters change from kind to kind and from one to the next, how much of it words
 of the corpus cover, whether it looks like a path, and the words beside it. It is
 trained on labelled findings: such as a caller has, or those that fixed forms and
@@ -25,29 +25,53 @@ KEEP = 0.5
 
 #: Characters of a candidate, and its length at least.
 BODY, LENGTH = "[A-Za-z0-9+/_=.-]", 16
+#: Characters at least of a value that a name assigns.
+SHORT = 4
 FEATURES = ("length", "digits", "uppers", "kinds", "changes", "repeats", "surprise", "covered", "slashes", "dots", "named", "assigned", "quoted", "plain_before", "plain_after")
 
 # Words that name what follows them a secret.
-NAMES = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer|key)"
+NAMES = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer|key)"
+# A name that makes its value a candidate, as far as the sign of assignment; a value in quotes, or up to a sign that ends it.
+_ASSIGNED = rf"{NAMES}[\w.-]*[\"'`]*[:=]"
+_NAMED_BEFORE = rf"{NAMES}[\w.-]*[\"'`]*\s?[:=][\"'`]*$"
+_VALUE = f"{{{SHORT},}}"
+# Groups: name and value (in quotes or bare) of an assignment by such a name; any other name before a run of key characters, the run.
+_CANDIDATE = (
+    r"(?:(?=[\w.-]*?" + NAMES + r")([\w.-]+)[\"'`]*[:=](?:[\"'`]+([^\s\"'`]" + _VALUE + r")|([^\s\"'`,;&<>(){}\[\]]" + _VALUE + ")))"
+    r"|(?:([\w.-]+)[\"'`]*[:=][\"'`]*)?([A-Za-z0-9+/_.-]" + f"{{{LENGTH},}})"
+)
 # Forms that are secrets by themselves.
 FORMS = r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abpr]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35})$"
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row, doc_id, place (word number), word, secret, before, after: words that hold a candidate.
+    """row, doc_id, place (word number), word, nth, name, secret, before, after: each candidate of each word.
 
-    A word is what stands between white space. Its candidate is the longest run of
-    key characters after the last sign of assignment."""
+    A word is what stands between white space. Its candidates are all its runs of LENGTH
+    key characters or more, cut at signs of assignment, quotes, commas and &, and the values of any
+    signs, SHORT characters or more, that one of NAMES assigns, in the word or just before it."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # only texts with a long run with a digit in it are cut into words
-    long = rows.where(F.col("text").rlike(f"{BODY}{{{LENGTH},}}"))
-    words = long.select("row", "doc_id", F.split("text", r"\s+").alias("w"))
-    found = words.select("row", "doc_id", "w", F.explode(F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).rlike(f"{BODY}{{{LENGTH},}}"))).alias("place"))
-    word = F.get("w", F.col("place"))
-    body = F.regexp_extract(F.regexp_replace(word, r"^\S*[:=][\"']?(?=\S{8})", ""), f"({BODY}{{{LENGTH},}})", 1)
-    body = F.regexp_replace(body, r"[.=-]+$", "")
-    beside = [F.coalesce(F.get("w", F.col("place") + k), F.lit("")).alias(name) for k, name in ((-2, "before2"), (-1, "before"), (1, "after"))]
-    return found.select("row", "doc_id", "place", word.alias("word"), body.alias("secret"), *beside).where(F.length("secret") >= LENGTH)
+    # only texts with a long run or an assignment to such a name are cut into words
+    some = rows.where(F.col("text").rlike(f"{BODY}{{{LENGTH},}}") | F.col("text").rlike(rf"{NAMES}[\w.-]*[\"'`]*\s*[:=]"))
+    words = some.select("row", "doc_id", F.split("text", r"\s+").alias("w"))
+
+    def beside(place: Column, k: int) -> Column:
+        return F.when(place + k >= 0, F.coalesce(F.get("w", place + k), F.lit(""))).otherwise("")
+
+    def assigned(place: Column) -> Column:
+        return beside(place, -1).rlike("[:=][\"'`]*$") & F.concat_ws(" ", beside(place, -2), beside(place, -1)).rlike(_NAMED_BEFORE)
+
+    holds = lambda i: F.get("w", i).rlike(f"{BODY}{{{LENGTH},}}") | F.get("w", i).rlike(_ASSIGNED) | assigned(i)
+    found = words.select("row", "doc_id", "w", F.explode(F.filter(F.sequence(F.lit(0), F.size("w") - 1), holds)).alias("place"))
+    place = F.col("place")
+    around = found.select("row", "doc_id", "place", F.get("w", place).alias("word"), assigned(place).alias("led"), *(beside(place, k).alias(name) for k, name in ((-2, "before2"), (-1, "before"), (1, "after"))))
+    lead = F.regexp_extract(F.concat_ws(" ", "before2", "before"), r"([\w.-]+)[\"'`]*\s?[:=][\"'`]*$", 1)
+    read = F.when(F.col("led"), F.concat(lead, F.lit("="), F.col("word"))).otherwise(F.col("word"))
+    parts = F.arrays_zip(*(F.regexp_extract_all(read, F.lit(_CANDIDATE), F.lit(k)).alias(f"g{k}") for k in (1, 2, 3, 4, 5)))
+    each = around.select("*", F.posexplode(parts).alias("nth", "p"))
+    secret = F.regexp_replace(F.concat("p.g2", "p.g3", "p.g5"), r"[.=-]+$", "")
+    cut = each.select("row", "doc_id", "place", "word", "nth", F.concat("p.g1", "p.g4").alias("name"), secret.alias("secret"), "before2", "before", "after", (F.col("p.g1") != "").alias("by_name"))
+    return cut.where(F.length("secret") >= F.when(F.col("by_name"), SHORT).otherwise(LENGTH)).drop("by_name")
 
 
 def dictionary(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -88,9 +112,10 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
         (F.col("letters") / F.length(secret)).alias("covered"), _share("/", secret).alias("slashes"), _share("[.]", secret).alias("dots"),
     )
     plain = r"^[\p{L}]+[.,;:!?]*$"
-    near = F.concat_ws(" ", "before2", "before", F.regexp_extract("word", r"^([^:=]*)[:=]", 1))
+    # the words before are those of the first candidate; others have their own names
+    near = F.when(F.col("nth") == 0, F.concat_ws(" ", "before2", "before", "name")).otherwise(F.col("name"))
     around = found.withColumns({
-        "named": near.rlike(NAMES).cast("double"), "assigned": (F.col("word").rlike("[:=]") | F.col("before").rlike("^[:=]+$|[:=]$")).cast("double"),
+        "named": near.rlike(NAMES).cast("double"), "assigned": ((F.col("name") != "") | (F.col("nth") == 0) & F.col("before").rlike("^[:=]+$|[:=]$")).cast("double"),
         "quoted": F.col("word").rlike("[\"'`]").cast("double"), "plain_before": F.col("before").rlike(plain).cast("double"), "plain_after": F.col("after").rlike(plain).cast("double"),
     })
     return around.join(shapes, "secret")
@@ -102,7 +127,7 @@ def settled(found: DataFrame) -> DataFrame:
     sign between them and no digit, are none (0). All others are left out."""
     secret = F.col("secret")
     mixed = secret.rlike("[0-9]") & secret.rlike("[A-Za-z]")
-    label = F.when(secret.rlike(FORMS) | ((F.col("named") == 1) & (F.col("assigned") == 1) & mixed), 1).when(~secret.rlike("[0-9]"), 0)
+    label = F.when(secret.rlike(FORMS) | ((F.col("named") == 1) & (F.col("assigned") == 1) & mixed), 1).when(secret.rlike(f"^{BODY}+$") & ~secret.rlike("[0-9]"), 0)
     return found.withColumn("label", label).where("label IS NOT NULL")
 
 

@@ -373,6 +373,18 @@ def test_secrets(spark, none):
     assert secrets.scan(none).count() == 0
 
 
+def test_secret_candidates(spark):
+    one, two = "0123456789abcdef0123", "fedcba9876543210ffff"
+    rows = [
+        (1, f'see {{"a":"{one}","b":"{two}"}} here', {("a", one), ("b", two)}), (2, f"api_key={one}&state=xyz12345", {("api_key", one)}),
+        (3, "use password=hun!ter#2 now", {("password", "hun!ter#2")}), (4, 'db_password: "a$b%c&d1" end', {("db_password", "a$b%c&d1")}),
+        (5, f"{one},{two}", {("", one), ("", two)}), (6, "plain words of no note", set()), (7, "token = x9!y8 and", {("token", "x9!y8")}),
+    ]
+    found = secrets.candidates(spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")).collect()
+    for i, _, want in rows:
+        assert {(r["name"], r["secret"]) for r in found if r["doc_id"] == i} == want, i
+
+
 # ---- queries
 
 

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haggle.llm import byte_pairs, contamination, exact, near, pages, passages, secrets, token_counts, token_files, toxicity
+from haggle.llm import (byte_pairs, contamination, exact, hard_negatives, manifest, near, nearest, pages, passages, secrets, token_counts, token_files,
+                        toxicity)
 from haggle.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +107,83 @@ def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
+
+
+ORACLES["op11_hard_negatives"] = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+             CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
+      FROM r a JOIN r b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY ROW_NUMBER() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, positive_id, CAST(ROW_NUMBER() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS INT) AS rank,
+       other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10"""
+
+
+@query
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+ORACLES["op12_nearest"] = """
+WITH r AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+           WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (SELECT a.vec_id AS query_id, b.vec_id,
+             sqrt(list_reduce(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])), lambda x, y: x + y)) AS score
+      FROM r a JOIN r b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0)
+SELECT query_id, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INT) AS rank, vec_id, score FROM d QUALIFY rank <= 10"""
+
+
+@query
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    rows = manifest.manifest(table(spark, sf_dir, "documents"), plain, [*plain[:-1], lowered], chosen)
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+ORACLES["op13_manifest"] = """
+WITH RECURSIVE f AS (
+    SELECT doc_id, lang, text, list_reduce([4294967295] || list_transform(range(1, len(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ord(CAST(doc_id AS VARCHAR)[i]) AS BIGINT)),
+               lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS crc,
+           concat(COALESCE(concat(strlen(CAST(doc_id AS VARCHAR)), ':', doc_id), '-'), COALESCE(concat(strlen(source), ':', source), '-') ,
+                  COALESCE(concat(strlen(lang), ':', lang), '-'), COALESCE(concat(strlen(CAST(n_chars AS VARCHAR)), ':', n_chars), '-')) AS head
+    FROM (SELECT doc_id, source, lang, n_chars, text FROM documents)),
+g AS (SELECT doc_id, lang, sha256(concat(head, CASE WHEN text IS NULL THEN '-' ELSE concat(strlen(text), ':', text) END)) AS leaf,
+             CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN
+                 sha256(concat(head, CASE WHEN text IS NULL THEN '-' ELSE concat(strlen(text), ':', translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) END)) END AS found
+      FROM f),
+leaves AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, COUNT(*) OVER (PARTITION BY lang) AS n FROM g),
+t AS (SELECT 0 AS lvl, lang, pos, n, leaf AS digest FROM leaves
+      UNION ALL
+      SELECT lvl + 1, lang, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY lvl, lang, pos // 8, n),
+subs AS (SELECT lang, digest, ROW_NUMBER() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, COUNT(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, pos, n, digest FROM subs
+      UNION ALL
+      SELECT lvl + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY lvl, pos // 8, n),
+tops AS (SELECT lang, MAX(lvl) AS h FROM t GROUP BY lang),
+nodes AS (SELECT lvl, lang, pos, n, digest FROM t WHERE n > 1
+          UNION ALL SELECT lvl + h, lang, u.pos, u.n, u.digest FROM u, tops WHERE u.n > 1),
+sib AS (SELECT lvl, lang, pos, COALESCE(string_agg(digest, '' ORDER BY pos) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+               COALESCE(string_agg(digest, '' ORDER BY pos) OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+        FROM nodes WINDOW r AS (PARTITION BY lvl, lang, pos // 8 ORDER BY pos)),
+fold AS (SELECT 0 AS lvl, doc_id, leaves.lang, leaf, leaves.pos AS first, COALESCE(found, leaf) AS cur, '' AS path, leaves.pos, h, subs.digest AS subroot, subs.pos AS sub_pos
+         FROM leaves JOIN tops ON tops.lang IS NOT DISTINCT FROM leaves.lang JOIN subs ON subs.lang IS NOT DISTINCT FROM leaves.lang
+         UNION ALL
+         SELECT fold.lvl + 1, doc_id, fold.lang, leaf, first, sha256(concat(l, cur, r)), concat(path, l, r),
+                CASE WHEN fold.lvl + 1 = h THEN sub_pos ELSE fold.pos // 8 END, h, subroot, sub_pos
+         FROM fold JOIN sib ON sib.lvl = fold.lvl AND sib.lang IS NOT DISTINCT FROM fold.lang AND sib.pos = CASE WHEN fold.lvl = h THEN sub_pos ELSE fold.pos END)
+SELECT doc_id, leaf, subroot, (SELECT digest FROM u WHERE n = 1) AS root, sha256(path) AS proof_sha256, cur AS folded_root,
+       cur = (SELECT digest FROM u WHERE n = 1) AS verified
+FROM fold QUALIFY lvl = MAX(lvl) OVER (PARTITION BY lang, first)"""

@@ -1,7 +1,7 @@
 """A Merkle manifest of a table: leaves of rows, a tree for each group, a tree over the groups.
 
 Nodes of a level are numbered; node p has its parent at p / 8. Runs of eight never
-cross a block of 8^5 numbers, so windows over blocks see whole runs: lag and lead
+cross a block of 8^4 numbers, so windows over blocks see whole runs: lag and lead
 columns at offsets 1 to 7, masked by a node's slot and its run's length, are its
 siblings, and the first child's row hashes the run. No window spans a group."""
 
@@ -15,8 +15,8 @@ from haggle.llm.vectors import stored
 #: Children of a node.
 WIDTH = 8
 
-#: Bits of a node's number inside its block: 8^5 numbers.
-BLOCK_BITS = 15
+#: Bits of a node's number inside its block: 8^4 numbers.
+BLOCK_BITS = 12
 
 
 def digest(*parts: Column) -> Column:

@@ -109,7 +109,8 @@ def manifest(docs: DataFrame, fields: list[Column], tampered: list[Column], is_t
     leaf = digest(*[field(c) for c in fields])
     found = F.when(is_tampered, digest(*[field(c) for c in tampered]))
     rows = docs.select(F.col(id_col).alias("id"), group.alias("group"), leaf.alias("digest"), found.alias("found"))
-    leaves = stored(number(rows, "group", ["id", "digest"]), "leaves")
+    # written before the range sort, which reads its input twice: texts are hashed once
+    leaves = stored(number(stored(rows, "hashes"), "group", ["id", "digest"]), "leaves")
     trees = climb(leaves)
 
     tops = trees[0].where("n = 1").select("group", "digest")

@@ -55,8 +55,11 @@ class Coded:
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances of rows of a and b in double precision, squares added in order of the components."""
     gap = np.ascontiguousarray((a.astype(np.float64) - b.astype(np.float64)).T)
+    total = np.zeros(len(a))
     with np.errstate(over="ignore"):
-        return np.sqrt(np.add.reduce(gap * gap, axis=0))
+        for component in gap * gap:  # one after another, however many pairs there are
+            total += component
+    return np.sqrt(total)
 
 
 class Search:

@@ -1,9 +1,9 @@
 """A Merkle manifest of a table: leaves of rows, a tree for each group, a tree over the groups.
 
-Nodes of a level are numbered; node p has its parent at p / 8. Runs of eight never
-cross a block of 8^4 numbers, so windows over blocks see whole runs: lag and lead
-columns at offsets 1 to 7, masked by a node's slot and its run's length, are its
-siblings, and the first child's row hashes the run. No window spans a group."""
+Nodes of a level are numbered; node p has its parent at p / 8. Windows are as wide as
+a run of eight: lag and lead columns at offsets 1 to 7, masked by a node's slot and its
+run's length, are its siblings, and the first child's row hashes the run. No window
+spans a group, and a run's rows already lie where its parent is joined to them."""
 
 from __future__ import annotations
 
@@ -15,9 +15,6 @@ from haggle.llm.vectors import stored
 #: Children of a node.
 WIDTH = 8
 
-#: Bits of a node's number inside its block: 8^4 numbers.
-BLOCK_BITS = 12
-
 
 def digest(*parts: Column) -> Column:
     """Lowercase hex sha256 of the parts' concatenated bytes."""
@@ -48,34 +45,34 @@ def number(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
 
 
 def with_siblings(nodes: DataFrame) -> DataFrame:
-    """nodes (group, pos, n, digest, ...) with `left` and `right`: the concatenated digests of the run's others before and behind."""
-    run = Window.partitionBy("group", F.shiftright("pos", BLOCK_BITS)).orderBy("pos")
+    """nodes (group, pos, n, digest, ...) with `up`, the parent's number, and `left` and `right`: the
+    concatenated digests of the run's others before and behind."""
+    run = Window.partitionBy("group", "up").orderBy("pos")
     slot = F.col("pos") % WIDTH
     length = F.least(F.lit(WIDTH), F.col("n") - F.col("pos") + slot)
     before = [F.when(slot >= k, F.lag("digest", k).over(run)) for k in range(WIDTH - 1, 0, -1)]
     behind = [F.when(slot + k < length, F.lead("digest", k).over(run)) for k in range(1, WIDTH)]
-    return nodes.withColumns({"left": F.concat_ws("", *before), "right": F.concat_ws("", *behind)})
+    placed = nodes.withColumn("up", F.shiftright("pos", 3))
+    return placed.withColumns({"left": F.concat_ws("", *before), "right": F.concat_ws("", *behind)})
 
 
 def parents(nodes: DataFrame) -> DataFrame:
-    """The next level, of groups that still have several nodes; `nodes` has its siblings."""
-    above = nodes.where((F.col("n") > 1) & (F.col("pos") % WIDTH == 0))
+    """The next level, of groups that still have several nodes."""
+    above = with_siblings(nodes.where("n > 1").select("group", "pos", "n", "digest")).where(F.col("pos") % WIDTH == 0)
     n = F.floor((F.col("n") + WIDTH - 1) / WIDTH).cast("long")
-    return above.select("group", F.shiftright("pos", 3).alias("pos"), n.alias("n"), digest(F.col("digest"), F.col("right")).alias("digest"))
+    return above.select("group", F.col("up").alias("pos"), n.alias("n"), digest(F.col("digest"), F.col("right")).alias("digest"))
 
 
 def climb(leaves: DataFrame) -> list[DataFrame]:
-    """Levels of the trees, from `leaves` (group, pos, n, digest) up; each is written and has an eighth of the rows below."""
-    levels, level = [], stored(with_siblings(leaves.select("group", "pos", "n", "digest")), "nodes")
-    while True:
-        levels.append(level)
-        if level.where("n > 1").isEmpty():
-            return levels
-        level = stored(with_siblings(parents(level)), "nodes")
+    """Levels (group, pos, n, digest) of the trees, from `leaves` up; each further one is written and has an eighth of the rows below."""
+    levels = [leaves]
+    while not levels[-1].where("n > 1").isEmpty():
+        levels.append(stored(parents(levels[-1]), "nodes"))
+    return levels
 
 
 def descend(levels: list[DataFrame], above: DataFrame) -> DataFrame:
-    """The lowest level's (group, pos, path, ...), path being the (left, right) of a node and its ancestors, from below.
+    """The lowest level with `path`, the (left, right) of each node and its ancestors from below, and what `above` has besides.
 
     `above` (group, path, ...) is what a group's top hands down: one row for each group.
     Every join is on a node's parent, which has eight children at most."""
@@ -83,11 +80,12 @@ def descend(levels: list[DataFrame], above: DataFrame) -> DataFrame:
     more = [c for c in above.columns if c not in ("group", "path")]
     below = None
     for level in reversed(levels):
-        tops = level.where("n = 1").select("group", "pos").join(above, "group").select("group", "pos", "path", *more)
+        own = [c for c in level.columns if c not in ("group", "n")]
+        tops = level.where("n = 1").join(above, "group").select("group", *own, "path", *more)
         if below is not None:
-            up = below.withColumnRenamed("pos", "__up").withColumnRenamed("path", "__path")
-            inner = level.where("n > 1").withColumn("__up", F.shiftright("pos", 3)).join(up, ["group", "__up"])
-            tops = tops.unionByName(inner.select("group", "pos", F.concat(step, "__path").alias("path"), *more))
+            up = below.select("group", F.col("pos").alias("up"), F.col("path").alias("__path"), *more)
+            inner = with_siblings(level.where("n > 1")).join(up, ["group", "up"])
+            tops = tops.unionByName(inner.select("group", *own, F.concat(step, "__path").alias("path"), *more))
         below = tops if level is levels[0] else stored(tops, "paths")
     return below
 
@@ -121,11 +119,11 @@ def manifest(docs: DataFrame, fields: list[Column], tampered: list[Column], is_t
     crown = climb(subroots)
     # the top of the crown is one row
     root = crown[-1].where("n = 1").select("group", F.array().cast("array<struct<left:string,right:string>>").alias("path"), F.col("digest").alias("root"))
-    above = descend(crown, root).join(subroots, ["group", "pos"]).select(F.col("of").alias("group"), "path", F.col("digest").alias("subroot"), "root")
+    above = descend(crown, root).select(F.col("of").alias("group"), "path", F.col("digest").alias("subroot"), "root")
     paths = descend(trees, stored(above, "groups"))
 
     folded = F.aggregate("path", F.coalesce("found", "digest"), lambda at, s: digest(s["left"], at, s["right"]))
     siblings = F.array_join(F.flatten(F.transform("path", lambda s: F.array(s["left"], s["right"]))), "")
-    out = leaves.join(paths, ["group", "pos"]).select(
+    out = paths.select(
         F.col("id").alias(id_col), F.col("digest").alias("leaf"), "subroot", "root", F.col("path").alias("proof"), digest(siblings).alias("proof_sha256"), folded.alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))

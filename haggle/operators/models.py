@@ -542,65 +542,3 @@ def offer_frontier(candidates: DataFrame, history: DataFrame, k: int = 5) -> Dat
     ent = entropy_bits(F.col("p_accept")) + entropy_bits(F.col("p_counter")) + entropy_bits(F.col("p_exit"))
     return c.select("cand_id", "category", "ratio", "supported").join(share, "cand_id", "left").withColumns(
         {"expected_rounds": 1.0 + F.col("p_counter"), "response_entropy": ent})
-
-
-def nearest_row(train: DataFrame, rows: DataFrame, vector: str = "vec", bound: int = 2_000_000) -> DataFrame:
-    """Nearest training row of each row by squared distance, ties to the lower
-    id. A training side counted as small is broadcast; a larger one is compared
-    block by block, so the answer stays exact at any size."""
-    n = train.count()
-    dim = train.select(F.size(vector)).first()[0] if n else 0
-    if n * max(dim, 1) <= bound:
-        packed = train.select(F.col("id").alias("tid"), F.col(vector).alias("v")).collect()
-        return _nearest_small(packed, rows, vector)
-    return _nearest_blocks(train, rows, vector, max(1, bound // max(dim, 1)), n)
-
-
-def _nearest_small(packed, rows: DataFrame, vector: str) -> DataFrame:
-    import numpy as np
-
-    ids = np.array([r["tid"] for r in packed])
-    mat = np.array([r["v"] for r in packed], dtype="float64")
-    order = np.argsort(ids)
-    shared = rows.sparkSession.sparkContext.broadcast((ids[order], mat[order]))
-
-    def score(batches):
-        import pandas as pd
-
-        tid, m = shared.value
-        for b in batches:
-            x = np.array(b["v"].tolist(), dtype="float64")
-            if len(x):
-                d = np.stack([((m - v) ** 2).sum(axis=1) for v in x])
-                best = d.argmin(axis=1)
-                yield pd.DataFrame({"id": b["id"], "nearest_id": tid[best], "distance": d[np.arange(len(x)), best]})
-
-    return rows.select("id", F.col(vector).alias("v")).mapInPandas(score, "id long, nearest_id long, distance double")
-
-
-def _nearest_blocks(train: DataFrame, rows: DataFrame, vector: str, block: int, n: int) -> DataFrame:
-    """Training rows and scored rows are both cut into blocks by hash; each pair
-    of blocks is one task that keeps only the best per scored row, and a minimum
-    over the blocks follows. No pair of rows is ever put out."""
-    t_blocks, r_blocks = -(-n // block), max(1, -(-rows.count() // block))
-    t = train.select(F.col("id").alias("tid"), F.col(vector).alias("v"), F.pmod(F.xxhash64("id"), F.lit(t_blocks)).alias("tb"),
-                     F.explode(F.sequence(F.lit(0).cast("long"), F.lit(r_blocks - 1).cast("long"))).alias("rb"))
-    r = rows.select("id", F.col(vector).alias("v"), F.pmod(F.xxhash64("id"), F.lit(r_blocks)).alias("rb"),
-                    F.explode(F.sequence(F.lit(0).cast("long"), F.lit(t_blocks - 1).cast("long"))).alias("tb"))
-
-    def best(left, right):
-        import numpy as np
-        import pandas as pd
-
-        if not len(left) or not len(right):
-            return pd.DataFrame({"id": [], "tid": [], "d": []}).astype({"id": "int64", "tid": "int64", "d": "float64"})
-        left = left.sort_values("tid")
-        m, ids, out = np.array(left["v"].tolist(), dtype="float64"), left["tid"].to_numpy(), []
-        for i, v in zip(right["id"], right["v"]):
-            d = ((m - np.asarray(v, dtype="float64")) ** 2).sum(axis=1)
-            j = int(d.argmin())
-            out.append((i, ids[j], d[j]))
-        return pd.DataFrame(out, columns=["id", "tid", "d"])
-
-    per = t.groupBy("tb", "rb").cogroup(r.groupBy("tb", "rb")).applyInPandas(best, "id long, tid long, d double")
-    return per.groupBy("id").agg(F.min_by("tid", F.struct("d", "tid")).alias("nearest_id"), F.min("d").alias("distance"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from haggle.operators import metrics as E
 from haggle.operators import models as M
+from haggle.operators.neighbours import nearest_target
 from haggle.plans.learning import cases_of
 from haggle.plans.registry import query, view
 from haggle.sources.tables import table
@@ -470,10 +471,12 @@ def _(spark, sf):
 
 
 @query("nearest_row", """
-SELECT r.vec_id AS id, arg_min(t.vec_id, (d, t.vec_id)) AS nearest_id, MIN(d) AS distance FROM (
-  SELECT r.vec_id AS rid, t.vec_id AS tid, list_sum(list_transform(list_zip(t.embedding, r.embedding), lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2))) AS d
-  FROM embeddings r JOIN embeddings t ON r.vec_id % 5 = 0 AND t.vec_id % 5 <> 0) x JOIN embeddings r ON r.vec_id = x.rid JOIN embeddings t ON t.vec_id = x.tid
-GROUP BY r.vec_id""", "distance")
-def _(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
-    return M.nearest_row(e.filter("id % 5 <> 0"), e.filter("id % 5 = 0"))
+WITH scales AS (SELECT list(CASE WHEN sd > 1e-9 THEN sd ELSE 1 END ORDER BY i) AS s FROM (
+    SELECT i, stddev_pop(x) AS sd FROM (SELECT generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE vec_id % 5 <> 0) GROUP BY i)),
+d AS (SELECT r.vec_id AS id, t.vec_id AS tid, t.label >= 5 AS hit,
+             list_sum(list_transform(range(1, len(s) + 1), lambda i: pow((t.embedding[i]::DOUBLE - r.embedding[i]::DOUBLE) / s[i], 2))) AS d
+      FROM embeddings r JOIN embeddings t ON r.vec_id % 5 = 0 AND t.vec_id % 5 <> 0, scales)
+SELECT id, arg_min(tid, (d, tid)) AS nearest_id, MIN(d) AS distance, CASE WHEN arg_min(hit, (d, tid)) THEN 0.8::DOUBLE ELSE 0.2::DOUBLE END AS p FROM d GROUP BY id""", "distance")
+def _(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), (F.col("label") >= 5).cast("int").alias("target"))
+    return nearest_target(e.filter("id % 5 <> 0"), e.filter("id % 5 = 0")).drop("tested")

@@ -6,11 +6,12 @@ import hashlib
 import hmac
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from haggle.functions.scalar import partition_id
-from haggle.operators import causal, guards, lifecycle, models, money, privacy, quality, split, tasks, text, threads
+from haggle.operators import causal, guards, lifecycle, models, money, neighbours, privacy, quality, split, tasks, text, threads
 from haggle.operators.metrics import exact_median
 from haggle.operators.rank import global_rank
 from haggle.sources import files
@@ -147,12 +148,53 @@ def test_nearest_ratio_against_brute_force(spark):
     assert got == sorted(want)
 
 
-def test_nearest_row_blocks_equal_broadcast(spark):
+def nearest_by_force(train, new):
+    """(id, nearest id, squared distance) in standardised space; absent components are 0."""
+    dim = max(len(v or []) for _, v in train)
+    full = lambda v: np.array([0.0 if i >= len(v or []) or v[i] is None else v[i] for i in range(dim)])
+    ids, mat = np.array([i for i, _ in train]), np.array([full(v) for _, v in train])
+    sd = mat.std(axis=0)
+    sd[sd <= 1e-9] = 1.0
+    want = []
+    for i, v in new:
+        d = (((mat - full(v)) / sd) ** 2).sum(axis=1)
+        want.append((i, int(ids[d == d.min()].min()), float(d.min())))
+    return sorted(want)
+
+
+@pytest.mark.parametrize("cells, piece, look", [(None, 1 << 16, 256), (40, 50, 4), (1, 7, 2), (3000, 1 << 16, 8)])
+def test_nearest_row(spark, monkeypatch, cells, piece, look):
+    monkeypatch.setattr(neighbours, "PIECE_ROWS", piece)
+    monkeypatch.setattr(neighbours, "ASK_ROWS", 30)
+    monkeypatch.setattr(neighbours, "FIRST_LOOK", look)
     rnd = random.Random(5)
-    t = spark.createDataFrame([(i, [rnd.random() for _ in range(4)]) for i in range(60)], "id long, vec array<double>")
-    r = spark.createDataFrame([(i, [rnd.random() for _ in range(4)]) for i in range(30)], "id long, vec array<double>")
-    small = rows(models.nearest_row(t, r), "id", "nearest_id")
-    assert rows(models.nearest_row(t, r, bound=40), "id", "nearest_id") == small
+    grid = lambda i: [rnd.choice([0.0, 1.0, 2.0]) * 1000, rnd.choice([0.0, 0.5]), float(i % 7), 3.0]
+    train = [(i, grid(i)) for i in range(600)] + [(i, [rnd.gauss(0, 900), rnd.random(), rnd.random() * 7, 3.0]) for i in range(600, 900)]
+    train += [(900, None), (901, [1.0]), (902, [None, 2.0])] + [(i, [500.0, 0.1, 1.0, 3.0]) for i in range(1000, 1300)]  # one common vector
+    new = [(i, grid(i)) for i in range(150)] + [(i, [500.0, 0.1, 1.0, 3.0]) for i in range(150, 250)] + [(250, None), (251, [1e6, 0.0, 0.0, 0.0])]
+    t, r = (spark.createDataFrame(x, "id long, vec array<double>").repartition(3) for x in (train, new))
+    got = sorted((x["id"], x["nearest_id"], x["distance"]) for x in neighbours.nearest_row(t, r, cells=cells).collect())
+    want = nearest_by_force(train, new)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in want])
+
+
+def test_nearest_row_skips_cells(spark):
+    """Far cells are never visited: a row is compared with a small part of the training rows."""
+    rnd = random.Random(6)
+    train = [(i, [rnd.random() * 50, rnd.random() * 50], i % 2) for i in range(20_000)]
+    t = spark.createDataFrame(train, "id long, vec array<double>, target int")
+    got = neighbours.nearest_target(t, t.filter("id < 200").select("id", "vec"), cells=64).collect()
+    assert all(x["id"] == x["nearest_id"] and x["distance"] == 0 and x["p"] == (0.8 if x["id"] % 2 else 0.2) for x in got) and len(got) == 200
+    assert sum(x["tested"] for x in got) < 200 * 1000
+    none = neighbours.nearest_target(t.limit(0), t.filter("id < 3").select("id", "vec")).collect()
+    assert [(x["nearest_id"], x["p"]) for x in none] == [(None, 0.5)] * 3
+
+
+def test_nearest_row_raw_space_would_be_wrong(spark):
+    t = spark.createDataFrame([(1, [0.0, 1000.0]), (2, [5.0, 0.0])], "id long, vec array<double>")
+    r = spark.createDataFrame([(0, [0.0, 400.0])], "id long, vec array<double>")
+    assert [x["nearest_id"] for x in neighbours.nearest_row(t, r).collect()] == [1]
 
 
 def test_bid_replay_against_loop(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haggle.operators.ordered import hot_groups, grouped
+from haggle.operators.ordered import hot_limit, spread
 
 TX = ["merchant_namespace", "transaction_id"]
 
@@ -99,6 +99,10 @@ def _fold(events: Column) -> Column:
     return F.aggregate(events, start, step)
 
 
+#: Events of a transaction that fold as one array.
+FOLD_EVENTS = 1_000
+
+
 def _replay_arrays(events: DataFrame) -> DataFrame:
     packed = F.array_sort(F.collect_list(F.struct(*_ORDER, "transition_to", "_bad")))
     return events.groupBy(*TX).agg(packed.alias("_e")).select(*TX, _fold(F.col("_e")).alias("_r")).select(
@@ -108,17 +112,16 @@ def _replay_arrays(events: DataFrame) -> DataFrame:
 def replay_lifecycle(events: DataFrame) -> DataFrame:
     """Every event with its outcome, and the state its transaction ends in.
     Events are folded in (occurred, received, id) order, so late ones take their
-    place (T13). A transaction has tens of events and folds as one array; one
-    with more than haggle.hot.rows is cut into segments, each segment is run
-    once from every possible state, the segments are chained, and a second run
-    starts each from its true state."""
+    place (T13). A transaction has tens of events and folds as one array. Those with
+    more than FOLD_EVENTS (or haggle.hot.rows, if fewer) are spread over ranges, however
+    many such transactions there are: each range's part is run once from every possible
+    state, the parts are chained, and a second run starts each from its true state."""
     marked = _with_currency_flag(events)
-    hot = hot_groups(events, TX)
-    if not hot:
+    sizes = events.groupBy(*TX).agg(F.count(F.lit(1)).alias("_n"))
+    long = sizes.where(F.col("_n") > min(FOLD_EVENTS, hot_limit(events))).select(*TX)
+    if long.isEmpty():
         return _replay_arrays(marked)
-    is_hot = F.xxhash64(*TX).isin(list(hot))
-    rest = _replay_arrays(marked.filter(~is_hot))
-    return rest.unionByName(_replay_hot(marked.filter(is_hot)))
+    return _replay_arrays(marked.join(long, TX, "left_anti")).unionByName(_replay_long(marked.join(long, TX, "left_semi")))
 
 
 STATES = list(TRANSITIONS)
@@ -135,8 +138,8 @@ def _codes():
     return index, table
 
 
-def _replay_hot(marked: DataFrame) -> DataFrame:
-    seg = grouped(marked, TX, _ORDER).df.select(*TX, "_seg", *_ORDER, "transition_to", "_bad")
+def _replay_long(marked: DataFrame) -> DataFrame:
+    seg = spread(marked.select(*TX, *_ORDER, "transition_to", "_bad"), TX, _ORDER).df.withColumnRenamed("_range_no", "_seg").drop("_range_at")
     parts = [*TX, "_seg"]
 
     def ends(pdf):
@@ -154,13 +157,13 @@ def _replay_hot(marked: DataFrame) -> DataFrame:
 
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in seg.schema if f.name in parts)
     moves = seg.groupBy(*parts).applyInPandas(ends, f"{key_schema}, ends array<long>")
-    # one row per segment: chain them per transaction
+    # one row per range of a transaction: chain them
     chain = moves.groupBy(*TX).agg(F.array_sort(F.collect_list(F.struct("_seg", "ends"))).alias("s"))
     begin = F.aggregate("s", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<_seg:int,start:long>>").alias("out")),
                         lambda a, x: F.struct(F.element_at(x["ends"], (a["at"] + 1).cast("int")).alias("at"),
                                               F.concat(a["out"], F.array(F.struct(x["_seg"].cast("int").alias("_seg"), a["at"].alias("start")))).alias("out")))
     starts = chain.select(*TX, begin.alias("b")).select(*TX, F.col("b.at").alias("_final"), F.inline("b.out"))
-    ready = seg.join(F.broadcast(starts), parts)
+    ready = seg.join(starts, parts)
 
     def run(pdf):
         import pandas as pd

@@ -1,109 +1,101 @@
 """Ordered work inside groups that stays distributed when one group is huge.
 
-A window partitioned by a key puts the whole group into one task. Here a
-heavy-hitter sketch first names the few groups that are too large; only those
-are cut into time segments, the window runs per (key, segment), and one small
-row per segment carries what crosses the segment border. With no hot group the
-plan is the plain window.
+A window partitioned by a key puts the whole group into one task. Where the largest
+group is counted above the limit, rows are instead range-partitioned by key and order
+together, so a group of any size spreads over as many ranges as it fills. Windows run
+inside a range; what crosses a range's border is one carry for its first and one for
+its last group, and a scan of those carries completes every row. It makes no difference
+how many groups are large. Where none is, the plan is the plain window.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
+
+from haggle.session import scratch_path
 
-# Keys tracked by the sketch and returned by it; both bound what reaches the driver.
-TRACKED_KEYS = 20_000
-MAX_HOT_KEYS = 1_000
-MAX_SEGMENTS = 1_000
 DEFAULT_HOT_ROWS = 1_000_000
 
+_ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
+
 
 def hot_limit(df: DataFrame) -> int:
-    """Rows per group above which the group is split (haggle.hot.rows)."""
+    """Rows of a group above which groups are spread over ranges (haggle.hot.rows)."""
     return int(df.sparkSession.conf.get("haggle.hot.rows", str(DEFAULT_HOT_ROWS)))
 
 
-def hot_groups(df: DataFrame, keys: list[str]) -> dict[int, int]:
-    """Hash and estimated rows of the groups above the limit, from one mergeable
-    sketch over the key columns. At most MAX_HOT_KEYS entries."""
-    limit = hot_limit(df)
-    sketch = df.select(F.xxhash64(*keys).alias("h")).agg(
-        F.expr(f"approx_top_k(h, {MAX_HOT_KEYS}, {TRACKED_KEYS})").alias("top")
-    )
-    rows = sketch.select(F.explode("top").alias("t")).select("t.item", "t.count").filter(F.col("count") > limit)
-    return {r["item"]: r["count"] for r in rows.collect()}
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest group, counted in each task before the shuffle. Keys are
+    counted by hash, so two of them may count as one, which only spreads more."""
+    sizes = df.groupBy(F.xxhash64(*keys)).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.max("n")).first()[0] or 0
 
 
 @dataclass
 class Grouped:
-    """A frame whose hot groups carry a segment number in column `_seg`."""
+    """A frame with its groups' order. Where `hot`, rows lie in ranges: `_range_no` is the
+    range and `_range_at` the row's place over all ranges."""
 
     df: DataFrame
     keys: list[str]
     order: list[str]
     hot: bool
 
-    @property
-    def parts(self) -> list[str]:
-        return [*self.keys, "_seg"] if self.hot else self.keys
-
     def window(self):
-        return Window.partitionBy(*self.parts).orderBy(*self.order)
+        if self.hot:
+            return Window.partitionBy("_range_no", *self.keys).orderBy("_range_at")
+        return Window.partitionBy(*self.keys).orderBy(*self.order)
 
 
 def grouped(df: DataFrame, keys: list[str], order: list[str], probe: DataFrame | None = None) -> Grouped:
-    """Find hot groups and segment them on the first order column. Equal values
-    of that column stay in one segment, so the full order decides ties.
-
-    `probe` is a cheaper frame to look for hot groups in, for instance the scan
-    that df was joined from. It holds some of the keys, with one row or more per
-    row of df; a group of all keys is never larger than its group of some."""
-    by = [k for k in keys if k in probe.columns] if probe is not None else keys
-    hot = hot_groups(df if probe is None else probe, by)
-    if not hot:
-        return Grouped(df, keys, order, False)
+    """Count the largest group and spread the rows where it is above the limit.
+
+    `probe` is a cheaper frame to count in, for instance the scan that df was joined
+    from. It holds some of the keys, with one row or more per row of df; a group of all
+    keys is never larger than its group of some. A probe with no more rows than the
+    limit needs no count of groups."""
     limit = hot_limit(df)
-    pieces = min(MAX_SEGMENTS, max(2, ceil(max(hot.values()) / limit)))
-    steps = [i / pieces for i in range(1, pieces)]
-    lead_col = order[0]
-    kind = df.schema[lead_col].dataType.simpleString()
-    timed = kind in ("timestamp", "timestamp_ntz", "date")
-    code = F.unix_micros(F.col(lead_col).cast("timestamp")) if timed else F.col(lead_col).cast("double")
-    coded = df.withColumn("_hk", F.xxhash64(*by)).withColumn("_ok", code)
-    cuts = (
-        coded.filter(F.col("_hk").isin(list(hot)))
-        .groupBy("_hk")
-        .agg(F.percentile_approx("_ok", steps, 10_000).alias("_cutlist"))
-    )
-    # one row per hot group: at most MAX_HOT_KEYS rows, so the broadcast is bounded
-    out = (
-        coded.join(F.broadcast(cuts), "_hk", "left")
-        .withColumn("_hot", F.col("_cutlist").isNotNull())
-        .withColumn(
-            "_seg",
-            F.when(F.col("_hot") & F.col("_ok").isNotNull(), F.size(F.filter("_cutlist", lambda c: c < F.col("_ok"))) + 1)
-            .otherwise(0),
-        )
-        .drop("_hk", "_ok", "_cutlist")
-    )
-    return Grouped(out, keys, order, True)
+    if probe is None:
+        hot = largest_group(df, keys) > limit
+    else:
+        hot = probe.count() > limit and largest_group(probe, [k for k in keys if k in probe.columns]) > limit
+    return spread(df, keys, order) if hot else Grouped(df, keys, order, False)
+
+
+def spread(df: DataFrame, keys: list[str], order: list[str]) -> Grouped:
+    """Range-partition by keys and order and write the sorted ranges once, since all
+    passes must see the same ones. Rows alike in both are told apart by a hash of
+    their other plain columns, so that they spread as well."""
+    spark = df.sparkSession
+    plain = [f.name for f in df.schema if f.name not in (*keys, *order) and not isinstance(f.dataType, (ArrayType, MapType, StructType))]
+    ranks = [*keys, *order, F.xxhash64(*plain)] if plain else [*keys, *order]
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "ranges")
+    df.repartitionByRange(ranges, *ranks).sortWithinPartitions(*ranks).withColumn("_range_at", F.monotonically_increasing_id()).write.parquet(path)
+    return Grouped(spark.read.parquet(path).withColumn("_range_no", F.shiftright("_range_at", _ROW_BITS).cast("int")), keys, order, True)
 
 
 def _segment_rows(g: Grouped, **aggs: Column) -> DataFrame:
-    return g.df.filter("_hot").groupBy(*g.parts).agg(*[c.alias(n) for n, c in aggs.items()])
-
-
-def _null_safe_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    renamed = right.select([F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
-    cond = None
+    """One row for the first and the last group of each range: only they can go on in another."""
+    key = F.struct(*g.keys)
+    ends = g.df.groupBy("_range_no").agg(F.min(key).alias("_range_first"), F.max(key).alias("_range_last"))
+    # one row per range
+    border = g.df.join(F.broadcast(ends), "_range_no").where(key.eqNullSafe(F.col("_range_first")) | key.eqNullSafe(F.col("_range_last")))
+    return border.groupBy("_range_no", *g.keys).agg(*[c.alias(n) for n, c in aggs.items()])
+
+
+def _carried(g: Grouped, df: DataFrame, carries: DataFrame) -> DataFrame:
+    """df with what its range and group are handed; two carries per range at most."""
+    on = ["_range_no", *g.keys]
+    renamed = carries.select([F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in carries.columns])
+    same = F.lit(True)
     for c in on:
-        t = left[c].eqNullSafe(renamed[f"_r_{c}"])
-        cond = t if cond is None else cond & t
-    return left.join(F.broadcast(renamed), cond, "left").drop(*[f"_r_{c}" for c in on])
+        same = same & df[c].eqNullSafe(renamed[f"_r_{c}"])
+    return df.join(F.broadcast(renamed), same, "left").drop(*[f"_r_{c}" for c in on])
 
 
 def with_next(g: Grouped, cols: dict[str, str]) -> Grouped:
@@ -112,11 +104,10 @@ def with_next(g: Grouped, cols: dict[str, str]) -> Grouped:
     packed = F.struct(*[F.col(src).alias(new) for new, src in cols.items()])
     df = g.df.withColumn("_next", F.lead(packed).over(g.window()))
     if g.hot:
-        # heads: one row per segment of a hot group
-        heads = _segment_rows(g, _head=F.min_by(packed, F.struct(*g.order)))
-        border = Window.partitionBy(*g.keys).orderBy("_seg")
-        heads = heads.withColumn("_nexthead", F.lead("_head").over(border)).drop("_head")
-        df = _null_safe_join(df, heads, g.parts)
+        heads = _segment_rows(g, _head=F.min_by(packed, "_range_at"))
+        scan = Window.partitionBy(*g.keys).orderBy("_range_no")
+        heads = heads.withColumn("_nexthead", F.lead("_head").over(scan)).drop("_head")
+        df = _carried(g, df, heads)
         df = df.withColumn("_next", F.coalesce("_next", "_nexthead")).drop("_nexthead")
     df = df.withColumn("_is_last", F.col("_next").isNull())
     for new in cols:
@@ -129,10 +120,10 @@ def with_previous(g: Grouped, cols: dict[str, str]) -> Grouped:
     packed = F.struct(*[F.col(src).alias(new) for new, src in cols.items()])
     df = g.df.withColumn("_prev", F.lag(packed).over(g.window()))
     if g.hot:
-        tails = _segment_rows(g, _tail=F.max_by(packed, F.struct(*g.order)))
-        border = Window.partitionBy(*g.keys).orderBy("_seg")
-        tails = tails.withColumn("_prevtail", F.lag("_tail").over(border)).drop("_tail")
-        df = _null_safe_join(df, tails, g.parts)
+        tails = _segment_rows(g, _tail=F.max_by(packed, "_range_at"))
+        scan = Window.partitionBy(*g.keys).orderBy("_range_no")
+        tails = tails.withColumn("_prevtail", F.lag("_tail").over(scan)).drop("_tail")
+        df = _carried(g, df, tails)
         df = df.withColumn("_prev", F.coalesce("_prev", "_prevtail")).drop("_prevtail")
     df = df.withColumn("_is_first", F.col("_prev").isNull())
     for new in cols:
@@ -157,12 +148,12 @@ def with_running(
         totals = _segment_rows(
             base, **{f"_t_{n}": F.sum(f"_v_{n}") for n in sums}, **{f"_t_{n}": F.max(f"_v_{n}") for n in maxes}
         )
-        before = Window.partitionBy(*g.keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+        before = Window.partitionBy(*g.keys).orderBy("_range_no").rowsBetween(Window.unboundedPreceding, -1)
         totals = totals.withColumns(
             {f"_b_{n}": F.sum(f"_t_{n}").over(before) for n in sums}
             | {f"_b_{n}": F.max(f"_t_{n}").over(before) for n in maxes}
-        ).select(*g.parts, *[f"_b_{n}" for n in [*sums, *maxes]])
-        df = _null_safe_join(df, totals, g.parts)
+        ).select("_range_no", *g.keys, *[f"_b_{n}" for n in [*sums, *maxes]])
+        df = _carried(g, df, totals)
         df = df.withColumns(
             {
                 n: F.when(F.col(n).isNull() & F.col(f"_b_{n}").isNull(), None).otherwise(
@@ -186,4 +177,4 @@ def with_row_number(g: Grouped, name: str) -> Grouped:
 
 
 def done(g: Grouped) -> DataFrame:
-    return g.df.drop("_seg", "_hot") if g.hot else g.df
+    return g.df.drop("_range_no", "_range_at") if g.hot else g.df

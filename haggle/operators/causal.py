@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import comb
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,66 +66,6 @@ def uplift(df: DataFrame, treatment: str, outcome: str) -> DataFrame:
                       (ate - 1.96 * se).alias("low"), (ate + 1.96 * se).alias("high"))
 
 
-def permutation_test(df: DataFrame, treatment: str, outcome: str, samples: int = 2000, seed: int = 1729) -> DataFrame:
-    """Mean of the permutation null and the two-sided p value. Spark reduces the
-    rows to counts per outcome value; a permutation is then a draw from those
-    counts, so no row is shuffled. Few rows are enumerated exactly. The outcome
-    must have few distinct values, which is checked."""
-    per = df.groupBy(F.col(outcome).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(treatment).cast("long")).alias("k"))
-    rows = per.orderBy("y").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("permutation over more than 10000 distinct outcome values")
-    values, counts = [r["y"] for r in rows], [r["n"] for r in rows]
-    n, treated = sum(counts), sum(r["k"] for r in rows)
-    total = sum(v * c for v, c in zip(values, counts))
-    seen = sum(r["y"] * r["k"] for r in rows)
-    spark = df.sparkSession
-    if not 0 < treated < n:
-        raise ValueError("a permutation needs rows in both arms")
-    # the count of assignments is at least n choose 1; it is worked out only where it may be small
-    if n <= samples and comb(n, treated) <= samples:
-        from itertools import combinations
-
-        observed = seen / treated - (total - seen) / (n - treated)
-
-        flat = [v for v, c in zip(values, counts) for _ in range(c)]
-        null = [sum(x) / treated - (total - sum(x)) / (n - treated) for x in combinations(flat, treated)]
-        hits = sum(abs(x) >= abs(observed) for x in null)
-        return spark.createDataFrame([("exact_permutation_null", len(null), float(observed), sum(null) / len(null), hits / len(null))],
-                                     "method string, samples long, observed double, null_mean double, p_value double")
-
-    observed = seen / treated - (total - seen) / (n - treated)
-
-    def draw(batches):
-        import numpy as np
-        import pandas as pd
-
-        for b in batches:
-            out = []
-            for i in b["id"]:
-                rng = np.random.default_rng([seed, int(i)])
-                left_n, left_k, s = n, treated, 0.0
-                for v, c in zip(values, counts):
-                    take = 0
-                    if left_k:
-                        # numpy draws up to 1e9; larger populations by the normal limit
-                        if left_n < 10**9:
-                            take = int(rng.hypergeometric(c, left_n - c, left_k)) if left_n > c else left_k
-                        else:
-                            p = c / left_n
-                            sd = (left_k * p * (1 - p) * (left_n - left_k) / max(left_n - 1, 1)) ** 0.5
-                            take = int(min(c, left_k, max(0, round(rng.normal(left_k * p, sd)))))
-                    s += v * take
-                    left_n -= c
-                    left_k -= take
-                out.append(s / treated - (total - s) / (n - treated))
-            yield pd.DataFrame({"ate": out})
-
-    null = spark.range(samples).mapInPandas(draw, "ate double")
-    return null.agg(F.lit("sampled_permutation_null").alias("method"), F.count(F.lit(1)).alias("samples"), F.lit(float(observed)).alias("observed"),
-                    F.avg("ate").alias("null_mean"), F.avg((F.abs("ate") >= abs(observed)).cast("int")).alias("p_value"))
-
-
 def compare_arms(trials: DataFrame, block: str = "block") -> DataFrame:
     """Randomised difference overall and per block: plain means with an
     Agresti-Caffo interval, or Hajek weights where probabilities vary. One pass:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from haggle.operators import causal as X
 from haggle.operators import money as Y
 from haggle.operators import pilot as P
+from haggle.operators.permutation import permutation_test
 from haggle.plans.registry import fixture, query, view
 from haggle.sources.tables import table
 
@@ -281,7 +282,7 @@ def _(spark, sf):
 
 @query("permutation_test")
 def _(spark, sf):
-    return X.permutation_test(trials(spark, sf), "treated", "outcome")
+    return permutation_test(trials(spark, sf), "treated", "outcome")
 
 
 def _arms_sql(scope: str, where: str, varying: bool) -> str:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from haggle.functions.scalar import partition_id
-from haggle.operators import causal, guards, lifecycle, models, money, neighbours, privacy, quality, split, tasks, text, threads
+from haggle.operators import causal, guards, lifecycle, models, money, neighbours, permutation, privacy, quality, split, tasks, text, threads
 from haggle.operators.metrics import exact_median
 from haggle.operators.rank import global_rank
 from haggle.sources import files
@@ -34,7 +34,7 @@ def test_off_policy_literals(spark):
 def test_uplift_and_exact_permutations(spark):
     df = spark.createDataFrame([(1, 1), (1, 0), (0, 0), (0, 0)], "treatment int, conversion int")
     assert causal.uplift(df, "treatment", "conversion").first()["ate"] == pytest.approx(0.5)
-    p = causal.permutation_test(df, "treatment", "conversion").first()
+    p = permutation.permutation_test(df, "treatment", "conversion").first()
     assert (p["method"], p["samples"]) == ("exact_permutation_null", 6)
     assert p["null_mean"] == pytest.approx(0.0)
 

@@ -479,24 +479,6 @@ def platt(pred: DataFrame) -> DataFrame:
     return x.withColumn("calibrated", sigmoid(F.lit(float(m.coefficients[0])) * F.col("_x") + F.lit(float(m.intercept)))).drop("_x")
 
 
-def isotonic(pred: DataFrame, bins: int | None = None) -> DataFrame:
-    """Isotonic calibration as a step function: each p takes the value of the
-    last block that starts at or below it."""
-    src = pred.select(F.col("p").alias("x"), F.col("target").cast("double").alias("y"))
-    if bins:
-        src = src.select(bin_of(F.col("x"), bins).cast("double").alias("x"), "y")
-    # ties share one value, as rows of equal p fall into one block
-    agg = src.groupBy("x").agg(F.avg("y").alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
-    m = IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w").fit(agg)
-    steps = pred.sparkSession.createDataFrame(
-        [(float(b), float(v)) for b, v in zip(m.boundaries.toArray(), m.predictions.toArray())], "b double, v double")
-    blocks = steps.agg(F.array_sort(F.collect_list(F.struct("b", "v"))).alias("steps"))
-    x = bin_of(F.col("p"), bins).cast("double") if bins else F.col("p")
-    d = _attach(pred.withColumn("_x", x), blocks)
-    at = F.filter("steps", lambda s: s["b"] <= F.col("_x"))
-    return d.withColumn("calibrated", F.coalesce(F.try_element_at(at, F.lit(-1))["v"], F.col("steps")[0]["v"])).drop("steps", "_x")
-
-
 def nearest_ratio(candidates: DataFrame, history: DataFrame, k: int) -> DataFrame:
     """The k history rows of the same category nearest in ratio, per candidate.
 

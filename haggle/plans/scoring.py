@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from haggle.operators import metrics as E
 from haggle.operators import models as M
+from haggle.operators.isotonic import isotonic
 from haggle.operators.neighbours import nearest_target
 from haggle.plans.learning import cases_of
 from haggle.plans.registry import query, view
@@ -445,9 +446,15 @@ def _(spark, sf):
     return M.platt(accept_pred(spark, sf)).select("row_id", "p", "calibrated")
 
 
-@query("isotonic")
+# the pooled curve by its max-min formula: of all averages from a point at or before x, the least that ends at or behind it; of those the greatest
+@query("isotonic", """
+SELECT row_id, b.p, v AS calibrated FROM v_bin b JOIN (
+  WITH a AS (SELECT p AS x, ROW_NUMBER() OVER (ORDER BY p) AS i, SUM(SUM(target)) OVER (ORDER BY p) AS s, SUM(COUNT(*)) OVER (ORDER BY p) AS w FROM v_bin GROUP BY p),
+  pairs AS (SELECT f.i AS f, t.i AS t, (t.s - COALESCE(z.s, 0))::DOUBLE / (t.w - COALESCE(z.w, 0)) AS m FROM a f JOIN a t ON f.i <= t.i LEFT JOIN a z ON z.i = f.i - 1),
+  least AS (SELECT f, t, MIN(m) OVER (PARTITION BY f ORDER BY t DESC) AS m FROM pairs)
+  SELECT x, MAX(m) AS v FROM least JOIN a ON a.i = t GROUP BY x) c ON c.x = b.p""", "calibrated")
 def _(spark, sf):
-    return M.isotonic(accept_pred(spark, sf)).select("row_id", "p", "calibrated")
+    return isotonic(accept_pred(spark, sf)).select("row_id", "p", "calibrated")
 
 
 # ---- neighbours

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from haggle.functions.scalar import partition_id
-from haggle.operators import causal, guards, lifecycle, models, money, neighbours, permutation, privacy, quality, split, tasks, text, threads
+from haggle.operators import causal, guards, isotonic, lifecycle, models, money, neighbours, permutation, privacy, quality, split, tasks, text, threads
 from haggle.operators.metrics import exact_median
 from haggle.operators.rank import global_rank
 from haggle.sources import files
@@ -130,11 +130,42 @@ def test_feature_contract_and_reserved_names(spark):
 
 def test_isotonic_steps_and_monotone_pool(spark):
     df = spark.createDataFrame([(0.1, 0), (0.2, 1), (0.3, 0), (0.8, 1)], "p double, target int")
-    got = {r["p"]: round(r["calibrated"], 6) for r in models.isotonic(df).collect()}
+    got = {r["p"]: round(r["calibrated"], 6) for r in isotonic.isotonic(df).collect()}
     assert got == {0.1: 0.0, 0.2: 0.5, 0.3: 0.5, 0.8: 1.0}
     assert models._pool([0.5, 0.2, 0.9], [1, 3, 1]) == pytest.approx([0.275, 0.275, 0.9])
 
 
+def curve_by_force(points):
+    """The max-min formula on distinct x."""
+    xs = sorted({x for x, _, _ in points})
+    s = [sum(y * w for x, y, w in points if x == v) for v in xs]
+    w = [sum(w for x, _, w in points if x == v) for v in xs]
+    avg = lambda a, b: sum(s[a : b + 1]) / sum(w[a : b + 1])
+    return {x: max(min(avg(a, b) for b in range(i, len(xs))) for a in range(i + 1)) for i, x in enumerate(xs)}
+
+
+@pytest.mark.parametrize("shape", ["random", "rising", "falling", "waves"])
+@pytest.mark.parametrize("ranges", [1, 4, 9])
+def test_rising_blocks(spark, shape, ranges):
+    rnd = random.Random(11)
+    level = {"random": lambda i: rnd.random(), "rising": lambda i: i / 100, "falling": lambda i: -i / 100, "waves": lambda i: (i % 17) + i / 40}[shape]
+    points = [(float(i // 2), level(i), rnd.choice([1.0, 2.5])) for i in range(110)]
+    df = spark.createDataFrame([*points, (None, 1.0, 1.0), (3.0, None, 1.0), (3.0, 9.0, 0.0)], "x double, y double, w double").repartition(3)
+    got = isotonic.rising_blocks(df, ranges).orderBy("lo").collect()
+    want = curve_by_force(points)
+    assert all(a["hi"] < b["lo"] and a["value"] < b["value"] for a, b in zip(got, got[1:]))
+    for b in got:
+        assert [want[x] for x in want if b["lo"] <= x <= b["hi"]] == pytest.approx([b["value"]] * sum(b["lo"] <= x <= b["hi"] for x in want))
+    assert sum(b["weight"] for b in got) == pytest.approx(sum(w for _, _, w in points))
+
+
+def test_isotonic_over_ranges(spark, hot):
+    rows = [(None if i == 7 else i / 50, i % 3 % 2, i) for i in range(50)]
+    got = {r["row"]: r["calibrated"] for r in isotonic.isotonic(spark.createDataFrame(rows, "p double, target int, row int")).collect()}
+    want = curve_by_force([(p, y, 1.0) for p, y, _ in rows if p is not None])
+    assert got == {i: pytest.approx(want[p]) if p is not None else None for p, _, i in rows}
+
+
 def test_nearest_ratio_against_brute_force(spark):
     rnd = random.Random(3)
     cand = [(f"c{i}", f"k{i % 2}", rnd.random()) for i in range(40)]

@@ -440,37 +440,6 @@ def two_state(train: DataFrame, df: DataFrame, features: list[str], seed: int =
     return d.withColumn("p", p).drop(*[f"_z_{f}" for f in features])
 
 
-def candidate_terms(train: DataFrame, features: list[str], limit: int = 18) -> list[str]:
-    """Ranked features, their median indicators and products of the top five."""
-    ranked = [r["feature"] for r in rank_features(train, features).orderBy(F.desc("score"), "feature").collect()]
-    top = ranked[:8]
-    cut = train.agg(*[F.percentile_approx(_num(f), 0.5, 10_000).alias(f) for f in top[:6]]).first()
-    flags = [f"if({f} > {cut[f]!r}, 1, 0)" for f in top[:6]]
-    pairs = [f"{a} * {b}" for i, a in enumerate(top[:5]) for b in top[i + 1: 5]]
-    return list(dict.fromkeys([*top, *flags, *pairs]))[:limit]
-
-
-def forward_search(train: DataFrame, dev: DataFrame, features: list[str], max_terms: int = 5, limit: int = 18) -> dict:
-    """Add the term that lowers the development loss most, until none does.
-    The driver holds only losses; every fit and score is a Spark job."""
-    pool = candidate_terms(train, features, limit)
-    chosen: list[str] = []
-    best = float("inf")
-    for _ in range(min(max_terms, len(pool))):
-        tried = []
-        for t in pool:
-            if t not in chosen:
-                fitted = fit_terms(train, [*chosen, t])
-                p = score_terms(dev, [*chosen, t], fitted)
-                loss = p.agg(F.avg(log_loss_one(F.col("p"), F.col("target").cast("double")))).first()[0]
-                tried.append((loss, t))
-        if not tried or min(tried)[0] >= best - 1e-8:
-            break
-        best, term = min(tried)
-        chosen.append(term)
-    return {"terms": chosen, "log_loss": best}
-
-
 def platt(pred: DataFrame) -> DataFrame:
     """Sigmoid calibration of p: a logistic fit on its logit."""
     x = pred.withColumn("_x", logit(F.col("p")))

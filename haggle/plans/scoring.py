@@ -8,6 +8,7 @@ from haggle.operators import metrics as E
 from haggle.operators import models as M
 from haggle.operators.isotonic import isotonic
 from haggle.operators.neighbours import nearest_target
+from haggle.operators.search import forward_search
 from haggle.plans.learning import cases_of
 from haggle.plans.registry import query, view
 from haggle.sources.tables import table
@@ -434,11 +435,9 @@ def _(spark, sf):
 
 @query("forward_search")
 def _(spark, sf):
-    train, dev = [binary(x) for x in parts(spark, sf)]
-    found = M.forward_search(train.cache(), dev.cache(), FEATS, max_terms=2, limit=4)
-    train.unpersist()
-    dev.unpersist()
-    return spark.createDataFrame([(i, t, found["log_loss"]) for i, t in enumerate(found["terms"])], "pos int, term string, log_loss double")
+    found = forward_search(*[binary(x) for x in parts(spark, sf)], FEATS)
+    rows = [(i, t, x) for i, (t, x) in enumerate(zip(found["terms"], found["losses"]))]
+    return spark.createDataFrame(rows, "pos int, term string, log_loss double")
 
 
 @query("platt")

@@ -156,11 +156,31 @@ def _(spark, sf):
     return S.latest_rows(spark, out, ["merchant_namespace", "transaction_id"])
 
 
-@query("ingest_stream", """SELECT transaction_id AS idempotency_key, SUM(1)::BIGINT - 1 AS repeats FROM v_life GROUP BY 1""")
+@query("ingest_stream", """
+WITH b AS (SELECT transaction_id, ordinal, sha256(CASE WHEN seq % 3 = 2 THEN transition_to ELSE 'same' END) AS body FROM v_life),
+f AS (SELECT *, FIRST_VALUE(body) OVER (PARTITION BY transaction_id ORDER BY ordinal) AS first_body FROM b)
+SELECT transaction_id AS idempotency_key, MIN(first_body) AS accepted_hash, COUNT(*) FILTER (WHERE body = first_body) - 1 AS replays, COUNT(*) FILTER (WHERE body <> first_body) AS conflicts FROM f GROUP BY 1""")
 def _(spark, sf):
     e = life(spark, sf).withColumn("body_hash", F.sha2(F.when(F.col("seq") % 3 == 2, F.col("transition_to")).otherwise("same"), 256)).select("transaction_id", "body_hash", "ordinal")
     out, cp = scratch_path(spark, "ing-out"), scratch_path(spark, "ing-cp")
     S.run_to_table(S.ingest_stream(_as_stream(spark, e, "ing-in"), "transaction_id", "body_hash"), out, cp)
-    last = S.latest_rows(spark, out, ["idempotency_key"])
-    # which body comes first depends on the batch; the number of repeats does not
-    return last.select("idempotency_key", (F.col("replays") + F.col("conflicts")).alias("repeats"))
+    return S.latest_rows(spark, out, ["idempotency_key"])
+
+
+@query("maturity_stream", """
+SELECT transaction_id, 'mature' AS status, MAX(paid_total_minor) FILTER (WHERE event_type = 'paid') - 500 * COUNT(*) FILTER (WHERE event_type = 'refund_recorded') AS net_revenue_minor
+FROM v_pay GROUP BY 1 HAVING COUNT(*) FILTER (WHERE event_type = 'paid') > 0
+  AND COALESCE(arg_max(return_exposure_state, occurred_at) FILTER (WHERE event_type = 'return_status_recorded'), 'closed') <> 'open'""")
+def _(spark, sf):
+    amount = F.when(F.col("event_type") == "paid", F.col("paid_total_minor")).when(F.col("event_type") == "refund_recorded", F.lit(500)).otherwise(0).cast("long")
+    e = pay(spark, sf).select("transaction_id", "event_type", "occurred_at", amount.alias("amount_minor"), "return_exposure_state")
+    path = scratch_path(spark, "mature-in")
+    e.repartition(2).write.parquet(path)
+    # events of a time beyond all windows move the watermark past every timer
+    for at in ("2100-01-01", "2100-01-02"):
+        last = e.limit(1).select(F.lit("last").alias("transaction_id"), F.lit("seen").alias("event_type"), F.lit(at).cast("timestamp").alias("occurred_at"), F.lit(0).cast("long").alias("amount_minor"), "return_exposure_state")
+        last.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path).withWatermark("occurred_at", "3650 days")
+    out, cp = scratch_path(spark, "mature-out"), scratch_path(spark, "mature-cp")
+    S.run_to_table(S.maturity_stream(stream, 14, keep_days=36500), out, cp, mode="append")
+    return spark.read.parquet(out).drop("batch")

@@ -1,123 +1,218 @@
-"""Streaming forms of the lifecycle operators. State is kept per transaction or
-idempotency key in the state store; results agree with the batch forms."""
+"""Streaming forms of the lifecycle operators, by processors with typed state.
+
+State is kept per transaction or idempotency key in the state store: single events in a
+map, what a fold needs to go on in one value. Results agree with the batch forms,
+however the input is cut into batches. Timers in event time retire what is settled."""
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from haggle.operators.lifecycle import TRANSITIONS, WEBHOOK_STATES, reachable
 
 _REACH = {s: set(reachable(s)) for s in TRANSITIONS}
 TERMINAL = [s for s, nxt in TRANSITIONS.items() if s and not nxt]
 
+#: Milliseconds of a day.
+DAY = 86_400_000
 
-def fold(rows: list[tuple]) -> dict:
-    """State and counts of one transaction's events, in replay order. Rows are
-    (occurred, received, id, transition, currency, has_conversion)."""
-    rows = sorted(rows)
-    currency = next((r[4] for r in rows if r[4]), None)
-    state, out = "", {"applied": 0, "pending": 0, "errors": 0}
+#: The store that holds maps, lists and timers.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+_START = ("", 0, 0, 0, None)  # state, applied, pending, errors, currency
+
+
+def fold_on(at: tuple, rows: list[tuple]) -> tuple:
+    """Go on from (state, applied, pending, errors, currency) with events in replay order.
+    Rows are (occurred, received, id, transition, currency, has_conversion)."""
+    state, applied, pending, errors, currency = at
     for _, _, _, to, cur, conv in rows:
-        if cur and currency and cur != currency and not conv:
-            out["errors"] += 1
+        currency = currency or cur
+        if cur and cur != currency and not conv:
+            errors += 1
         elif to in TRANSITIONS[state]:
-            state = to
-            out["applied"] += 1
+            state, applied = to, applied + 1
         elif to in WEBHOOK_STATES and to in _REACH[state]:
-            out["pending"] += 1
+            pending += 1
         else:
-            out["errors"] += 1
-    return {"current_state": state, "events": len(rows), **out}
+            errors += 1
+    return state, applied, pending, errors, currency
 
 
-def lifecycle_stream(events: DataFrame, retire_after: str | None = None) -> DataFrame:
-    """Current state per transaction, updated as events arrive. A late event is
-    folded again with all earlier ones, never dropped. A transaction holds tens
-    of events; those in a terminal state leave the store after `retire_after`
-    of event time, when the stream carries a watermark."""
-    wait = GroupStateTimeout.EventTimeTimeout if retire_after else GroupStateTimeout.NoTimeout
-    millis = int(pd.Timedelta(retire_after).total_seconds() * 1000) if retire_after else 0
-
-    def step(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
+def fold(rows: list[tuple]) -> dict:
+    """State and counts of one transaction's events."""
+    state, applied, pending, errors, _ = fold_on(_START, sorted(rows))
+    return {"current_state": state, "events": len(rows), "applied": applied, "pending": pending, "errors": errors}
+
+
+def _micros(times: pd.Series) -> list[int]:
+    """Microseconds since the epoch; a missing time comes before all others."""
+    return [-(1 << 62) if pd.isna(t) else pd.Timestamp(t).value // 1000 for t in times]
+
+
+class _Lifecycle(StatefulProcessor):
+    """The fold's last place and result in `head`, all events in a map. Events behind the last
+    place go on from there; only one that belongs before it brings the others back."""
+
+    def __init__(self, retire_ms: int | None):
+        self.retire_ms = retire_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.events = handle.getMapState("events", "event_id string", "occurred bigint, received bigint, transition_to string, currency string, has_conversion boolean")
+        self.head = handle.getValueState("head", "occurred bigint, received bigint, event_id string, state string, applied bigint, pending bigint, errors bigint, currency string, events bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        head = self.head.get() if self.head.exists() else None
+        last, at, count = (tuple(head[:3]), tuple(head[3:8]), head[8]) if head else (None, _START, 0)
+        fresh: dict[str, tuple] = {}
+        for pdf in rows:
+            for o, r, i, t, c, h in zip(_micros(pdf["occurred_at"]), _micros(pdf["received_at"]), pdf["event_id"], pdf["transition_to"], pdf["currency"], pdf["has_conversion"]):
+                if i not in fresh and not (head and self.events.containsKey((i,))):
+                    fresh[i] = (o, r, i, t, c if isinstance(c, str) else None, bool(h))
+        new = sorted(fresh.values())
+        if not new and head:
             return
-        rows = [tuple(r) for r in json.loads(state.get[0])] if state.exists else []
-        known = {r[2] for r in rows}
-        newest = 0
-        for pdf in batches:
-            newest = max(newest, int(pdf["occurred_at"].max().timestamp() * 1000))
-            for o, r, i, t, c, h in zip(pdf["occurred_at"], pdf["received_at"], pdf["event_id"], pdf["transition_to"], pdf["currency"], pdf["has_conversion"]):
-                if i not in known:
-                    known.add(i)
-                    rows.append((o.isoformat(), r.isoformat(), i, t, c, bool(h)))
-        state.update((json.dumps(rows),))
-        res = fold(rows)
-        if retire_after and res["current_state"] in TERMINAL:
-            state.setTimeoutTimestamp(max(newest + millis, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([{"merchant_namespace": key[0], "transaction_id": key[1], **res}])
-
-    return events.groupBy("merchant_namespace", "transaction_id").applyInPandasWithState(
-        step, "merchant_namespace string, transaction_id string, current_state string, events long, applied long, pending long, errors long",
-        "rows string", "update", wait)
-
-
-def ingest_stream(events: DataFrame, key: str, body_hash: str) -> DataFrame:
-    """Idempotent delivery: the store keeps the first body hash per key, so a
-    repeat is a replay and another body a conflict, in whatever batch it comes."""
-
-    def step(k, batches, state: GroupState):
-        held, replays, conflicts = state.get if state.exists else (None, 0, 0)
-        for pdf in batches:
-            for h in pdf.sort_values("ordinal")["body_hash"]:
-                if held is None:
-                    held = h
-                elif h == held:
-                    replays += 1
-                else:
-                    conflicts += 1
-        state.update((held, replays, conflicts))
-        yield pd.DataFrame([{"idempotency_key": k[0], "accepted_hash": held, "replays": replays, "conflicts": conflicts}])
+        for o, r, i, t, c, h in new:
+            self.events.updateValue((i,), (o, r, t, c, h))
+        if last is None or new[0][:3] > last:
+            at, last = fold_on(at, new), new[-1][:3]
+        else:
+            every = sorted((v[0], v[1], k[0], v[2], v[3], v[4]) for k, v in self.events.iterator())
+            at, last = fold_on(_START, every), every[-1][:3]
+        count += len(new)
+        self.head.update((*last, *at, count))
+        if self.retire_ms is not None and at[0] in TERMINAL:
+            self.handle.registerTimer(max(last[0] // 1000 + self.retire_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame([{"merchant_namespace": key[0], "transaction_id": key[1], "current_state": at[0], "events": count, "applied": at[1], "pending": at[2], "errors": at[3]}])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        head = self.head.get() if self.head.exists() else None
+        # a later event has its own timer, or reopened the transaction
+        if head and head[3] in TERMINAL and head[0] // 1000 + self.retire_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            self.head.clear()
+            self.events.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
+
+def lifecycle_stream(events: DataFrame, retire_after: str | None = None) -> DataFrame:
+    """Current state per transaction, updated as events arrive. A late event takes its
+    place among the earlier ones, never dropped; an event id counts once. Transactions in a
+    terminal state leave the store `retire_after` event time later, when the stream carries
+    a watermark; without it their events stay."""
+    millis = int(pd.Timedelta(retire_after).total_seconds() * 1000) if retire_after else None
+    return events.groupBy("merchant_namespace", "transaction_id").transformWithStateInPandas(
+        _Lifecycle(millis), "merchant_namespace string, transaction_id string, current_state string, events long, applied long, pending long, errors long",
+        "Update", "EventTime" if retire_after else "None")
+
+
+class _Ingest(StatefulProcessor):
+    """Deliveries of a key by body: how many, and the first ordinal."""
+
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.bodies = handle.getMapState("bodies", "body string", "n bigint, first bigint", self.keep_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh: dict[str, tuple[int, int]] = {}
+        for pdf in rows:
+            for h, o in zip(pdf["body_hash"], pdf["ordinal"]):
+                body = h if isinstance(h, str) else ""
+                n, first = fresh.get(body, (0, int(o)))
+                fresh[body] = (n + 1, min(first, int(o)))
+        for body, (n, first) in fresh.items():
+            if self.bodies.containsKey((body,)):
+                m, earlier = self.bodies.getValue((body,))
+                n, first = n + m, min(first, earlier)
+            self.bodies.updateValue((body,), (n, first))
+        held = sorted((v[1], k[0], v[0]) for k, v in self.bodies.iterator())
+        _, accepted, n = held[0]
+        yield pd.DataFrame([{"idempotency_key": key[0], "accepted_hash": accepted or None, "replays": n - 1, "conflicts": sum(x[2] for x in held) - n}])
+
+    def close(self) -> None:
+        pass
+
+
+def ingest_stream(events: DataFrame, key: str, body_hash: str, keep: str | None = None) -> DataFrame:
+    """Idempotent delivery: the body of the least ordinal is accepted, its repeats are replays,
+    other bodies conflicts, in whatever batches they come. `keep` is the processing time after
+    which the store forgets a body that did not come again."""
+    millis = int(pd.Timedelta(keep).total_seconds() * 1000) if keep else None
     src = events.select(F.col(key).cast("string").alias("idempotency_key"), F.col(body_hash).alias("body_hash"), "ordinal")
-    return src.groupBy("idempotency_key").applyInPandasWithState(
-        step, "idempotency_key string, accepted_hash string, replays long, conflicts long", "held string, replays long, conflicts long", "update", GroupStateTimeout.NoTimeout)
-
-
-def maturity_stream(payments: DataFrame, window_days: int) -> DataFrame:
-    """Transactions whose maturity window has passed in event time: a timer per
-    paid transaction fires when the watermark reaches paid_at + window; an open
-    return at that time keeps it waiting for its closing."""
-    span = window_days * 86_400_000
-
-    def step(key, batches, state: GroupState):
-        paid, total, refund, exposed = state.get if state.exists else (0, 0, 0, False)
-        if state.hasTimedOut:
-            if exposed:
-                state.update((paid, total, refund, exposed))
-                return
-            state.remove()
-            yield pd.DataFrame([{"transaction_id": key[0], "net_revenue_minor": total - refund}])
-            return
-        for pdf in batches:
+    return src.groupBy("idempotency_key").transformWithStateInPandas(
+        _Ingest(millis), "idempotency_key string, accepted_hash string, replays long, conflicts long", "Update", "ProcessingTime" if keep else "None")
+
+
+class _Maturity(StatefulProcessor):
+    """What a transaction's maturity depends on, and whether it has been reported."""
+
+    def __init__(self, span_ms: int, keep_ms: int):
+        self.span_ms, self.keep_ms = span_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "paid bigint, total bigint, refund bigint, exposed boolean, returned bigint, reported boolean, seen bigint")
+
+    def _row(self, key, status: str, net: int) -> pd.DataFrame:
+        return pd.DataFrame([{"transaction_id": key[0], "status": status, "net_revenue_minor": net}])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        paid, total, refund, exposed, returned, reported, seen = self.held.get() if self.held.exists() else (None, 0, 0, False, -(1 << 62), False, 0)
+        before = total - refund, exposed
+        for pdf in rows:
+            pdf = pdf.sort_values("occurred_at", kind="stable")
             for t, at, amount, ret in zip(pdf["event_type"], pdf["occurred_at"], pdf["amount_minor"], pdf["return_exposure_state"]):
+                millis = pd.Timestamp(at).value // 1_000_000
+                seen = max(seen, millis)
                 if t == "paid":
-                    paid, total = int(at.timestamp() * 1000), int(amount)
+                    paid, total = millis, int(amount)
                 elif t == "refund_recorded":
                     refund += int(amount)
-                elif t == "return_status_recorded":
-                    exposed = ret == "open"
-        state.update((paid, total, refund, exposed))
-        if paid and not exposed:
-            state.setTimeoutTimestamp(max(paid + span, state.getCurrentWatermarkMs() + 1))
-
-    return payments.groupBy("transaction_id").applyInPandasWithState(
-        step, "transaction_id string, net_revenue_minor long", "paid long, total long, refund long, exposed boolean", "append", GroupStateTimeout.EventTimeTimeout)
+                elif t == "return_status_recorded" and millis >= returned:
+                    exposed, returned = ret == "open", millis
+        self.held.update((paid, total, refund, exposed, returned, reported, seen))
+        now = timerValues.getCurrentWatermarkInMs() + 1
+        if reported and (total - refund, exposed) != before:
+            yield self._row(key, "stale", total - refund)
+        elif not reported and paid is not None and not exposed:
+            self.handle.registerTimer(max(paid + self.span_ms, now))
+        self.handle.registerTimer(max(seen + self.span_ms + self.keep_ms, now))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.held.exists():
+            return
+        paid, total, refund, exposed, returned, reported, seen = self.held.get()
+        fired = expiredTimerInfo.getExpiryTimeInMs()
+        if not reported and paid is not None and not exposed and fired >= paid + self.span_ms:
+            reported = True
+            self.held.update((paid, total, refund, exposed, returned, reported, seen))
+            yield self._row(key, "mature", total - refund)
+        # an open return waits for its closing; all else leaves the store
+        if fired >= seen + self.span_ms + self.keep_ms and not (paid is not None and exposed and not reported):
+            self.held.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def maturity_stream(payments: DataFrame, window_days: int, keep_days: int = 365) -> DataFrame:
+    """transaction_id, status and net_revenue_minor: `mature` when the watermark reaches a paid
+    transaction's time plus the window, unless a return is open then, which keeps it waiting
+    for its closing; `stale` when a refund or return comes after that. A transaction
+    leaves the store `keep_days` after window and last event, also one that was never
+    paid; one with an open return stays."""
+    return payments.groupBy("transaction_id").transformWithStateInPandas(
+        _Maturity(window_days * DAY, keep_days * DAY), "transaction_id string, status string, net_revenue_minor long", "Append", "EventTime")
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> None:
@@ -127,6 +222,8 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "upd
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number:06d}")
 
+    # typed state needs this store; the setting counts when a query starts
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
 

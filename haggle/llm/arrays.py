@@ -50,18 +50,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i < n; an odd base has an inverse."""
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _powers:
-        _powers.clear()
+    """base^i and base^-i modulo 2^64 for i < n at least; an odd base has an inverse. The
+    largest table so far serves all shorter data, so slices of changing kinds share one."""
+    if not _powers or len(_powers[0][0]) < n:
+        size = 1 << max(16, int(n).bit_length())
         up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
-        _powers[size] = np.cumprod(up), np.cumprod(down)
-    return _powers[size]
+        _powers[:] = [(np.cumprod(up), np.cumprod(down))]
+    return _powers[0]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

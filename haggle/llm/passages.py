@@ -56,10 +56,13 @@ def bands(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = 3)
 def _unquoted(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The ends of words without the quotes and brackets that close them."""
     ends = ends.copy()
+    closing = np.zeros(256, bool)
+    closing[[sign[-1] for sign in _CLOSERS]] = True
     for _ in range(4):
+        # few words end like a closer; a word of closers only keeps one byte
+        some = np.flatnonzero(closing[low[ends - 1]])
         for sign in _CLOSERS:
-            # a word of closers only keeps one byte
-            at = np.flatnonzero(ends - starts > len(sign))
+            at = some[ends[some] - starts[some] > len(sign)]
             same = np.ones(len(at), bool)
             for k, byte in enumerate(reversed(sign)):
                 same &= low[ends[at] - 1 - k] == byte
@@ -168,12 +171,16 @@ def _band_keys(count: int, rows: int):
     factors = mix(np.arange(1, count * rows + 1, dtype=np.uint64)) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def hand_on() -> pa.RecordBatch:
-            pairs = np.unique(np.concatenate(held), axis=0) if held else np.zeros((0, 2), np.uint64)
+            keys, ids = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.uint64),) * 2
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k]).view(np.int64)) for k in (0, 1)], ["key", "h1"])
+            order = np.lexsort((ids, keys))
+            keys, ids = keys[order], ids[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+            return pa.RecordBatch.from_arrays([pa.array(keys[new].view(np.int64)), pa.array(ids[new].view(np.int64))], ["key", "h1"])
 
         for _, p in _each(batches):
             if not len(p.head):
@@ -187,8 +194,8 @@ def _band_keys(count: int, rows: int):
                 key = np.full(len(one), b + 1, np.uint64)
                 for factor in factors[b * rows : (b + 1) * rows]:
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(flat * factor, bounds[:-1]))
-                held.append(np.column_stack((key, p.h1[one])))
-            if sum(map(len, held)) >= HELD:
+                held.append((key, p.h1[one]))
+            if sum(len(keys) for keys, _ in held) >= HELD:
                 yield hand_on()
         yield hand_on()
 

@@ -8,13 +8,15 @@ toxic documents have them than others."""
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haggle.llm import pretokens
@@ -22,10 +24,10 @@ from haggle.llm.arrays import span_hashes, text_slices
 
 #: Labelled rows of the fit at most, by the order of a hash of their ids.
 TRAIN_ROWS = 30_000
-#: Terms of the fitted scorer at most, the most frequent in toxic documents first.
-TERMS = 200_000
-#: Word beginnings of so many letters are terms, and whole words.
-PREFIXES = (4, 5, 6, 7)
+#: Words from so many letters on are terms, and beginnings of words of so many letters.
+LEAST_WORD, PREFIXES = 2, (4, 5, 6, 7)
+#: A term counts with so many labelled toxic documents, and this much log odds for toxic ones.
+TERM_DOCS, TERM_WEIGHT = 3, 2.0
 #: A document is rejected from this score on.
 REJECT = 0.7
 
@@ -87,6 +89,11 @@ class CharacterModel:
 
     logp: np.ndarray
 
+    @cached_property
+    def digest(self) -> bytes:
+        """Names the model by what it says, wherever a copy of it lies."""
+        return hashlib.blake2b(self.logp.tobytes(), digest_size=16).digest()
+
     @staticmethod
     def of_counts(counts: np.ndarray) -> CharacterModel:
         counts = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS).astype(np.float64)
@@ -121,14 +128,18 @@ class CharacterModel:
         return max(ends)[1]
 
 
-_restored: dict[int, dict[str, str]] = {}
+#: What a worker has read under the model of this digest; another model starts anew.
+_restored: tuple[bytes, dict[str, str]] = (b"", {})
 #: Restored spans that a worker remembers.
 MEMORY = 1 << 16
 
 
 def restore(text: str, model: CharacterModel) -> str:
     """The text with each suspect span replaced by its likeliest reading; all else stays."""
-    known = _restored.setdefault(id(model), {})
+    global _restored
+    if _restored[0] != model.digest:
+        _restored = (model.digest, {})
+    known = _restored[1]
 
     def read(m: re.Match) -> str:
         span = m.group()
@@ -182,15 +193,30 @@ def _hits(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(hit)
 
 
+def _apart(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places that no suspect span reaches across: behind line feeds, and behind spaces after two letters
+    or digits. Only spans of single letters hold a space, and those have one letter before it."""
+    plain = np.zeros(256, bool)
+    plain[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+    word, first = plain[data], np.zeros(len(data) + 1, bool)
+    first[offsets] = True
+    behind = np.zeros(len(data), bool)
+    behind[2:] = (data[2:] == 0x20) & word[1:-1] & word[:-2] & ~first[1 : len(data) - 1]
+    return np.flatnonzero(behind | (data == 0x0A)) + 1
+
+
 def _restored_symbols(data: np.ndarray, offsets: np.ndarray, model: CharacterModel) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of the restored texts of a slice, and where each begins. Only lines
-    with a hit are searched: no suspect span reaches beyond its line."""
+    """Symbols of the restored texts of a slice, and where each begins. Only stretches
+    with a hit are searched, between places that no suspect span reaches across."""
     raw = data.tobytes()
     at = _hits(data)
     if len(at):
-        cuts = np.unique(np.concatenate((offsets, np.flatnonzero(data == 0x0A) + 1)))
+        cut = np.zeros(len(data) + 1, bool)
+        cut[offsets] = cut[_apart(data, offsets)] = True
+        cuts = np.flatnonzero(cut)
+        of = np.searchsorted(cuts, at, side="right") - 1
         parts, ends, grown, done = [], [], [], 0
-        for k in np.unique(np.searchsorted(cuts, at, side="right") - 1):
+        for k in of[np.append(True, of[1:] != of[:-1])].tolist():
             a, b = int(cuts[k]), int(cuts[k + 1]) if k + 1 < len(cuts) else len(raw)
             read = restore(raw[a:b].decode(), model).encode()
             parts += [raw[done:a], read]
@@ -215,7 +241,7 @@ def _terms(coded: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     stop = letter.copy()
     stop[:-1] &= ~letter[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    long = ends - starts >= PREFIXES[0]
+    long = ends - starts >= LEAST_WORD
     starts, ends = starts[long], ends[long]
     text = np.searchsorted(bounds, starts, side="right") - 1
     whole = span_hashes(coded, starts, ends)
@@ -334,16 +360,24 @@ def _count_terms(model: CharacterModel):
     return run
 
 
+def _counts_in(folds: tuple[int, ...], docs: dict[tuple[int, int], int]) -> Column:
+    """Whether a term may count when the labels of these folds weigh it; a little room is left for rounding."""
+    pos_docs, neg_docs = (sum(docs.get((f, y), 0) for f in folds) for y in (1, 0))
+    pos, neg = (reduce(lambda a, b: a + b, [F.col(f"{c}{f}") for f in folds]) for c in ("pos", "neg"))
+    weight = F.log((pos + 0.5) / (pos_docs + 1)) - F.log((neg + 0.5) / (neg_docs + 1))
+    return (pos >= TERM_DOCS) & (weight >= TERM_WEIGHT - 1e-9)
+
+
 def _weigh(rows: list, folds: tuple[int, ...], docs: dict[tuple[int, int], int]) -> TermWeights:
     pos_docs, neg_docs = (sum(docs.get((f, y), 0) for f in folds) for y in (1, 0))
     if not rows:
         return TermWeights(np.zeros(0, np.uint64), np.zeros(0, np.float32))
-    data = np.array([[r[0], *r[1:]] for r in rows], np.int64)
+    data = np.array(rows, np.int64)
     terms = np.ascontiguousarray(data[:, 0]).view(np.uint64)
     pos = sum(data[:, 1 + 2 * f] for f in folds)
     neg = sum(data[:, 2 + 2 * f] for f in folds)
     weight = np.log((pos + 0.5) / (pos_docs + 1)) - np.log((neg + 0.5) / (neg_docs + 1))
-    good = (pos >= 3) & (weight >= 2.0)
+    good = (pos >= TERM_DOCS) & (weight >= TERM_WEIGHT)
     order = np.argsort(terms[good])
     return TermWeights(terms[good][order], weight[good][order].astype(np.float32))
 
@@ -393,10 +427,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     train = texts.join(F.broadcast(taken), "id").select("id", fold, "toxic", "text")
     counted = train.mapInArrow(_count_terms(characters), "fold int, term bigint, pos bigint, neg bigint")
     by_term = counted.groupBy("term").agg(*[F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in (0, 1) for c in ("pos", "neg")])
-    frequent = by_term.where("pos0 + pos1 >= 3 AND 8 * (pos0 + pos1) > neg0 + neg1").orderBy(F.desc(F.col("pos0") + F.col("pos1")), "term").limit(TERMS)
-    table = frequent.select("term", "pos0", "neg0", "pos1", "neg1").toArrow().to_pydict()
-    rows = list(zip(*(table[c] for c in ("term", "pos0", "neg0", "pos1", "neg1"))))
     docs_by = {(r["fold"], r["toxic"]): r["n"] for r in train.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # only terms that count in one half or both come here: each has TERM_DOCS of the train_rows documents
+    counts = [_counts_in(folds, docs_by) for folds in ((0,), (1,), (0, 1))]
+    table = by_term.where(reduce(lambda a, b: a | b, counts)).select("term", "pos0", "neg0", "pos1", "neg1").toArrow().to_pydict()
+    rows = list(zip(*(table[c] for c in ("term", "pos0", "neg0", "pos1", "neg1"))))
     x: list = []
     y: list = []
     for own, other in ((0, 1), (1, 0)):

@@ -416,3 +416,45 @@ def test_pipeline(spark):
     assert set(ids[3]) == {i for i in ids[2] if want[i] == i}
     last = corpus_pipeline.STAGES[-1][1](spark, steps[-1], SF)
     assert {r["doc_id"] for r in last.collect()} == set(ids[4])
+
+
+def test_restored_stretches_equal_whole_texts():
+    """Searching only stretches with a hit reads the same words as searching whole texts."""
+    rng = random.Random(3)
+    signs = ["a", "b", "xx", " ", " ", " ", "1", "$", "!", "€", "£", ".", "-", "_", "\n", "é", "aaa", "0", "@", "|", "word", "  ", "É", "中"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(4000)]
+    counts = np.random.default_rng(1).integers(0, 50, toxicity.SYMBOLS**3)
+    model = toxicity.CharacterModel.of_counts(counts)
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    coded, bounds = toxicity._restored_symbols(np.frombuffer(b"".join(raw), np.uint8), offsets, model)
+    for k, t in enumerate(texts):
+        assert np.array_equal(coded[bounds[k] : bounds[k + 1]], toxicity.symbols(toxicity.restore(t, model))), t
+
+
+def test_two_models_in_one_worker():
+    """A worker that gets another model reads under that one, and forgets the first."""
+    grams = lambda word: np.concatenate(([0, 0], toxicity.symbols(word), [0, 0])).astype(np.int64)
+
+    def model(word):
+        counts = np.zeros(toxicity.SYMBOLS**3, np.int64)
+        g = grams(word)
+        np.add.at(counts, (g[:-2] * toxicity.SYMBOLS + g[1:-1]) * toxicity.SYMBOLS + g[2:], 1000)
+        return toxicity.CharacterModel.of_counts(counts)
+
+    for _ in range(3):  # a new model may lie where the last one did
+        assert toxicity.restore("1ot", model("iot")).strip() == "iot"
+        assert toxicity.restore("1ot", model("lot")).strip() == "lot"
+    assert len(toxicity._restored[1]) == 1
+
+
+def test_short_words_are_terms(spark):
+    """Words of two and three letters count, also disguised ones."""
+    rng = random.Random(2)
+    words = ["house", "green", "river", "table", "music", "paper", "stone", "light", "field", "cloud"]
+    text = lambda *more: " ".join([*(rng.choice(words) for _ in range(12)), *more])
+    made = {i: (text("zab") if i % 4 == 0 else text("qu") if i % 4 == 1 else text(), int(i % 4 < 2)) for i in range(400)}
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in made.items()] + [(900, text("z4b")), (901, text("zab")), (902, text())], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in made.items()], "doc_id bigint, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(rows, toxicity.fit(rows, labels)).collect()}
+    assert got[900] > 0.7 and got[901] > 0.7 and got[902] < 0.3 and got[1] > 0.7 and got[2] < 0.3

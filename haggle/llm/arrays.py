@@ -74,6 +74,16 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[starts]) * down[starts] + lengths * np.uint64(0xD6E8FEB86659FD93))
 
 
+def sequence_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs [start, end) of 64-bit values: equal runs, equal hashes, wherever they stand."""
+    if len(starts) == 0:
+        return np.zeros(0, np.uint64)
+    up, down = _power_tables(len(values) + 1)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)], dtype=np.uint64)))
+    lengths = (ends - starts).astype(np.uint64)
+    return mix((total[ends] - total[starts]) * down[starts] + lengths * np.uint64(0xD6E8FEB86659FD93))
+
+
 def lower_ascii() -> bytes:
     """A table for bytes.translate: A-Z to a-z, all else as it is."""
     return bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haggle.llm import near
-from haggle.llm.arrays import lower_ascii, mix, ragged, span_hashes, text_slices
+from haggle.llm.arrays import lower_ascii, mix, ragged, sequence_hashes, span_hashes, text_slices
 from haggle.llm.components import components
 from haggle.session import cut_lineage, scratch_path
 
@@ -109,7 +109,7 @@ class Paragraphs:
         if len(head):
             # short sentences in a row are one paragraph, cut after those whose hash says so
             short, of = tail - head < least, doc[head]
-            one = span_hashes(np.ascontiguousarray(self.words).view(np.uint8), head * 8, tail * 8)
+            one = sequence_hashes(self.words, head, tail)
             every = -(-3 * least // (tail - head))  # of so many sentences one: about three times the least length
             cut = ~short | (one % every.astype(np.uint64) == 0)
             new = np.concatenate(([True], ~short[1:] | cut[:-1] | (of[1:] != of[:-1])))
@@ -140,8 +140,7 @@ class Paragraphs:
         self.place = np.concatenate((place, place[first[many]]))
         self.width = np.concatenate((np.ones(len(unit), np.int64), pieces[many]))
         one = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(self.words + np.uint64(7)), dtype=np.uint64)))
-        raw = np.ascontiguousarray(self.words).view(np.uint8)
-        self.h1 = span_hashes(raw, self.head * 8, self.tail * 8)
+        self.h1 = sequence_hashes(self.words, self.head, self.tail)
         self.h2 = mix((one[self.tail] - one[self.head]) ^ self.h1)
 
     def shingles(self, some: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
@@ -203,23 +202,26 @@ def _band_keys(count: int, rows: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each key's groups, once each, of keys that have more than one; rows come sorted by (key, h1)."""
-    held: tuple[int, int] | None = None  # the last row, and whether it went out
-    out = False
+    """The groups of keys that have more than one; rows come sorted by key. Inside a batch
+    each group of a key goes out once; a key that goes on over batches may repeat some."""
+    held: tuple[int, int] | None = None  # the last key with one of its groups, and whether it has others
+    many = False
     for batch in batches:
         keys, ids = batch.column("key").to_numpy(), batch.column("h1").to_numpy()
         if not len(keys):
             continue
         if held is not None:
             keys, ids = np.concatenate(([held[0]], keys)), np.concatenate(([held[1]], ids))
+        order = np.lexsort((ids, keys))
+        keys, ids = keys[order], ids[order]
         new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])))
         keys, ids = keys[new], ids[new]
         tied = np.zeros(len(keys) + 1, bool)
         tied[1:-1] = keys[1:] == keys[:-1]
         some = tied[1:] | tied[:-1]
-        if held is not None and out:
-            some[0] = False
-        out = bool(some[-1]) or (len(keys) == 1 and out)
+        if held is not None and many:
+            some |= keys == held[0]
+        many = bool(some[-1])
         held = int(keys[-1]), int(ids[-1])
         yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(ids[some])], ["key", "h1"])
 
@@ -249,8 +251,14 @@ def _shingle_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
                 _, one = np.unique(p.h1[some], return_index=True)
                 some = some[one]
                 flat, bounds = p.shingles(some)
-                found = [np.unique(flat[x:y]).tobytes() for x, y in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(p.h1[some].view(np.int64)), pa.array(found, pa.binary())], ["h1", "shingles"])
+                of = np.repeat(np.arange(len(some)), np.diff(bounds))
+                order = np.lexsort((flat, of))
+                flat, of = flat[order], of[order]
+                new = np.ones(len(flat), bool)
+                new[1:] = (flat[1:] != flat[:-1]) | (of[1:] != of[:-1])
+                ends = np.concatenate(([0], np.cumsum(np.bincount(of[new], minlength=len(some))))).astype(np.int32) * 8
+                found = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat[new])])
+                yield pa.RecordBatch.from_arrays([pa.array(p.h1[some].view(np.int64)), found], ["h1", "shingles"])
 
     return docs.mapInArrow(sets, "h1 bigint, shingles binary").join(ids, "h1", "left_semi").groupBy("h1").agg(F.min("shingles").alias("shingles"))
 
@@ -310,7 +318,7 @@ def _links(keys: DataFrame, docs: DataFrame) -> DataFrame:
     signatures allow it are one cluster, and in a cluster every pair is held against full sets."""
     spark = docs.sparkSession
     path = scratch_path(spark, "paragraph-keys")
-    keys.repartition("key").sortWithinPartitions("key", "h1").mapInArrow(_shared, "key bigint, h1 bigint").write.parquet(path)
+    keys.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key bigint, h1 bigint").write.parquet(path)
     shared = spark.read.parquet(path)
     path = scratch_path(spark, "paragraph-sets")
     _shingle_sets(shared.select("h1").distinct(), docs).mapInArrow(_sketch, "c bigint, n bigint, fine binary, shingles binary").write.parquet(path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haggle.operators.split import id_set_hash
+from haggle.session import scratch_path
 
 # Patterns of direct identifiers in text.
 VALUE_PATTERNS = {
@@ -77,17 +77,43 @@ def report_leaks(df: DataFrame, text: str) -> DataFrame:
     return row.select(F.inline(F.array(*[F.struct(F.lit(k).alias("leak"), F.col(f"c{i}").alias("rows")) for i, k in enumerate(REPORT_PATTERNS)])))
 
 
+#: What makes a name a person's, besides DIRECT_KEYS and unless it holds a part of PSEUDONYM: one of each
+#: list of the first kind among its own parts, and one of each of the second among its own or those above it.
+PERSON_RULES = (
+    ((CONTACT + FREE_TEXT,), ()),
+    ((OPERATIONAL, ["gid", "id", "ids", "url"]), ()),
+    ((IDENTIFIER + FREE_TEXT,), (CONTEXT,)),
+)
+
+
+def name_parts(key: str) -> set[str]:
+    return {t for t in re.split(_NAME_PARTS, key.lower()) if t}
+
+
 def key_is_pii(key: str, context: set[str]) -> bool:
-    """Whether a field name, under the names above it, points at a person."""
-    low = key.lower()
-    tokens = {t for t in re.split(_NAME_PARTS, low) if t}
-    around = context | tokens
-    if tokens & set(PSEUDONYM):
-        return False
-    return bool(
-        low in DIRECT_KEYS or tokens & set(CONTACT) or tokens & set(FREE_TEXT)
-        or (tokens & set(OPERATIONAL) and tokens & {"gid", "id", "ids", "url"})
-        or (around & set(CONTEXT) and tokens & (set(IDENTIFIER) | set(FREE_TEXT))))
+    """Whether a name points at a person, under names whose parts are `context`."""
+    own = name_parts(key)
+    ruled = any(all(own & set(x) for x in owns) and all((own | context) & set(x) for x in arounds) for owns, arounds in PERSON_RULES)
+    return not own & set(PSEUDONYM) and (key.lower() in DIRECT_KEYS or ruled)
+
+
+def person_key(key: Column, above: Column) -> Column:
+    """key_is_pii for columns: a name and the array of the parts above it."""
+    own = F.filter(F.split(F.lower(key), _NAME_PARTS), lambda x: x != "")
+    around = F.concat(above, own)
+
+    def one_of(parts: Column, names: list[str]) -> Column:
+        return F.arrays_overlap(parts, F.array(*[F.lit(x) for x in names]))
+
+    ruled = F.lower(key).isin(DIRECT_KEYS)
+    for owns, arounds in PERSON_RULES:
+        held = F.lit(True)
+        for x in owns:
+            held = held & one_of(own, x)
+        for x in arounds:
+            held = held & one_of(around, x)
+        ruled = ruled | held
+    return ~one_of(own, PSEUDONYM) & ruled
 
 
 def pii_schema_findings(schema: T.DataType, path: str = "$", context: frozenset = frozenset()) -> list[str]:
@@ -98,7 +124,7 @@ def pii_schema_findings(schema: T.DataType, path: str = "$", context: frozenset
             p = f"{path}.{f.name}"
             if key_is_pii(f.name, set(context)):
                 found.append(p)
-            below = context | {t for t in re.split(r"[._:/\\ -]", f.name.lower()) if t}
+            below = context | name_parts(f.name)
             found += pii_schema_findings(f.dataType, p, frozenset(below))
     elif isinstance(schema, T.ArrayType):
         found += pii_schema_findings(schema.elementType, f"{path}[]", context)
@@ -107,38 +133,40 @@ def pii_schema_findings(schema: T.DataType, path: str = "$", context: frozenset
     return found
 
 
-def _person_keys(node: object, context: frozenset[str]) -> set[str]:
-    """Keys of a parsed JSON value that point at a person, under the names above them."""
-    found: set[str] = set()
-    if isinstance(node, dict):
-        for name, below in node.items():
-            low = name.lower()
-            if key_is_pii(low, set(context)):
-                found.add(low)
-            found |= _person_keys(below, context | {t for t in re.split(_NAME_PARTS, low) if t})
-    elif isinstance(node, list):
-        for x in node:
-            found |= _person_keys(x, context)
-    return found
+#: Levels of a JSON text that are searched for names, and the finding of a text that goes on below them.
+JSON_LEVELS, TOO_DEEP = 100, "(nested too deep)"
 
 
 def pii_json_keys(df: DataFrame, json_col: str) -> DataFrame:
-    """Rows per key of a JSON column that points at a person (Q22), at any depth
-    and with the context of the names above it. Text that is no JSON has no keys."""
-
-    def scan(batches):
-        import pandas as pd
-
-        for batch in batches:
-            out = []
-            for text in batch["j"]:
-                try:
-                    out.extend(_person_keys(json.loads(text), frozenset()) if text else ())
-                except ValueError:
-                    continue
-            yield pd.DataFrame({"key": pd.Series(out, dtype="object")})
-
-    return df.select(F.col(json_col).alias("j")).mapInPandas(scan, "key string").groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    """Rows per key of a JSON column that points at a person (Q22), at any depth and with the
+    context of the names above it. Each level of nesting is one pass over the objects
+    and arrays that the level above holds; nothing is parsed row by row.
+
+    Text that is no JSON has no keys. A text nested beyond JSON_LEVELS, or beyond what
+    the parser takes, is a finding of its own, since nobody has seen what it holds."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "json")
+    text = F.col(json_col)
+    # brackets that open at once tell a text too deep for the parser from one that is no JSON
+    deep = F.length(text) - F.length(F.regexp_replace(text, r"[\[{]", "")) > 1000
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.try_parse_json(text).alias("v"), deep.alias("deep")).where("v IS NOT NULL OR deep")
+    rows.select("row", "v", F.array().cast("array<string>").alias("above")).write.parquet(path)
+    level, found = spark.read.parquet(path), None
+    for _ in range(JSON_LEVELS):
+        held = level.where("v IS NOT NULL").lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        inner = F.when(F.col("key").isNull(), F.col("above")).otherwise(F.array_distinct(F.concat("above", F.filter(F.split(F.lower("key"), _NAME_PARTS), lambda x: x != ""))))
+        nested = F.try_variant_get("value", "$", "map<string,variant>").isNotNull() | F.try_variant_get("value", "$", "array<variant>").isNotNull()
+        hit = F.when(F.col("key").isNotNull() & person_key(F.col("key"), F.col("above")), F.lower("key"))
+        below = scratch_path(spark, "json")
+        held.select("row", F.when(nested, F.col("value")).alias("v"), inner.alias("above"), hit.alias("hit")).where("v IS NOT NULL OR hit IS NOT NULL").write.parquet(below)
+        level = spark.read.parquet(below)
+        hits = level.where("hit IS NOT NULL").select("row", F.col("hit").alias("key"))
+        found = hits if found is None else found.unionByName(hits)
+        if level.where("v IS NOT NULL").isEmpty():
+            break
+    unseen = level.where("v IS NOT NULL").select("row").unionByName(spark.read.parquet(path).where("v IS NULL").select("row"))
+    found = found.unionByName(unseen.select("row", F.lit(TOO_DEEP).alias("key")))
+    return found.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def hmac_sha256(key: bytes, message: Column) -> Column:

@@ -333,9 +333,17 @@ def _(spark, sf):
     return V.report_leaks(table(spark, sf, "documents"), "text")
 
 
-@query("pii_json_keys", "SELECT CASE WHEN user_id % 2 = 0 THEN 'buyer_name' ELSE 'contact_email' END AS key, COUNT(*) AS rows FROM events GROUP BY 1")
-def _(spark, sf):
-    body = F.concat(F.lit('{"a":{"'), F.when(F.col("user_id") % 2 == 0, "buyer_name").otherwise("contact_email"), F.lit('":"x"},"hashed_buyer_id":1,"amount":2}'))
+# names at three levels: of a buyer's object only the parts above tell that "handle" and "id" are a person's
+@query("pii_json_keys", """
+SELECT key, COUNT(*) AS rows FROM (
+  SELECT CASE WHEN user_id % 2 = 0 THEN 'buyer_name' ELSE 'contact_email' END AS key FROM events
+  UNION ALL SELECT 'handle' FROM events WHERE user_id % 3 = 0
+  UNION ALL SELECT 'id' FROM events WHERE user_id % 3 = 0
+  UNION ALL SELECT 'payment_id' FROM events WHERE user_id % 5 = 0) GROUP BY 1""")
+def _(spark, sf):
+    deep = F.when(F.col("user_id") % 3 == 0, '"buyer":[{"handle":"h","ref":{"id":1,"hashed_id":2}}]').otherwise('"offer":[{"handle":"h","ref":{"id":1}}]')
+    paid = F.when(F.col("user_id") % 5 == 0, ',"x":[[{"payment_id":3}]]').otherwise(',"x":[[{"payment_kind":3}]]')
+    body = F.concat(F.lit('{"a":{"'), F.when(F.col("user_id") % 2 == 0, "buyer_name").otherwise("contact_email"), F.lit('":"x"},"hashed_buyer_id":1,"amount":2,'), deep, paid, F.lit("}"))
     return V.pii_json_keys(table(spark, sf, "events").select(body.alias("j")), "j")
 
 

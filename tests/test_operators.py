@@ -256,3 +256,19 @@ def test_hot_transaction_replay(spark, hot):
     df = spark.createDataFrame(ev, "merchant_namespace string, transaction_id string, event_id string, occurred_at int, received_at int, transition_to string, currency string, has_conversion boolean").repartition(3)
     got = {r["transaction_id"]: (r["current_state"], r["applied"], r["pending"]) for r in lifecycle.transaction_states(lifecycle.replay_lifecycle(df)).collect()}
     assert got == {"big": ("mature", 10, 0), "small": ("", 0, 1)}
+
+
+def test_json_keys_of_any_text(spark):
+    """Nesting of a hundred thousand levels is a finding, not a crash; names inherit what stands above them."""
+    texts = ["[" * 100_000 + "]" * 100_000, '{"a":' * 150 + '{"email":1}' + "}" * 150, '{"a":' * 60 + '{"email":1}' + "}" * 60, "no json", None, "", "7", "[]", "{}",
+             '{"shopper":{"profile":{"ids":[1]}}, "hashed_email":2}', '{"item":{"profile":{"ids":[1]}}}', '[{"Customer-Name":1},{"customer.note":2}]', '{"shipping_address":{"line":1}}']
+    got = dict(rows(privacy.pii_json_keys(spark.createDataFrame([(t,) for t in texts], "j string"), "j"), "key", "rows"))
+    assert got == {privacy.TOO_DEEP: 2, "email": 1, "ids": 1, "customer-name": 1, "customer.note": 1, "shipping_address": 1}
+
+
+def test_person_key_forms_agree(spark):
+    names = [a + s + b for a in ("buyer", "email", "checkout", "hashed", "item", "ip", "Customer", "note") for s in ("_", ".", "-") for b in ("id", "url", "name", "gid", "memo", "x", "address")] + ["name", "user_id", "ID", ""]
+    above = [[], ["person"], ["item", "user"]]
+    df = spark.createDataFrame([(n, a) for n in names for a in above], "k string, a array<string>")
+    got = {(r["k"], tuple(r["a"])): r["p"] for r in df.withColumn("p", privacy.person_key(F.col("k"), F.col("a"))).collect()}
+    assert got == {(n, tuple(a)): privacy.key_is_pii(n, set(a)) for n in names for a in above}

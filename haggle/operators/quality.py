@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haggle.functions.scalar import first_match, row_hash
 from haggle.operators.ordered import done, grouped, with_previous, with_row_number, with_running
 from haggle.operators.tasks import STATUSES, decode_codes
+from haggle.session import scratch_path
 
 
 def quarantine(df: DataFrame, rules: dict[str, Column], examples: int = 25) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -204,23 +208,64 @@ def normalization_summary(turns: DataFrame, listings: DataFrame) -> DataFrame:
 DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "ddMMMyyyy", "ddMMMyyyy HH:mm:ss", "MM/dd/yyyy", "yyyy/MM/dd", "yyyyMMdd"]
 
 
+#: Lines that one quoted record may span; one that goes on longer has no closing quote and is rejected as one.
+RECORD_LINES = 1_000
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of CSV files, one row each: file, record (from 0; the header), value (null where it spans
+    too many lines), lines and bytes.
+
+    A line begins a record where the quotes before it in its file are even. Splits count their
+    own quotes, a running sum in the order of the file tells the parity at each line, so the
+    files may be cut anywhere."""
+    source = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    own = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    held = scratch_path(spark, "csv-lines")
+    source.withColumn("quotes", own.cast("long")).write.parquet(held)  # places of lines are fixed from here on
+    lines = spark.read.parquet(held)
+    g = with_running(grouped(lines, ["file"], ["block", "at"], lines.select("file")), sums={"upto": F.col("quotes")})
+    begins = (F.col("upto") - F.col("quotes")) % 2 == 0
+    rows = done(with_running(replace(g, df=g.df.withColumn("begins", begins)), sums={"record": F.col("begins").cast("long")}))
+    rows = rows.withColumns({"record": F.col("record") - 1, "ends": F.col("upto") % 2 == 0, "bytes": F.octet_length("value") + 1})
+    plain = rows.where("begins AND ends").select("file", "record", "value", F.lit(1).cast("long").alias("lines"), F.col("bytes").cast("long").alias("bytes"))
+    parts = rows.where("NOT (begins AND ends)")
+    size = parts.groupBy("file", "record").agg(F.count(F.lit(1)).alias("lines"), F.sum("bytes").alias("bytes"))
+    short = parts.drop("bytes").join(size.where(F.col("lines") <= RECORD_LINES), ["file", "record"])
+    joined = short.groupBy("file", "record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "value"))), lambda x: x["value"]), "\n").alias("value"),
+                                                 F.first("lines").alias("lines"), F.first("bytes").alias("bytes"))
+    endless = size.where(F.col("lines") > RECORD_LINES).select("file", "record", F.lit(None).cast("string").alias("value"), "lines", "bytes")
+    return plain.unionByName(joined).unionByName(endless)
+
+
+def csv_cells(value: Column, delimiter: str = ",") -> Column:
+    """The cells of a record; quoted ones without their quotes, doubled quotes as one."""
+    d = re.escape(delimiter)
+    cells = F.regexp_extract_all(F.concat(F.lit(delimiter), value), F.lit(rf'{d}("[^"]*+(?:""[^"]*+)*+"[^{d}]*|[^{d}]*)'), F.lit(1))
+    whole = F.lit(r'(?s)^\s*"(.*)"\s*$')
+    return F.transform(cells, lambda c: F.when(c.rlike(r'(?s)^\s*".*"\s*$'), F.replace(F.regexp_replace(c, whole, F.lit("$1")), F.lit('""'), F.lit('"'))).otherwise(c))
+
+
 def profile_lines(lines: DataFrame, fields: int, date_field: int, delimiter: str = ",") -> DataFrame:
-    """Profile of CSV lines (column `value`) in one aggregate: accepted and
+    """Profile of CSV records (column `value`, bytes if known) in one aggregate: accepted and
     rejected by field count, parseable dates and their range, bytes (Q10)."""
-    parts = F.split("value", delimiter)
+    parts = csv_cells(F.col("value"), delimiter)
     cell = F.initcap(F.trim(F.try_element_at(parts, F.lit(date_field + 1))))
     when = F.coalesce(*[F.try_to_timestamp(cell, F.lit(f)) for f in DATE_FORMATS])
-    ok = F.size(parts) == fields
+    ok = F.coalesce(F.size(parts) == fields, F.lit(False))
+    size = F.col("bytes") if "bytes" in lines.columns else F.octet_length("value") + 1
     return lines.agg(
         F.count_if(ok).alias("accepted_rows"), F.count_if(~ok).alias("rejected_rows"), F.count_if(ok & when.isNotNull()).alias("dated_rows"),
-        F.min(F.when(ok, when)).alias("min_date"), F.max(F.when(ok, when)).alias("max_date"), F.sum(F.octet_length("value") + 1).alias("bytes"))
+        F.min(F.when(ok, when)).alias("min_date"), F.max(F.when(ok, when)).alias("max_date"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes"))
 
 
 def profile_csv(spark: SparkSession, path: str, fields: int, date_field: int) -> DataFrame:
-    """Profile of a CSV file (plain or gz), its header left out but hashed."""
-    head = spark.read.text(path).first()[0]
-    lines = spark.read.text(path).filter(F.col("value") != head)
-    return profile_lines(lines, fields, date_field).withColumn("header_hash", F.sha2(F.lit(head), 256))
+    """Profile of CSV files (plain or gz). The first record of each file is its header: left
+    out of the counts, and hashed (the first file's). Quoted cells may hold separators and line feeds."""
+    records = csv_records(spark, path)
+    head = records.where("record = 0").agg(F.min_by(F.sha2("value", 256), "file").alias("header_hash"))
+    # one row each
+    return profile_lines(records.where("record > 0"), fields, date_field).crossJoin(F.broadcast(head))
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -247,20 +292,45 @@ def redact(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: F.substring(F.sha2(F.col(c).cast("string"), 256), 1, 16) for c in cols})
 
 
-def partition_files(spark: SparkSession, path: str) -> DataFrame:
-    """Name, bytes and sha256 of every data file of a table, read on executors (Q15)."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+#: Rows of a leaf of a table's hash tree.
+LEAF_ROWS = 1_024
+
+
+def partition_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """partition, rows and sha256 of every partition of a Parquet table (Q15): the folder inside the
+    table, or the file where there is none.
+
+    Rows are hashed, LEAF_ROWS of them in file order make a leaf, a file's leaves its hash, a
+    partition's files its own, so a row of this job never holds more than a leaf."""
+    data = spark.read.parquet(path)
+    cells = [F.coalesce(F.to_json(F.struct(F.col(c).alias("v"))), F.lit("")) for c in data.columns]
+    at = F.col("_metadata.file_path")
+    inside = F.regexp_extract(at, r"((?:[^/]+=[^/]+/)+)[^/]*$", 1)
+    name = F.when(inside != "", F.rtrim(inside, F.lit("/"))).otherwise(F.element_at(F.split(at, "/"), -1))
+    row = F.col("_metadata.row_index")
+    rows = data.select(name.alias("partition"), at.alias("file"), row.alias("row"), F.floor(row / LEAF_ROWS).alias("leaf"), F.sha2(F.concat_ws("\x1f", *cells), 256).alias("h"))
+
+    def over(df: DataFrame, keys: list[str], place: str) -> DataFrame:
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct(place, "h"))), lambda x: x["h"])
+        return df.groupBy(*keys).agg(F.sum("rows").alias("rows"), F.sha2(F.array_join(ordered, ""), 256).alias("h"))
+
+    leaves = over(rows.withColumn("rows", F.lit(1).cast("long")), ["partition", "file", "leaf"], "row")
+    return over(over(leaves, ["partition", "file"], "leaf"), ["partition"], "file").withColumnRenamed("h", "sha256")
 
 
 def verify_partitions(found: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Failures of a table against its manifest: missing, unknown, changed or
-    listed twice."""
-    m = manifest.groupBy("file").agg(F.min("sha256").alias("_want"), F.count(F.lit(1)).alias("_n"))
-    j = found.join(m, "file", "full")
-    code = F.when(F.col("_n") > 1, "duplicate_partition").when(F.col("sha256").isNull(), "missing_partition").when(
-        F.col("_want").isNull(), "unknown_partition").when(F.col("sha256") != F.col("_want"), "hash_mismatch")
-    return j.withColumn("failure", code).filter("failure IS NOT NULL").select("file", "failure")
+    """Failures of a table (partition, rows, sha256) against its manifest: partition, failure, and the
+    rows listed and found. A partition is listed twice, missing, unknown, of other rows or of
+    another hash; `(table)` stands for the sums of rows."""
+    m = manifest.groupBy("partition").agg(F.min("sha256").alias("_want"), F.min("rows").alias("listed_rows"), F.count(F.lit(1)).alias("_n"))
+    j = found.select("partition", "sha256", F.col("rows").alias("found_rows")).join(m, "partition", "full")
+    code = (F.when(F.col("_n") > 1, "duplicate_partition").when(F.col("sha256").isNull(), "missing_partition").when(F.col("_want").isNull(), "unknown_partition")
+            .when(F.col("found_rows") != F.col("listed_rows"), "row_count_mismatch").when(F.col("sha256") != F.col("_want"), "hash_mismatch"))
+    single = j.withColumn("failure", code).filter("failure IS NOT NULL").select("partition", "failure", "listed_rows", "found_rows")
+    # one row each
+    total = manifest.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("listed_rows")).crossJoin(F.broadcast(found.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("found_rows"))))
+    sums = total.where("listed_rows <> found_rows").select(F.lit("(table)").alias("partition"), F.lit("row_sum_mismatch").alias("failure"), "listed_rows", "found_rows")
+    return single.unionByName(sums)
 
 
 # ---- row checks of the other inputs

@@ -119,17 +119,22 @@ def _(spark, sf):
     return Q.normalization_summary(norm_turns(spark, sf), norm_listings(spark, sf))
 
 
-@query("profile_csv", """SELECT COUNT(*) FILTER (WHERE o_orderkey % 10 <> 0) AS accepted_rows, COUNT(*) FILTER (WHERE o_orderkey % 10 = 0) AS rejected_rows, COUNT(*) FILTER (WHERE o_orderkey % 10 <> 0 AND o_orderkey % 7 <> 0) AS dated_rows,
-  MIN(o_orderdate) FILTER (WHERE o_orderkey % 10 <> 0 AND o_orderkey % 7 <> 0) AS min_date, MAX(o_orderdate) FILTER (WHERE o_orderkey % 10 <> 0 AND o_orderkey % 7 <> 0) AS max_date FROM orders""")
+# quoted cells with separators, quotes and line feeds; rows of a cell too many; a row equal to the header
+_FINE, _DATED = "o_orderkey % 10 <> 0", "o_orderkey % 10 <> 0 AND o_orderkey % 7 <> 0"
+@query("profile_csv", f"""SELECT COUNT(*) FILTER (WHERE {_FINE}) + COUNT(*) FILTER (WHERE o_orderkey % 97 = 0) AS accepted_rows, COUNT(*) FILTER (WHERE NOT ({_FINE})) AS rejected_rows, COUNT(*) FILTER (WHERE {_DATED}) AS dated_rows,
+  MIN(o_orderdate) FILTER (WHERE {_DATED}) AS min_date, MAX(o_orderdate) FILTER (WHERE {_DATED}) AS max_date, sha256('key,date,note') AS header_hash FROM orders""")
 def _(spark, sf):
     k = F.col("o_orderkey")
-    when = F.when(k % 7 == 0, "never").when(k % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k % 3 == 1, F.lower(F.date_format("o_orderdate", "ddMMMyyyy"))).otherwise(F.date_format("o_orderdate", "yyyyMMdd"))
-    line = F.concat_ws(",", k.cast("string"), when, F.when(k % 10 == 0, "a,b").otherwise("a"))
+    when = F.when(k % 7 == 0, "never").when(k % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k % 3 == 1, F.lower(F.date_format("o_orderdate", "ddMMMyyyy"))).otherwise(F.concat(F.lit('"'), F.date_format("o_orderdate", "yyyyMMdd"), F.lit('"')))
+    note = F.when(k % 10 == 0, "a,b").when(k % 4 == 0, '"a, ""b"", c"').when(k % 9 == 0, '"one\ntwo, three\n\nfour"').otherwise("a")
     path = scratch_path(spark, "profile")
-    d = table(spark, sf, "orders").select(line.alias("value"))
-    d.write.text(path)
-    p = Q.profile_lines(spark.read.text(path), 3, 1)
-    return p.select("accepted_rows", "rejected_rows", "dated_rows", F.to_timestamp_ntz(F.col("min_date").cast("string")).alias("min_date"), F.to_timestamp_ntz(F.col("max_date").cast("string")).alias("max_date"))
+    line = F.concat_ws(",", k.cast("string"), when, note)
+    # as one file: the header first, now and then a row like it
+    like_header = F.when(k % 97 == 0, F.concat(line, F.lit("\nkey,date,note"))).otherwise(line)
+    head = spark.range(1).select(F.lit("key,date,note").alias("value"))
+    head.unionByName(table(spark, sf, "orders").select(like_header.alias("value"))).coalesce(1).write.text(path)
+    p = Q.profile_csv(spark, path, 3, 1)
+    return p.select("accepted_rows", "rejected_rows", "dated_rows", F.to_timestamp_ntz(F.col("min_date").cast("string")).alias("min_date"), F.to_timestamp_ntz(F.col("max_date").cast("string")).alias("max_date"), "header_hash")
 
 
 @query("sample_n", "SELECT o_orderkey FROM orders ORDER BY sha256('7|' || o_orderkey), o_orderkey LIMIT 100")
@@ -166,13 +171,21 @@ def _(spark, sf):
     return S.read_table(spark, path).groupBy("listing_id").agg(F.count(F.lit(1)).alias("turns"))
 
 
-@query("verify_partitions", "SELECT 'ghost.parquet' AS file, 'missing_partition' AS failure WHERE (SELECT COUNT(*) FROM orders) > 0")
+@query("verify_partitions", """
+WITH p AS (SELECT 'part=' || (o_orderkey % 6) AS partition, COUNT(*) AS n FROM orders GROUP BY 1)
+SELECT 'part=ghost' AS partition, 'missing_partition' AS failure, 7::BIGINT AS listed_rows, NULL::BIGINT AS found_rows
+UNION ALL SELECT partition, 'unknown_partition', NULL, n FROM p WHERE partition = 'part=1' UNION ALL SELECT partition, 'hash_mismatch', n, n FROM p WHERE partition = 'part=2'
+UNION ALL SELECT partition, 'duplicate_partition', n, n FROM p WHERE partition = 'part=3' UNION ALL SELECT partition, 'row_count_mismatch', n + 1, n FROM p WHERE partition = 'part=4'
+UNION ALL SELECT '(table)', 'row_sum_mismatch', CAST((SELECT SUM(n) FROM p WHERE partition <> 'part=1') + (SELECT n FROM p WHERE partition = 'part=3') + 8 AS BIGINT), CAST((SELECT SUM(n) FROM p) AS BIGINT)""")
 def _(spark, sf):
     path = scratch_path(spark, "orders")
-    table(spark, sf, "orders").repartition(4).write.parquet(path)
-    found = Q.partition_files(spark, path)
-    ghost = spark.createDataFrame([("ghost.parquet", "0")], "file string, sha256 string")
-    return Q.verify_partitions(found, found.select("file", "sha256").unionByName(ghost))
+    table(spark, sf, "orders").withColumn("part", F.col("o_orderkey") % 6).repartition(3).write.partitionBy("part").parquet(path)
+    S.write_manifest(spark, path)
+    whole = spark.read.parquet(f"{path}/_manifest")
+    part, rows = F.col("partition"), F.col("rows")
+    edited = whole.where(part != "part=1").withColumns({"sha256": F.when(part == "part=2", F.lit("0")).otherwise(F.col("sha256")), "rows": F.when(part == "part=4", rows + 1).otherwise(rows)})
+    edited = edited.unionByName(whole.where(part == "part=3")).unionByName(whole.limit(1).select(F.lit("part=ghost").alias("partition"), F.lit(7).cast("long").alias("rows"), F.lit("0").alias("sha256")))
+    return Q.verify_partitions(Q.partition_hashes(spark, path), edited).unionByName(S.check_table(spark, path))
 
 
 @query("validate_pilot", """SELECT reason, COUNT(*) AS rows FROM (SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'available_before_event' WHEN o_orderkey % 11 = 0 THEN 'response_before_event' WHEN o_orderkey % 13 = 0 THEN 'bad_currency' WHEN o_orderkey % 17 = 0 THEN 'negative_money' WHEN o_orderkey % 19 = 0 THEN 'negative_count' END AS reason FROM orders) t WHERE reason IS NOT NULL GROUP BY 1""")

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from haggle.operators.quality import partition_hashes, verify_partitions
+
 # The header lines of the source files, in order.
 LISTING_COLUMNS = (
     "anon_item_id anon_title_code anon_product_id anon_leaf_categ_id anon_slr_id anon_buyer_id auct_start_dt fdbk_score_start "
@@ -75,10 +77,21 @@ def read_simple(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame,
 
 
 def write_table(df: DataFrame, path: str, key: str, partitions: int | None = None) -> None:
-    """Parquet clustered by key. Rows of one key meet in one file unless the
-    optimiser splits a hot one."""
+    """Parquet clustered by key, with a manifest of its partitions' rows and hashes beside the data.
+    Rows of one key meet in one file unless the optimiser splits a hot one."""
     spread = df.repartition(partitions, key) if partitions else df.repartition(key)
     spread.sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+    write_manifest(df.sparkSession, path)
+
+
+def write_manifest(spark: SparkSession, path: str) -> None:
+    """partition, rows and sha256 of a table's partitions, in a folder that its readers skip."""
+    partition_hashes(spark, path).coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/_manifest")
+
+
+def check_table(spark: SparkSession, path: str) -> DataFrame:
+    """Failures of a table against the manifest written with it; none if it is whole."""
+    return verify_partitions(partition_hashes(spark, path), spark.read.parquet(f"{path.rstrip('/')}/_manifest"))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

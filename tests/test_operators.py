@@ -272,3 +272,38 @@ def test_person_key_forms_agree(spark):
     df = spark.createDataFrame([(n, a) for n in names for a in above], "k string, a array<string>")
     got = {(r["k"], tuple(r["a"])): r["p"] for r in df.withColumn("p", privacy.person_key(F.col("k"), F.col("a"))).collect()}
     assert got == {(n, tuple(a)): privacy.key_is_pii(n, set(a)) for n in names for a in above}
+
+
+def test_csv_records_with_quotes(spark, tmp_path, hot):
+    """Quoted separators, quotes and line feeds; a header in each file; a quote that never closes."""
+    (tmp_path / "a.csv").write_text('id,when,text\n1,2024-01-02,plain\n2,2024-01-03,"a, b"\n3,"2024-01-04","say ""hi, you""\nand\n\nmore"\nid,when,text\n4,x\n,,\n')
+    (tmp_path / "b.csv").write_text("id,when,text\n5,2023-05-06,\"one\ntwo\"\n6,2023-05-07,\"never\n" + "closed\n" * 1200)
+    got = quality.profile_csv(spark, str(tmp_path), 3, 1).first().asDict()
+    size = sum(f.stat().st_size for f in tmp_path.glob("*.csv")) - 2 * len("id,when,text\n")
+    assert (got["accepted_rows"], got["rejected_rows"], got["dated_rows"], got["bytes"]) == (6, 2, 4, size)
+    assert (str(got["min_date"])[:10], str(got["max_date"])[:10]) == ("2023-05-06", "2024-01-04")
+    assert got["header_hash"] == hashlib.sha256(b"id,when,text").hexdigest()
+    cells = lambda t: spark.range(1).select(quality.csv_cells(F.lit(t))).first()[0]
+    assert cells(',a,"b, ""c""",') == ["", "a", 'b, "c"', ""] and cells("") == [""]
+
+
+def test_table_manifest(spark, tmp_path):
+    """Every change of a row is found in its partition; the order of columns' values and files does not hide it."""
+    path = str(tmp_path / "t")
+    df = spark.range(5000).select("id", (F.col("id") % 3).alias("part"), F.when(F.col("id") % 5 > 0, F.col("id").cast("string")).alias("v"))
+    files.write_table(df, path, "id", 3)
+    assert files.check_table(spark, path).count() == 0
+    at = str(tmp_path / "u")
+    df.repartition(2).write.partitionBy("part").parquet(at)
+    files.write_manifest(spark, at)
+    before = spark.read.parquet(f"{at}/_manifest").orderBy("partition").collect()
+    assert [(r["partition"], r["rows"]) for r in before] == [("part=0", 1667), ("part=1", 1667), ("part=2", 1666)]
+    one = [f for f in sorted((tmp_path / "u" / "part=1").glob("*.parquet"))][0]
+    kept = spark.read.parquet(str(one)).toPandas()
+    kept.loc[0, "v"] = "changed"
+    kept.to_parquet(one)
+    (tmp_path / "u" / "part=1" / f".{one.name}.crc").unlink()
+    bad = files.check_table(spark, at).collect()
+    assert [(r["partition"], r["failure"], r["listed_rows"], r["found_rows"]) for r in bad] == [("part=1", "hash_mismatch", 1667, 1667)]
+    kept.iloc[1:].to_parquet(one)
+    assert [(r["partition"], r["failure"]) for r in files.check_table(spark, at).orderBy("partition").collect()] == [("(table)", "row_sum_mismatch"), ("part=1", "row_count_mismatch")]

@@ -192,6 +192,41 @@ def with_history(cases: DataFrame, turns: DataFrame) -> DataFrame:
     return cases.join(hist, ["thread_id", "round_number"], "left")
 
 
+#: Turns of a chunk of a thread's history.
+CHUNK_TURNS = 64
+
+
+def history_chunks(turns: DataFrame, size: int = CHUNK_TURNS) -> DataFrame:
+    """thread_id, chunk (from 0) and turns: each turn once, `size` to a chunk, so that a
+    thread of any length is stored once and none of its rows grows with it."""
+    item = F.struct("turn_index", "actor", "action", "amount")
+    chunk = F.floor((F.col("turn_index") - 1) / size).cast("long")
+    return history_rows(turns).groupBy("thread_id", chunk.alias("chunk")).agg(F.array_sort(F.collect_list(item)).alias("turns"))
+
+
+def with_history_tail(cases: DataFrame, turns: DataFrame, size: int = CHUNK_TURNS) -> DataFrame:
+    """Cases with `chunks`, the whole chunks of their history, and `tail`, the fewer than `size`
+    turns behind those. Cases of a thread share its chunks, so output grows with turns."""
+    item = F.struct("turn_index", "actor", "action", "amount")
+    chunk = F.floor((F.col("turn_index") - 1) / size).cast("long")
+    upto = Window.partitionBy("thread_id", "_chunk").orderBy("turn_index").rowsBetween(Window.unboundedPreceding, 0)
+    rows = history_rows(turns).withColumn("_chunk", chunk).withColumn("_seen", F.collect_list(item).over(upto))
+    whole = F.size("_seen") == size
+    ends = rows.select("thread_id", F.col("turn_index").alias("round_number"), (F.col("_chunk") + whole.cast("long")).alias("chunks"),
+                       F.when(whole, F.array().cast(rows.schema["_seen"].dataType)).otherwise(F.col("_seen")).alias("tail"))
+    return cases.join(ends, ["thread_id", "round_number"], "left")
+
+
+def expand_history(cases: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """`keys` of cases with their whole observed_history as an array, from chunks and tail: for
+    readers that want it, at the length of the history itself."""
+    pieces = cases.select(*keys, "thread_id", "chunks", "tail")
+    held = pieces.where("chunks > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    packed = held.join(chunks, ["thread_id", "chunk"]).groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "turns"))), lambda x: x["turns"])).alias("_before"))
+    out = pieces.join(packed, keys, "left")
+    return out.select(*keys, F.concat(F.coalesce("_before", F.array().cast(packed.schema["_before"].dataType)), "tail").alias("observed_history"))
+
+
 def task_manifest(cases: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """Eligible, supervised, unknown and censored rows per target; every target
     also counts the threads that had no listing."""

@@ -212,6 +212,20 @@ def _(spark, sf):
     return h.select("row_id", F.size("observed_history").cast("long").alias("turns"), F.array_join(path, ",").alias("path"))
 
 
+# chunks of two turns stored once, cases with a count of chunks and a tail, and the history that they stand for
+@query("case_history_chunks", """
+SELECT c.row_id, (c.round_number // 2)::BIGINT AS chunks, COUNT(*) FILTER (WHERE t.turn_index > c.round_number // 2 * 2) AS tail_turns, STRING_AGG(t.actor || '-' || t.action, ',' ORDER BY t.turn_index) AS path
+FROM v_cases c JOIN v_nturns t ON t.thread_id = c.thread_id AND t.turn_index <= c.round_number
+WHERE c.target = 'seller_next_action' GROUP BY c.row_id, c.round_number""")
+def _(spark, sf):
+    turns = norm_turns(spark, sf)
+    cases = K.build_cases(turns, norm_listings(spark, sf), thread_probe(spark, sf)).filter("target = 'seller_next_action'")
+    tails = K.with_history_tail(cases, turns, 2)
+    whole = K.expand_history(tails, K.history_chunks(turns, 2), ["row_id"])
+    path = F.array_join(F.transform("observed_history", lambda x: F.concat_ws("-", x["actor"], x["action"])), ",")
+    return tails.select("row_id", "chunks", F.size("tail").cast("long").alias("tail_turns")).join(whole.select("row_id", path.alias("path")), "row_id")
+
+
 # ---- ranks and splits
 
 LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]

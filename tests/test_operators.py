@@ -307,3 +307,16 @@ def test_table_manifest(spark, tmp_path):
     assert [(r["partition"], r["failure"], r["listed_rows"], r["found_rows"]) for r in bad] == [("part=1", "hash_mismatch", 1667, 1667)]
     kept.iloc[1:].to_parquet(one)
     assert [(r["partition"], r["failure"]) for r in files.check_table(spark, at).orderBy("partition").collect()] == [("(table)", "row_sum_mismatch"), ("part=1", "row_count_mismatch")]
+
+
+@pytest.mark.parametrize("size", [1, 3, 64])
+def test_history_chunks_expand_to_the_array(spark, size):
+    """Chunks and tails give the same histories as the arrays, and hold each turn once."""
+    turns = spark.createDataFrame([(f"t{t}", i, "buyer" if i % 2 else "seller", "offer", float(i)) for t, n in enumerate((1, 3, 7, 200)) for i in range(1, n + 1)],
+                                  "thread_id string, turn_index int, actor string, action string, amount double")
+    cases = turns.select("thread_id", F.col("turn_index").alias("round_number"), F.concat_ws("-", "thread_id", "turn_index").alias("row_id"))
+    chunks, tails = tasks.history_chunks(turns, size), tasks.with_history_tail(cases, turns, size)
+    got = {r["row_id"]: r["observed_history"] for r in tasks.expand_history(tails, chunks, ["row_id"]).collect()}
+    want = {r["row_id"]: r["observed_history"] for r in tasks.with_history(cases, turns).collect()}
+    assert got == want and len(got) == 211
+    assert sum(len(r["turns"]) for r in chunks.collect()) == 211 and max(len(r["tail"]) for r in tails.collect()) < max(size, 2)

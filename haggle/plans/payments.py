@@ -8,6 +8,8 @@ from haggle.operators import payments as P
 from haggle.plans.market import life
 from haggle.plans.registry import fixture, query, view
 from haggle.session import scratch_path
+from haggle.sources.tables import table
+from haggle.streaming import funnels as U
 from haggle.streaming import lifecycle as S
 
 _STEPS = [("offer_submitted", "offer_submitted", "TRUE"), ("merchant_countered", "merchant_countered", "k % 3 = 0"), ("buyer_accepted", "buyer_accepted", "k % 8 <> 7"), ("checkout_created", "checkout_created", "k % 8 <> 7"),
@@ -184,3 +186,44 @@ def _(spark, sf):
     out, cp = scratch_path(spark, "mature-out"), scratch_path(spark, "mature-cp")
     S.run_to_table(S.maturity_stream(stream, 14, keep_days=36500), out, cp, mode="append")
     return spark.read.parquet(out).drop("batch")
+
+
+# ---- funnels: events come in a few batches; those beyond all windows close the last of them
+
+_FUNNEL = ["view", "click", "purchase"]
+_N = ", ".join(f"COUNT(*) FILTER (WHERE event_type = '{s}') AS n_{i}, MIN(ts) FILTER (WHERE event_type = '{s}') AS f{i}" for i, s in enumerate(_FUNNEL))
+_DEPTH = "CASE WHEN f0 IS NULL THEN 0 WHEN f1 IS NULL OR f1 < f0 THEN 1 WHEN f2 IS NULL OR f2 < f1 THEN 2 ELSE 3 END AS depth"
+
+
+def _closed(spark, sf, build):
+    e = table(spark, sf, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    path = scratch_path(spark, "funnel-in")
+    e.repartitionByRange(3, "ts").write.parquet(path)
+    for at in ("2100-01-01", "2100-02-01"):
+        e.limit(1).select(F.lit(-1).cast(e.schema["user_id"].dataType).alias("user_id"), F.lit("end").alias("event_type"), F.lit(at).cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path).withWatermark("ts", "30 days")
+    out, cp = scratch_path(spark, "funnel-out"), scratch_path(spark, "funnel-cp")
+    late = S.run_to_table(build(stream), out, cp, mode="append")
+    closed = spark.read.parquet(out).where("window_end < timestamp'2100-01-01'").drop("batch")
+    plain = {c: F.to_timestamp_ntz(F.col(c).cast("string")) for c in ("window_start", "window_end")}
+    return closed.withColumns({**plain, "late": F.lit(late).cast("long")})
+
+
+@query("tumbling_funnel", f"""SELECT window_start, window_start + INTERVAL 6 HOUR AS window_end, events, n_0, n_1, n_2, {_DEPTH}, 0::BIGINT AS late
+FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, COUNT(*) AS events, {_N} FROM events GROUP BY 1) t""")
+def _(spark, sf):
+    return _closed(spark, sf, lambda s: U.tumbling_funnel(s, "6 hours", _FUNNEL))
+
+
+@query("sliding_funnel", f"""SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, events, n_0, n_1, n_2, {_DEPTH}, 0::BIGINT AS late
+FROM (SELECT time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 12 HOUR AS window_start, COUNT(*) AS events, {_N} FROM events, (VALUES (0), (1)) v(k) GROUP BY 1) t""")
+def _(spark, sf):
+    return _closed(spark, sf, lambda s: U.sliding_funnel(s, "1 day", "12 hours", _FUNNEL))
+
+
+@query("session_funnel", f"""SELECT window_start, window_end, user_id, events, n_0, n_1, n_2, {_DEPTH}, 0::BIGINT AS late FROM (
+  SELECT user_id, MIN(ts) AS window_start, MAX(ts) + INTERVAL 8 HOUR AS window_end, COUNT(*) AS events, {_N} FROM (
+    SELECT *, SUM(CASE WHEN p IS NULL OR ts - p > INTERVAL 8 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run
+    FROM (SELECT *, LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) a) b GROUP BY user_id, run) t""")
+def _(spark, sf):
+    return _closed(spark, sf, lambda s: U.session_funnel(s, "8 hours", _FUNNEL, ["user_id"]))

@@ -215,9 +215,10 @@ def maturity_stream(payments: DataFrame, window_days: int, keep_days: int = 365)
         _Maturity(window_days * DAY, keep_days * DAY), "transaction_id string, status string, net_revenue_minor long", "Append", "EventTime")
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> None:
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> int:
     """Drain the available input; every batch is one folder of parquet, rewritten
-    when the batch is repeated, so a restart leaves no doubles."""
+    when the batch is repeated, so a restart leaves no doubles. Returns how many rows
+    (partial sums, where an aggregate combines them first) came behind the watermark."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number:06d}")
@@ -226,6 +227,7 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "upd
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+    return sum(o.get("numRowsDroppedByWatermark", 0) for p in q.recentProgress for o in p["stateOperators"])
 
 
 def latest_rows(spark, path: str, keys: list[str]) -> DataFrame:

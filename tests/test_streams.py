@@ -85,7 +85,7 @@ def test_late_rows_are_counted(spark, tmp_path):
     """What comes behind the watermark is in no window, but the drain says how much it was."""
     schema = "user long, event_type string, ts timestamp"
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    batches = [[(1, "view", "2024-01-01 00:10:00"), (1, "click", "2024-01-01 00:20:00")], [(1, "view", "2024-01-02 00:00:00")], [(1, "purchase", "2024-01-01 00:30:00"), (1, "view", "2024-01-02 00:05:00")], [(1, "end", "2024-01-05 00:00:00")], [(1, "end", "2024-01-06 00:00:00")]]
+    batches = [[(1, "view", "2024-01-01 00:10:00"), (1, "click", "2024-01-01 00:20:00")], [(1, "view", "2024-01-02 00:00:00")], [(1, "view", "2024-01-02 00:05:00")], [(1, "purchase", "2024-01-01 00:30:00")], [(1, "end", "2024-01-05 00:00:00")], [(1, "end", "2024-01-06 00:00:00")]]
     for rows in batches:
         spark.createDataFrame(rows, "user long, event_type string, ts string").selectExpr("user", "event_type", "cast(ts as timestamp) ts").coalesce(1).write.mode("append").parquet(src)
         time.sleep(1.1)

@@ -29,6 +29,12 @@ FORBIDDEN_FUTURE = [
     "accept_price", "decline_price", "accepted_price", "buyer_us_if_sold", "later_response_time", "total_rounds",
 ]
 TERMINAL_TEXT = ["accepted", "declined", "expired", "finalized"]
+# Identifiers that no model may use, and the features each canary adds to a case.
+IDENTIFIERS = ["seller_id", "buyer_id", "thread_id", "listing_id", "row_id"]
+CANARIES = {
+    "future_status_canary": ["future_status"], "accepted_price_canary": ["accepted_price", "final_sale_price"],
+    "identifier_memorization_canary": ["seller_id", "buyer_id", "thread_id"], "artifact_name_leakage_canary": ["artifact_name"],
+}
 POST_DECISION = ["observed_action", "later_outcomes", "outcomes", "adherence", "target", "label", "actual_action"]
 
 
@@ -118,10 +124,24 @@ def censoring_control(manifest: DataFrame) -> DataFrame:
                            (F.col("supervised_rows") + hit == F.col("eligible_rows")).alias("adds_up"))
 
 
-def canary_rejected(canaries: dict[str, list[str]], spark) -> DataFrame:
-    """For named sets of canary features, whether the contract rejects them."""
-    rows = [(n, bool(contract_violations(f))) for n, f in canaries.items()]
-    return spark.createDataFrame(rows, "control string, rejected boolean")
+def canary_controls(df: DataFrame, features: str, part: list[str], used: list[str] | None = None) -> DataFrame:
+    """Every row's feature map (null: empty) with each canary added, held against the contract in one
+    aggregate: a control passes if all its rows are rejected, and `unchanged`, which adds nothing,
+    if none is. The identifier control also wants none of them among the features `used` by a model."""
+    keys = F.coalesce(F.map_keys(F.col(features)), F.array().cast("array<string>"))
+    own = sorted(set(used or []) & set(IDENTIFIERS))
+
+    def broken(names: list[str]) -> Column:
+        seen = F.concat(keys, _names(names)) if names else keys
+        return F.arrays_overlap(seen, _names(FORBIDDEN_FEATURES)) | (F.size(F.array_except(seen, _names(FEATURE_CONTRACT))) > 0)
+
+    controls = {**CANARIES, "unchanged": []}
+    row = df.groupBy(*part).agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(broken(c)).alias(f"_{n}") for n, c in controls.items()])
+    found = lambda n: ",".join(own) if n == "identifier_memorization_canary" else ""
+    long = row.select(*part, "rows", F.inline(F.array(*[
+        F.struct(F.lit(n).alias("control"), F.col(f"_{n}").alias("rejected_rows"), F.lit(found(n)).alias("identifiers_used")) for n in controls])))
+    wanted = F.when(F.col("control") == "unchanged", 0).otherwise(F.col("rows"))
+    return long.withColumn("passed", (F.col("rejected_rows") == wanted) & (F.col("identifiers_used") == ""))
 
 
 def lineage(df: DataFrame, row_id: str, columns: list[str]) -> DataFrame:

@@ -235,20 +235,42 @@ def consent_as_of(events: DataFrame, consents: DataFrame, purpose: str, ts: str
     return out.select(*keys, F.col("_id").alias(row_id), F.coalesce(on, F.lit(False)).alias("active"))
 
 
-def training_dataset(events: DataFrame, consents: DataFrame, purpose: str, as_of: str, cross: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Events of stores with active consent, and the dataset's lineage.
-    Several merchants need the cross-merchant purpose; one store without
-    consent stops the export."""
+# Fixed value: the one purpose that several merchants' events may be trained on together for.
+CROSS_MERCHANT = "cross_merchant_training"
+
+
+def consent_lineage(pairs: DataFrame, consents: DataFrame, purpose: str, as_of: str) -> DataFrame:
+    """The consent that decides for each (merchant, store) at one time: its record, times, a hash
+    of them, and whether the purpose is active. A store that was never asked has no record."""
+    t = F.lit(as_of).cast("timestamp")
+    c = _consent_changes(consents, purpose).filter(F.col("at") <= t)
+    last = c.groupBy("merchant_id", "store_id").agg(F.max_by(F.struct("record_id", "at", "revoked_at", "active"), F.struct("at", "prio", "record_id")).alias("l"))
+    on = F.col("l.active") & ~F.coalesce(F.col("l.revoked_at") <= t, F.lit(False))
+    text = F.concat_ws("|", F.lit(purpose), "merchant_id", "store_id", F.col("l.record_id").cast("string"), F.unix_micros("l.at").cast("string"),
+                       F.coalesce(F.unix_micros(F.col("l.revoked_at")).cast("string"), F.lit("-")))
+    return pairs.join(last, ["merchant_id", "store_id"], "left").select(
+        "merchant_id", "store_id", F.lit(purpose).alias("purpose"), F.col("l.record_id").alias("record_id"), F.col("l.at").alias("granted_at"), F.col("l.revoked_at").alias("revoked_at"),
+        F.when(F.col("l").isNotNull(), F.sha2(text, 256)).alias("consent_hash"), F.coalesce(on, F.lit(False)).alias("active"))
+
+
+def training_dataset(events: DataFrame, consents: DataFrame, purpose: str, as_of: str, cross: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Events of stores with active consent, the dataset's lineage (one row) and the consents
+    behind it, one per store (A45). Several merchants need `cross`, and that needs the
+    cross-merchant purpose; one store without consent stops the export. The id is made of
+    the purpose, the number of events and a hash of them that does not depend on order."""
+    if cross and purpose != CROSS_MERCHANT:
+        raise ValueError("cross-merchant training requires the cross-merchant purpose")
     pairs = events.select("merchant_id", "store_id").distinct()
-    state = pairs.join(consent_at(consents, purpose, as_of), ["merchant_id", "store_id"], "left")
-    gate = state.agg(F.countDistinct("merchant_id").alias("m"), F.bool_and(F.coalesce("active", F.lit(False))).alias("ok")).first()
-    if gate["m"] and gate["m"] > 1 and not (cross and purpose == "cross_merchant_training"):
+    behind = consent_lineage(pairs, consents, purpose, as_of)
+    gate = behind.agg(F.countDistinct("merchant_id").alias("m"), F.bool_and("active").alias("ok")).first()
+    if gate["m"] > 1 and not cross:
         raise ValueError("cross-merchant training is prohibited by default")
-    if gate["m"] and not gate["ok"]:
+    if gate["ok"] is False:
         raise ValueError(f"a store has no active consent for {purpose}")
     body = F.to_json(F.struct(*sorted(events.columns)))
-    lineage = events.agg(F.count(F.lit(1)).alias("event_count"), id_set_hash(body).alias("dataset_id"))
-    return events, lineage
+    sums = events.agg(F.count(F.lit(1)).alias("event_count"), F.coalesce(id_set_hash(body), F.lit("0")).alias("event_set_hash"))
+    named = F.sha2(F.concat_ws("|", F.lit(purpose), F.col("event_count").cast("string"), "event_set_hash"), 256)
+    return events, sums.select(F.lit(purpose).alias("purpose"), "event_count", "event_set_hash", named.alias("dataset_id")), behind
 
 
 def retention_due(df: DataFrame, as_of: str) -> DataFrame:

@@ -174,7 +174,7 @@ def split_table(cases: DataFrame) -> DataFrame:
     ids = sorted({g for g, _ in SPLITS.values()})
     base = cases.select("target", "row_id", "timestamp", *ids)
     timed = rank_within(base.select("target", "row_id", "timestamp", "listing_id"), ["target"], ["timestamp", "row_id"])
-    timed = timed.withColumn("region", region_of(F.col("rank"), F.col("n")))
+    timed = timed.withColumn("region", region_of(F.col("rank"), F.col("n"))).withColumn("listing_id", F.coalesce(F.col("listing_id").cast("string"), F.lit("")))
     chrono = purge_crossing(timed, "listing_id", ["target"]).select(
         F.lit("chronological_listing_purged").alias("split"), "target", "region", "row_id")
     grouped = [(s, g) for s, (g, how) in SPLITS.items() if how != "purge"]
@@ -205,6 +205,35 @@ def split_manifests(table: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("rows"), id_set_hash(F.col("row_id")).alias("case_set_hash"))
 
 
+def split_groups(cases: DataFrame, table: DataFrame) -> DataFrame:
+    """What became of every group of a split: (split, target, group, kept, purged, repeated, stray,
+    first_region, last_region). Cases and assignments meet in one aggregate on the row, its rows
+    in one on the group, so a hot group is a few partial rows. A missing identifier is the
+    group ''; assigned rows that are no case have a null group and count as stray."""
+    ids = [F.struct(F.lit(s).alias("split"), F.coalesce(F.col(g).cast("string"), F.lit("")).alias("group")) for s, (g, _) in SPLITS.items()]
+    wanted = cases.select("target", "row_id", F.explode(F.array(*ids)).alias("e")).select("e.split", "target", "row_id", "e.group", F.lit(None).cast("string").alias("region"))
+    given = table.select("split", "target", "row_id", F.lit(None).cast("string").alias("group"), "region")
+    rows = wanted.unionByName(given).groupBy("split", "target", "row_id").agg(
+        F.max("group").alias("group"), F.count("region").alias("n"), F.min("region").alias("a"), F.max("region").alias("b"))
+    known = F.col("group").isNotNull()
+    return rows.groupBy("split", "target", "group").agg(
+        F.count_if(known & (F.col("n") > 0)).alias("kept"), F.count_if(known & (F.col("n") == 0)).alias("purged"), F.count_if(F.col("n") > 1).alias("repeated"),
+        F.count_if(~known).alias("stray"), F.min("a").alias("first_region"), F.max("b").alias("last_region"))
+
+
+def split_audit(groups: DataFrame) -> DataFrame:
+    """Per split and target, from `split_groups`: kept and purged rows, groups that lost all their
+    rows, rows without an identifier, and whether the split is sound: no case twice, no group in
+    two regions, no row that is no case."""
+    empty, timed = F.col("group") == "", F.col("split") == "chronological_listing_purged"
+    out = groups.groupBy("split", "target").agg(
+        F.sum("kept").alias("rows"), F.sum("purged").alias("purged_rows"), F.count_if((F.col("purged") > 0) & (F.col("kept") == 0) & (timed | ~empty)).alias("purged_groups"),
+        F.sum(F.when(empty & ~timed, F.col("kept") + F.col("purged")).otherwise(0)).alias("missing_identifier_rows"),
+        (F.sum("repeated") == 0).alias("no_duplicate_cases"), (F.count_if((F.col("first_region") != F.col("last_region")) & F.col("group").isNotNull()) == 0).alias("group_disjoint"),
+        F.sum("stray").alias("stray_rows"))
+    return out.withColumn("passed", F.col("no_duplicate_cases") & F.col("group_disjoint") & (F.col("stray_rows") == 0))
+
+
 def assert_disjoint(df: DataFrame, group: str, region: str = "region") -> DataFrame:
     """Groups (or ids) seen in more than one region; empty when disjoint."""
     return df.groupBy(group).agg(F.min(region).alias("a"), F.max(region).alias("b")).filter("a <> b").select(

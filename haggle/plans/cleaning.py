@@ -396,11 +396,68 @@ def _(spark, sf):
     return V.consent_as_of(e, consents(spark, sf), "training")
 
 
-@query("training_dataset", "SELECT COUNT(*) AS event_count FROM events")
-def _(spark, sf):
-    e = table(spark, sf, "events").select(F.lit("m3").alias("merchant_id"), F.lit("s").alias("store_id"), "event_id", "value")
-    one = e.select("merchant_id", "store_id").distinct().withColumns({"record_id": F.lit("r"), "granted_at": F.lit("2020-01-01").cast("timestamp"), "granted_purposes": F.array(F.lit("training")), "prohibited_purposes": F.array().cast("array<string>"), "revoked_at": F.lit(None).cast("timestamp")})
-    return V.training_dataset(e, one, "training", "2024-01-12 00:00:00")[1].select("event_count")
+@query("training_dataset", """
+WITH c AS (SELECT merchant_id, store_id, arg_max((record_id, revoked_at, g), (granted_at, CASE WHEN b THEN 2 ELSE 1 END, record_id)) AS l FROM v_consent WHERE granted_at <= TIMESTAMP '2024-01-12 00:00:00' GROUP BY 1, 2),
+ok AS (SELECT merchant_id, store_id, l[1] AS record_id FROM c WHERE l[3] AND NOT COALESCE(l[2] <= TIMESTAMP '2024-01-12 00:00:00', FALSE)),
+e AS (SELECT event_id, 'm' || (user_id % 20) AS merchant_id FROM events),
+d AS (SELECT COUNT(*) AS n, SUM(('0x' || substr(sha256('{"event_id":' || event_id || ',"merchant_id":"' || merchant_id || '","store_id":"s"}'), 1, 15))::BIGINT)::VARCHAR AS h FROM e WHERE merchant_id IN (SELECT merchant_id FROM ok))
+SELECT ok.merchant_id, store_id, record_id, TRUE AS active, d.n AS event_count, sha256('cross_merchant_training|' || d.n || '|' || d.h) AS dataset_id FROM ok, d WHERE ok.merchant_id IN (SELECT merchant_id FROM e)""")
+def _(spark, sf):
+    """One training set of all stores that consented, with the consents behind it."""
+    purpose = V.CROSS_MERCHANT
+    named = lambda c: F.transform(c, lambda _: F.lit(purpose))
+    c = consents(spark, sf).withColumns({k: named(F.col(k)) for k in ("granted_purposes", "prohibited_purposes")})
+    e = table(spark, sf, "events").select(F.concat(F.lit("m"), (F.col("user_id") % 20).cast("string")).alias("merchant_id"), F.lit("s").alias("store_id"), "event_id")
+    asked = V.consent_at(c, purpose, "2024-01-12 00:00:00").filter("active").select("merchant_id", "store_id")
+    _, data, behind = V.training_dataset(e.join(asked, ["merchant_id", "store_id"], "left_semi"), c, purpose, "2024-01-12 00:00:00", cross=True)
+    return behind.select("merchant_id", "store_id", "record_id", "active").join(F.broadcast(data.select("event_count", "dataset_id")))  # one row
+
+
+@query("normalize_merchant_actions", """
+SELECT CAST(o_orderkey AS STRING) AS delivery_id, reason, CASE WHEN reason IS NULL THEN CASE act WHEN 'accept' THEN 'merchant_accepted' WHEN 'counter' THEN 'merchant_countered' ELSE 'merchant_declined' END END AS transition_to,
+  CASE WHEN reason IS NULL THEN 's' || o_custkey END AS store_id, CASE WHEN reason IS NULL AND act = 'counter' THEN round(o_totalprice * 100)::BIGINT END AS counter_amount_minor, CASE WHEN reason IS NULL AND act = 'counter' THEN CASE WHEN o_orderkey % 5 = 0 THEN 'EUR' ELSE 'USD' END END AS currency FROM (
+  SELECT *, CASE WHEN act = 'refund' THEN 'unknown_action' WHEN o_orderkey % 19 = 0 THEN 'not_an_object' WHEN o_orderkey % 7 = 0 THEN 'unexpected_field' WHEN o_orderkey % 11 = 0 THEN 'bad_store_id' WHEN act = 'counter' AND o_orderkey % 13 = 0 THEN 'bad_amount'
+    WHEN act = 'counter' AND o_orderkey % 17 = 0 THEN 'bad_currency' END AS reason FROM (SELECT *, CASE o_custkey % 4 WHEN 0 THEN 'accept' WHEN 1 THEN 'counter' WHEN 2 THEN 'decline' ELSE 'refund' END AS act FROM orders) a) t""")
+def _(spark, sf):
+    k, c = F.col("o_orderkey"), F.col("o_custkey") % 4
+    money = F.when(k % 13 == 0, "1e3").otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+    code = F.when(k % 17 == 0, "U$D").when(k % 5 == 0, "eur")
+    body = F.to_json(F.struct(F.when(k % 11 == 0, "  ").otherwise(F.concat(F.lit(" s"), F.col("o_custkey").cast("string"))).alias("store_id"), F.when(c == 1, money).alias("counter_amount"), F.when(c == 1, code).alias("currency"), F.when(k % 7 == 0, "x").alias("admin")))
+    action = F.when(c == 0, "accept").when(c == 1, "counter").when(c == 2, "decline").otherwise("refund")
+    return S.normalize_merchant_actions(table(spark, sf, "orders").select(k.cast("string").alias("delivery_id"), action.alias("action"), F.when(k % 19 == 0, F.lit("[1]")).otherwise(body).alias("payload")))
+
+
+@query("read_pilot", """
+SELECT 'orders' AS dataset, COUNT(*) AS rows, MIN(o_orderkey)::STRING AS least FROM orders UNION ALL SELECT 'offers', COUNT(*), MIN(l_orderkey)::STRING FROM lineitem
+UNION ALL SELECT 'inventory', COUNT(*), MIN(p_partkey)::STRING FROM part UNION ALL SELECT 'fees', COUNT(*), MIN(s_suppkey)::STRING FROM supplier""")
+def _(spark, sf):
+    """Four datasets in three formats, two named by the manifest, two found by their stems."""
+    home = scratch_path(spark, "pilot")
+    cut = lambda name, key: table(spark, sf, name).select(F.col(key).alias("id"))
+    cut("orders", "o_orderkey").write.option("header", True).csv(f"{home}/web-orders.csv")
+    cut("lineitem", "l_orderkey").write.json(f"{home}/offers.jsonl")
+    cut("part", "p_partkey").write.parquet(f"{home}/inventory.parquet")
+    cut("supplier", "s_suppkey").write.parquet(f"{home}/charges.parquet")
+    found = S.read_pilot(spark, home, {"orders": "web-orders.csv", "fees": "charges.parquet", "returns_refunds": "absent.csv"})
+    parts = [df.agg(F.count(F.lit(1)).alias("rows"), F.min(F.col("id").cast("long")).cast("string").alias("least")).withColumn("dataset", F.lit(n)) for n, df in found.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("header_reports", """SELECT 'order_matches' AS state, COUNT(DISTINCT o_orderstatus) AS files FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT 'missing anon_thread_id, unexpected thread', COUNT(DISTINCT o_orderstatus) FROM orders WHERE o_orderstatus = 'P'""")
+def _(spark, sf):
+    """A file of turns per order status; in that of P one column has another name."""
+    home = scratch_path(spark, "headers")
+    raw = turns_view(spark, sf).join(table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("thread_id"), "o_orderstatus"), "thread_id")
+    cells = lambda names: [F.coalesce(F.col("listing_id"), F.lit("")).alias(n) for n in names]
+    wrong = ["thread" if n == "anon_thread_id" else n for n in S.THREAD_COLUMNS]
+    for state, names in (("F", S.THREAD_COLUMNS), ("O", S.THREAD_COLUMNS), ("P", wrong)):
+        raw.filter(F.col("o_orderstatus") == state).select(*cells(names)).coalesce(1).write.option("header", True).csv(f"{home}/{state}")
+    r = S.header_reports(spark, f"{home}/*", S.THREAD_COLUMNS)
+    state = F.when(F.col("order_matches"), "order_matches").otherwise(F.concat(F.lit("missing "), F.array_join("missing", ","), F.lit(", unexpected "), F.array_join("unexpected", ",")))
+    return r.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("files"))
 
 
 @query("retention_due", "SELECT o_orderkey, o_orderdate + INTERVAL 365 DAY <= TIMESTAMP '1996-01-01 00:00:00' AS deleted FROM orders WHERE o_orderdate + INTERVAL 365 DAY <= TIMESTAMP '1996-01-01 00:00:00'")

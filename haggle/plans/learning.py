@@ -29,13 +29,16 @@ def norm_listings(spark, sf):
         (F.col("bo_ck") == 1).alias("sold_by_best_offer"))
 
 
-_STAGED: dict[tuple[str, str], str] = {}
+_STAGED: dict[tuple[str, str, str], str] = {}
 
 
 def cases_of(spark, sf):
     """The case table, written once per session to the shared folder and
-    partitioned by target, since every split, metric and model reads it."""
-    key = (spark.sparkContext.applicationId, sf)
+    partitioned by target, since every split, metric and model reads it. Files that
+    changed since (names, lengths, times) make a new copy."""
+    files = spark.read.format("binaryFile").load([f"{sf}/{t}.parquet" for t in ("lineitem", "orders", "customer")]).select("path", "length", "modificationTime")
+    state = files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)"))).first()[0]
+    key = (spark.sparkContext.applicationId, sf, str(state))
     if key not in _STAGED:
         path = scratch_path(spark, "cases")
         fresh_cases(spark, sf).write.partitionBy("target").parquet(path)
@@ -330,6 +333,19 @@ def _(spark, sf):
     return P.split_manifests(P.split_table(cases_of(spark, sf)))
 
 
+view("v_split_ids", " UNION ALL ".join(f"SELECT '{s}' AS split, target, row_id, {g} AS g FROM v_cases" for s, (g, _) in P.SPLITS.items()))
+
+
+@query("split_audit", """
+WITH j AS (SELECT i.split, i.target, i.row_id, i.g, s.region FROM v_split_ids i LEFT JOIN v_splits s ON s.split = i.split AND s.target = i.target AND s.row_id = i.row_id),
+per AS (SELECT split, target, g, COUNT(region) AS kept, COUNT(*) - COUNT(region) AS purged, COUNT(DISTINCT region) AS regions, COUNT(*) - COUNT(DISTINCT row_id) AS again FROM j GROUP BY ALL)
+SELECT split, target, SUM(kept)::BIGINT AS rows, SUM(purged)::BIGINT AS purged_rows, COUNT(*) FILTER (WHERE purged > 0 AND kept = 0) AS purged_groups, 0::BIGINT AS missing_identifier_rows,
+  SUM(again) = 0 AS no_duplicate_cases, MAX(regions) <= 1 AS group_disjoint, 0::BIGINT AS stray_rows, SUM(again) = 0 AND MAX(regions) <= 1 AS passed FROM per GROUP BY ALL""")
+def _(spark, sf):
+    cases = cases_of(spark, sf)
+    return P.split_audit(P.split_groups(cases, P.split_table(cases)))
+
+
 @query("assert_disjoint", """
 SELECT listing_id, MIN(region) AS first_region, MAX(region) AS last_region FROM v_chrono WHERE target = 'agreement'
 GROUP BY 1 HAVING COUNT(DISTINCT region) > 1""")
@@ -449,6 +465,15 @@ def _(spark, sf):
     return G.censoring_control(K.task_manifest(cases_of(spark, sf)))
 
 
+@query("canary_controls", """
+SELECT target, control, COUNT(*) AS rows, COUNT(*) FILTER (WHERE control <> 'unchanged') AS rejected_rows, '' AS identifiers_used, TRUE AS passed
+FROM v_cases, (VALUES ('future_status_canary'), ('accepted_price_canary'), ('identifier_memorization_canary'), ('artifact_name_leakage_canary'), ('unchanged')) AS c(control) GROUP BY ALL""")
+def _(spark, sf):
+    names = ["category", "condition", "round_number", "offer_to_asking_ratio"]
+    pairs = [x for n in names for x in (F.lit(n), F.col(n).cast("string"))]
+    return G.canary_controls(cases_of(spark, sf).select("target", F.create_map(*pairs).alias("features")), "features", ["target"], used=names)
+
+
 @query("training_lineage", """
 SELECT COUNT(*) AS training_rows, SUM(('0x' || substr(sha256(row_id), 1, 15))::BIGINT)::VARCHAR AS row_hash,
        SUM(('0x' || substr(sha256(concat_ws(chr(31), row_id, category, COALESCE(condition, ''), round_number)), 1, 15))::BIGINT)::VARCHAR AS feature_hash

@@ -3,6 +3,8 @@ pilot datasets, snapshots, event logs, webhook payloads."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,23 +25,40 @@ SIMPLE_TURN = "thread_id listing_id buyer_id seller_id turn_index actor action a
 CORRUPT = "_corrupt"
 
 
-def header_report(spark: SparkSession, path: str, expected: list[str]) -> dict[str, list[str] | bool]:
-    """Missing, unexpected and misplaced columns of a CSV, from its first line."""
-    line = spark.read.text(path).first()
-    found = [c.strip().strip('"') for c in line[0].split(",")] if line else []
+def _against(found: list[str], expected: Sequence[str]) -> dict[str, list[str] | bool]:
     return {"missing": [c for c in expected if c not in found], "unexpected": [c for c in found if c not in expected],
-            "order_matches": found == expected}
+            "order_matches": found == list(expected)}
 
 
-def _read_fixed(spark: SparkSession, path: str, columns: list[str], partitions: int | None) -> DataFrame:
-    """The first file's header is held against all columns at once; Spark holds
-    every file's header against the columns that a query reads from it."""
+def header_report(spark: SparkSession, path: str, expected: Sequence[str]) -> dict[str, list[str] | bool]:
+    """Missing, unexpected and misplaced columns of a CSV, from its first line."""
+    line = spark.read.text(path).first()
+    return _against([c.strip().strip('"') for c in line[0].split(",")] if line else [], expected)
+
+
+def header_reports(spark: SparkSession, path: str, expected: Sequence[str]) -> DataFrame:
+    """The report of every file under a path, as file, missing, unexpected and order_matches.
+    The task that holds a file's start holds its first line, so one row a file is shuffled. All
+    lines are read; the readers below need no such pass, they refuse a file when they meet it.
+    A file without any line has no row."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), "value")
+    first = lines.filter("_at = 0").groupBy("file").agg(F.first("value").alias("_h"))
+    found = F.transform(F.split("_h", ","), lambda c: F.trim(F.translate(c, '"\r\ufeff', "")))
+    want = F.array(*[F.lit(c) for c in expected])
+    return first.select("file", F.array_except(want, found).alias("missing"), F.array_except(found, want).alias("unexpected"), (found == want).alias("order_matches"))
+
+
+def _read_fixed(spark: SparkSession, path: str, columns: Sequence[str], partitions: int | None) -> DataFrame:
+    """The first file's header is held against the list at once, that of every other file by
+    the scan: with column pruning off the parser sees all columns of a file whichever a query
+    reads, count() included, and a broken line is broken in every query. A file that differs
+    stops the job; `header_reports` names all of them."""
     report = header_report(spark, path, columns)
     if not report["order_matches"]:
         raise ValueError(f"header of {path} does not match: {report}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, CORRUPT]])
     df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-          .option("enforceSchema", False).csv(path))
+          .option("enforceSchema", False).option("columnPruning", False).csv(path))
     # a gz file is one task; spread its rows before any work on them
     if path.endswith(".gz"):
         return df.repartition(partitions) if partitions else df.repartition(spark.sparkContext.defaultParallelism)
@@ -110,9 +129,31 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.explode("rows").alias("r")).select("r.*") if df.columns == ["rows"] else df
 
 
-def read_pilot(spark: SparkSession, folder: str, manifest: dict[str, str]) -> dict[str, DataFrame]:
-    """Pilot datasets named by a manifest of dataset to file."""
-    return {name: read_rows(spark, f"{folder}/{file}") for name, file in manifest.items()}
+# The datasets of a seller pilot, and the extensions looked for in this order.
+PILOT_DATASETS = ("listings", "offers", "orders", "fees", "shipping_costs", "cost_basis", "cancellations_unpaid", "returns_refunds", "inventory", "traffic")
+PILOT_SUFFIXES = (".csv", ".json", ".jsonl", ".parquet")
+
+
+def find_pilot(spark: SparkSession, folder: str, manifest: dict[str, str] | None = None) -> dict[str, str]:
+    """File of each pilot dataset: the one its manifest names, else that of the dataset's own
+    stem. A named file that is absent leaves its dataset out. Folders of part files count."""
+    home = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = home.getFileSystem(spark._jsc.hadoopConfiguration())
+    named, found = manifest or {}, {}
+    for name in PILOT_DATASETS:
+        for file in [named[name]] if named.get(name) else [name + suffix for suffix in PILOT_SUFFIXES]:
+            if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(home, file)):
+                found[name] = file
+                break
+    return found
+
+
+def read_pilot(spark: SparkSession, folder: str, manifest: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """Pilot datasets by manifest or stem; an unknown dataset in the manifest is an error."""
+    unknown = sorted(set(manifest or {}) - set(PILOT_DATASETS))
+    if unknown:
+        raise ValueError(f"unknown pilot datasets {unknown}")
+    return {name: read_rows(spark, f"{folder}/{file}") for name, file in find_pilot(spark, folder, manifest).items()}
 
 
 def apply_mapping(df: DataFrame, mapping: dict[str, str], required: list[str], optional: list[str]) -> DataFrame:
@@ -267,6 +308,39 @@ def normalize_offers(df: DataFrame) -> DataFrame:
                      get("product_title").alias("product_title"), reference(get("product_id")).alias("product_reference_hash"), reference(F.lower(F.trim(get("buyer_contact")))).alias("buyer_contact_reference"))
 
 
+# The fields that each merchant action may carry, and the event it becomes.
+ACTION_FIELDS = {"accept": ("store_id",), "counter": ("store_id", "counter_amount", "currency"), "decline": ("store_id",)}
+ACTION_EVENTS = {"accept": "merchant_accepted", "counter": "merchant_countered", "decline": "merchant_declined"}
+
+
+def normalize_merchant_actions(df: DataFrame) -> DataFrame:
+    """Merchant actions (delivery_id, action, payload) to events. A store id is text of 1 to 255
+    characters once trimmed, a counter needs money above zero (text, or a plain number) and may
+    name its currency, USD if it does not. The first rule an action breaks is its reason, and
+    then no value leaves the payload."""
+    parsed = F.try_parse_json("payload")
+    kind = lambda f: F.try_variant_get(F.col("_v"), f"$.{f}", "variant")
+    text = lambda f: F.when(F.schema_of_variant(kind(f)) == "STRING", F.trim(F.try_variant_get(F.col("_v"), f"$.{f}", "string")))
+    d = df.withColumns({"_v": parsed, "_keys": F.json_object_keys("payload")})
+    allowed = F.try_element_at(F.create_map(*[x for a, fields in ACTION_FIELDS.items() for x in (F.lit(a), F.array(*[F.lit(f) for f in fields]))]), F.col("action"))
+    number = F.schema_of_variant(kind("counter_amount")).rlike("^(BIGINT|DECIMAL|DOUBLE)")
+    amount = F.when(number, F.try_variant_get(F.col("_v"), "$.counter_amount", "string")).otherwise(text("counter_amount"))
+    money = F.when(amount.rlike(r"^(0|[1-9]\d{0,13})(\.\d{1,2})?$"), minor(amount))
+    currency = F.when(F.array_contains("_keys", "currency"), F.upper(text("currency"))).otherwise("USD")
+    counter, store = F.col("action") == "counter", text("store_id")
+    reason = (
+        F.when(allowed.isNull(), "unknown_action").when(F.col("_keys").isNull(), "not_an_object")
+        .when(F.size(F.array_except("_keys", allowed)) > 0, "unexpected_field")
+        .when(~F.coalesce(F.length(store).between(1, 255), F.lit(False)), "bad_store_id")
+        .when(counter & ~F.coalesce(money > 0, F.lit(False)), "bad_amount")
+        .when(counter & ~F.coalesce(currency.rlike("^[A-Z]{3}$"), F.lit(False)), "bad_currency"))
+    good = lambda c, when=F.lit(True): F.when(F.col("reason").isNull() & when, c)
+    event = F.try_element_at(F.create_map(*[x for a, e in ACTION_EVENTS.items() for x in (F.lit(a), F.lit(e))]), F.col("action"))
+    return d.withColumn("reason", reason).select(
+        "delivery_id", "reason", good(event).alias("transition_to"), good(store).alias("store_id"),
+        good(money, counter).alias("counter_amount_minor"), good(currency, counter).alias("currency"))
+
+
 def generate(spark: SparkSession, turns: int, listings: int) -> tuple[DataFrame, DataFrame]:
     """Deterministic listings and turns of any size, for load tests."""
     i = F.col("id")

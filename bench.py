@@ -7,6 +7,8 @@ import os
 import time
 
 from haggle.plans import QUERIES
+from haggle.plans.cleaning import staged_threads
+from haggle.plans.learning import cases_of
 from haggle.session import get_session
 
 HEADLINE = [
@@ -24,6 +26,12 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     # the first job pays for starting the engine
     QUERIES["price_histogram"].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
+    # inputs that the queries read and a user would have: the text source and the case table
+    staging = {}
+    for name, stage in (("threads_csv", staged_threads), ("cases", cases_of)):
+        start = time.perf_counter()
+        stage(spark, sf_dir)
+        staging[name] = round(time.perf_counter() - start, 3)
     took = {}
     for name in HEADLINE:
         start = time.perf_counter()
@@ -31,7 +39,7 @@ def main() -> None:
         took[name] = round(time.perf_counter() - start, 3)
     turns = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     io = took["normalize_turns"] + took["linked_listings"]
-    print(json.dumps({"metric": "headline queries, total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took,
+    print(json.dumps({"metric": "headline queries, total", "value": round(sum(took.values()) + sum(staging.values()), 3), "unit": "sec", "queries": took, "staging": staging,
                       "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "normalise_and_membership_turns_per_sec": round(turns / io)}))
     spark.stop()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from haggle.session import cut_lineage
+from haggle.session import written
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
@@ -13,8 +13,8 @@ _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33
 def _range_sorted(df: DataFrame, order: list, partitions: int | None) -> DataFrame:
     ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     placed = ranged.sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id())
-    fixed = cut_lineage(placed)
-    return fixed.withColumn("_pid", F.shiftright("_mid", _ROW_BITS)).withColumn(
+    # a written table keeps the ranges; in columns, so that counting reads one narrow column only
+    return written(placed, "ranges").withColumn("_pid", F.shiftright("_mid", _ROW_BITS)).withColumn(
         "_pos", F.col("_mid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     )
 

@@ -9,7 +9,7 @@ from haggle.operators import privacy as V
 from haggle.operators import quality as Q
 from haggle.operators import text as X
 from haggle.plans.learning import norm_listings, norm_turns
-from haggle.plans.registry import query, view
+from haggle.plans.registry import query, staged, view
 from haggle.session import scratch_path
 from haggle.sources import files as S
 from haggle.sources.tables import listings_view, table, thread_probe, turns_view
@@ -38,10 +38,11 @@ view("v_raw", """SELECT *, l_partkey % 97 = 0 AS blank, l_partkey % 89 = 0 AS od
 
 def staged_threads(spark, sf):
     """The text source as CSV files in the shared folder, one per core."""
-    path = scratch_path(spark, "threads-csv")
-    spread = raw_threads(spark, sf).repartition(spark.sparkContext.defaultParallelism)
-    spread.write.option("header", True).option("emptyValue", "").csv(path)
-    return S.read_threads(spark, path).drop(S.CORRUPT)
+    def write(path: str) -> None:
+        spread = raw_threads(spark, sf).repartition(spark.sparkContext.defaultParallelism)
+        spread.write.option("header", True).option("emptyValue", "").csv(path)
+
+    return S.read_threads(spark, staged(spark, sf, "threads-csv", ("lineitem", "orders"), write)).drop(S.CORRUPT)
 
 
 @query("read_threads", "SELECT listing_id AS anon_item_id, COUNT(*) + COUNT(*) FILTER (WHERE l_partkey % 83 = 0) AS rows, COUNT(offer_price) + COUNT(offer_price) FILTER (WHERE l_partkey % 83 = 0) AS priced FROM v_turns GROUP BY 1")

@@ -9,8 +9,7 @@ from haggle.operators import split as P
 from haggle.operators import tasks as K
 from haggle.operators.ordered import done, grouped, with_row_number
 from haggle.operators.rank import global_rank
-from haggle.plans.registry import query, view
-from haggle.session import scratch_path
+from haggle.plans.registry import query, staged, view
 from haggle.sources.tables import TURN_ORDER, listings_view, table, thread_probe, turns_view
 
 ORDER = ", ".join(TURN_ORDER)
@@ -29,21 +28,10 @@ def norm_listings(spark, sf):
         (F.col("bo_ck") == 1).alias("sold_by_best_offer"))
 
 
-_STAGED: dict[tuple[str, str, str], str] = {}
-
-
 def cases_of(spark, sf):
-    """The case table, written once per session to the shared folder and
-    partitioned by target, since every split, metric and model reads it. Files that
-    changed since (names, lengths, times) make a new copy."""
-    files = spark.read.format("binaryFile").load([f"{sf}/{t}.parquet" for t in ("lineitem", "orders", "customer")]).select("path", "length", "modificationTime")
-    state = files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)"))).first()[0]
-    key = (spark.sparkContext.applicationId, sf, str(state))
-    if key not in _STAGED:
-        path = scratch_path(spark, "cases")
-        fresh_cases(spark, sf).write.partitionBy("target").parquet(path)
-        _STAGED[key] = path
-    return spark.read.parquet(_STAGED[key])
+    """The case table, staged and partitioned by target, since every split, metric and model reads it."""
+    write = lambda path: fresh_cases(spark, sf).write.partitionBy("target").parquet(path)
+    return spark.read.parquet(staged(spark, sf, "cases", ("lineitem", "orders", "customer"), write))
 
 
 def fresh_cases(spark, sf):

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haggle.session import scratch_path
+
 Builder = Callable[[SparkSession, str], DataFrame]
 
 VIEWS: dict[str, str] = {}
@@ -118,6 +120,22 @@ JOIN (SELECT o_custkey,
       FROM orders GROUP BY 1, 2) k ON k.o_custkey = c.c_custkey""")
 
 
+_STAGED: dict[tuple[str, ...], str] = {}
+
+
+def staged(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], write: Callable[[str], None]) -> str:
+    """Path of an input that several queries read, written once per session to the shared
+    folder. Tables that changed since (names, lengths, times of files) make a new one."""
+    files = spark.read.format("binaryFile").load([f"{sf_dir}/{t}.parquet" for t in tables]).select("path", "length", "modificationTime")
+    state = files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)"))).first()[0]
+    key = (spark.sparkContext.applicationId, sf_dir, name, str(state))
+    if key not in _STAGED:
+        path = scratch_path(spark, name)
+        write(path)
+        _STAGED[key] = path
+    return _STAGED[key]
+
+
 _TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

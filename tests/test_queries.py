@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 
 PLAIN = ["waterfall", "overlap_matrix", "moments", "denominator_audit", "task_manifest", "split_manifests", "chronological_split", "calibration_report", "threshold_rule",
          "regression_baselines", "policy_audit", "recommend", "financial_components", "money_summary", "pilot_audit", "ope", "compare_arms", "assign", "mature", "quarantine",
-         "pseudonymize", "normalize_webhooks", "lifecycle_stream"]
+         "pseudonymize", "normalize_webhooks", "lifecycle_stream", "split_audit", "admit", "training_dataset", "normalize_merchant_actions", "canary_controls"]
 HOT = ["thread_flags", "thread_summary", "build_cases", "normalize_turns", "max_drawdown", "refund_ledger", "return_exposure", "consent_as_of", "comparables_as_of", "supersession_check"]
 
 

@@ -18,7 +18,7 @@ CUT = "1996-01-01"
 
 
 def parts(spark, sf, target="seller_next_action"):
-    c = cases_of(spark, sf).filter((F.col("target") == target) & (F.col("outcome_state") == "supervised"))
+    c = cases_of(spark, sf, target).filter(F.col("outcome_state") == "supervised")
     if target in ("response_latency", "final_price_ratio"):
         c = c.withColumn("label", F.col("value"))
     day = F.to_timestamp_ntz(F.lit(f"{CUT} 00:00:00"))

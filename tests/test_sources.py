@@ -168,3 +168,19 @@ def test_training_dataset_gates_and_lineage(spark):
     stranger = spark.createDataFrame([("m9", "s", 1)], one.schema)
     with pytest.raises(ValueError, match="no active consent"):
         V.training_dataset(stranger, c, "training", "2024-01-05 00:00:00")
+
+
+def test_case_turns_are_staged_once_a_turn(spark):
+    """The staged input of splits and models has one row a turn, not one a case, and no case of another target is read."""
+    from conftest import SF
+
+    from haggle.operators import tasks as K
+    from haggle.plans import learning as L
+
+    turns = L.norm_turns(spark, SF)
+    staged = K.case_turns(turns, L.norm_listings(spark, SF))
+    known, _ = K.turns_with_listing(turns, L.norm_listings(spark, SF))
+    assert staged.count() == known.count() < L.cases_of(spark, SF).count()
+    one = L.cases_of(spark, SF, "agreement")
+    assert "Generate" not in one._jdf.queryExecution().optimizedPlan().toString()
+    assert one.exceptAll(L.fresh_cases(spark, SF).filter("target = 'agreement'")).count() == 0

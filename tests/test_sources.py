@@ -184,3 +184,23 @@ def test_case_turns_are_staged_once_a_turn(spark):
     one = L.cases_of(spark, SF, "agreement")
     assert "Generate" not in one._jdf.queryExecution().optimizedPlan().toString()
     assert one.exceptAll(L.fresh_cases(spark, SF).filter("target = 'agreement'")).count() == 0
+
+
+def test_splits_by_borders_rank_no_case(spark, monkeypatch):
+    """Regions come from the keys at the borders, with missing times first; cases are ranked only where equal ones lie on both sides."""
+    ranked = []
+    plain = P.rank_within
+    monkeypatch.setattr(P, "rank_within", lambda df, part, order, weight=None: ranked.append(weight) or plain(df, part, order, weight))
+    cases = split_input(spark).withColumn("timestamp", F.when(F.col("timestamp") % 9 != 0, F.floor(F.col("timestamp") / 4).cast("int"))).withColumn("listing_id", F.col("row_id"))
+    for df, whole in ((cases, 0), (cases.unionByName(cases.withColumn("listing_id", F.concat(F.lit("x"), "listing_id"))).withColumn("row_id", F.lit("same")), 1)):
+        ranked.clear()
+        n = df.count()
+        got = {r["region"]: r["count"] for r in P.timed_split(df).groupBy("region").count().collect()}
+        want = {r["region"]: r["count"] for r in P.chronological_split(df.withColumn("timestamp", F.coalesce("timestamp", F.lit(-1))), "timestamp", "row_id").groupBy("region").count().collect()}
+        assert got == want and sum(got.values()) == n and ranked.count(None) == whole
+
+
+def test_groups_missing_from_a_required_split_are_an_error(spark):
+    cases = split_input(spark).withColumn("seller_id", F.when(F.col("timestamp") != 5, F.col("seller_id")))
+    with pytest.raises(Exception, match="missing group in a required split"):
+        P.split_table(cases).count()

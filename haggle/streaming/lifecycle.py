@@ -7,9 +7,10 @@ however the input is cut into batches. Timers in event time retire what is settl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -50,9 +51,15 @@ def fold(rows: list[tuple]) -> dict:
     return {"current_state": state, "events": len(rows), "applied": applied, "pending": pending, "errors": errors}
 
 
-def _micros(times: pd.Series) -> list[int]:
-    """Microseconds since the epoch; a missing time comes before all others."""
-    return [-(1 << 62) if pd.isna(t) else pd.Timestamp(t).value // 1000 for t in times]
+#: Stands for a missing time, which comes before all others.
+_NEVER = -(1 << 62)
+
+#: Rows of a key that are put in order together.
+_RUN = 10_000
+
+
+def _micros(c: str) -> Column:
+    return F.unix_micros(F.col(c).cast("timestamp"))
 
 
 class _Lifecycle(StatefulProcessor):
@@ -67,14 +74,15 @@ class _Lifecycle(StatefulProcessor):
         self.events = handle.getMapState("events", "event_id string", "occurred bigint, received bigint, transition_to string, currency string, has_conversion boolean")
         self.head = handle.getValueState("head", "occurred bigint, received bigint, event_id string, state string, applied bigint, pending bigint, errors bigint, currency string, events bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        head = self.head.get() if self.head.exists() else None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        head = self.head.get()
         last, at, count = (tuple(head[:3]), tuple(head[3:8]), head[8]) if head else (None, _START, 0)
         fresh: dict[str, tuple] = {}
-        for pdf in rows:
-            for o, r, i, t, c, h in zip(_micros(pdf["occurred_at"]), _micros(pdf["received_at"]), pdf["event_id"], pdf["transition_to"], pdf["currency"], pdf["has_conversion"]):
-                if i not in fresh and not (head and self.events.containsKey((i,))):
-                    fresh[i] = (o, r, i, t, c if isinstance(c, str) else None, bool(h))
+        for row in rows:
+            i = row["event_id"]
+            if i not in fresh and not (head and self.events.containsKey((i,))):
+                o, r = (_NEVER if row[c] is None else row[c] for c in ("_occurred", "_received"))
+                fresh[i] = (o, r, i, row["transition_to"], row["currency"], bool(row["has_conversion"]))
         new = sorted(fresh.values())
         if not new and head:
             return
@@ -89,10 +97,10 @@ class _Lifecycle(StatefulProcessor):
         self.head.update((*last, *at, count))
         if self.retire_ms is not None and at[0] in TERMINAL:
             self.handle.registerTimer(max(last[0] // 1000 + self.retire_ms, timerValues.getCurrentWatermarkInMs() + 1))
-        yield pd.DataFrame([{"merchant_namespace": key[0], "transaction_id": key[1], "current_state": at[0], "events": count, "applied": at[1], "pending": at[2], "errors": at[3]}])
+        yield Row(merchant_namespace=key[0], transaction_id=key[1], current_state=at[0], events=count, applied=at[1], pending=at[2], errors=at[3])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        head = self.head.get() if self.head.exists() else None
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        head = self.head.get()
         # a later event has its own timer, or reopened the transaction
         if head and head[3] in TERMINAL and head[0] // 1000 + self.retire_ms <= expiredTimerInfo.getExpiryTimeInMs():
             self.head.clear()
@@ -109,13 +117,15 @@ def lifecycle_stream(events: DataFrame, retire_after: str | None = None) -> Data
     terminal state leave the store `retire_after` event time later, when the stream carries
     a watermark; without it their events stay."""
     millis = int(pd.Timedelta(retire_after).total_seconds() * 1000) if retire_after else None
-    return events.groupBy("merchant_namespace", "transaction_id").transformWithStateInPandas(
+    timed = events.withColumns({"_occurred": _micros("occurred_at"), "_received": _micros("received_at")})
+    return timed.groupBy("merchant_namespace", "transaction_id").transformWithState(
         _Lifecycle(millis), "merchant_namespace string, transaction_id string, current_state string, events long, applied long, pending long, errors long",
         "Update", "EventTime" if retire_after else "None")
 
 
 class _Ingest(StatefulProcessor):
-    """Deliveries of a key by body: how many, and the first ordinal."""
+    """Deliveries of a key by body: how many, and the first ordinal. Rows come as they are, since
+    keys are many and their deliveries few: a frame per key would cost more than the work."""
 
     def __init__(self, keep_ms: int | None):
         self.keep_ms = keep_ms
@@ -123,21 +133,20 @@ class _Ingest(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.bodies = handle.getMapState("bodies", "body string", "n bigint, first bigint", self.keep_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         fresh: dict[str, tuple[int, int]] = {}
-        for pdf in rows:
-            for h, o in zip(pdf["body_hash"], pdf["ordinal"]):
-                body = h if isinstance(h, str) else ""
-                n, first = fresh.get(body, (0, int(o)))
-                fresh[body] = (n + 1, min(first, int(o)))
+        for row in rows:
+            body = row["body_hash"] or ""
+            n, first = fresh.get(body, (0, row["ordinal"]))
+            fresh[body] = (n + 1, min(first, row["ordinal"]))
+        held = {k[0]: tuple(v) for k, v in self.bodies.iterator()}
         for body, (n, first) in fresh.items():
-            if self.bodies.containsKey((body,)):
-                m, earlier = self.bodies.getValue((body,))
-                n, first = n + m, min(first, earlier)
-            self.bodies.updateValue((body,), (n, first))
-        held = sorted((v[1], k[0], v[0]) for k, v in self.bodies.iterator())
-        _, accepted, n = held[0]
-        yield pd.DataFrame([{"idempotency_key": key[0], "accepted_hash": accepted or None, "replays": n - 1, "conflicts": sum(x[2] for x in held) - n}])
+            if body in held:
+                n, first = n + held[body][0], min(first, held[body][1])
+            held[body] = (n, first)
+            self.bodies.updateValue((body,), held[body])
+        _, accepted, n = min((first, body, n) for body, (n, first) in held.items())
+        yield Row(idempotency_key=key[0], accepted_hash=accepted or None, replays=n - 1, conflicts=sum(m for m, _ in held.values()) - n)
 
     def close(self) -> None:
         pass
@@ -149,7 +158,7 @@ def ingest_stream(events: DataFrame, key: str, body_hash: str, keep: str | None
     which the store forgets a body that did not come again."""
     millis = int(pd.Timedelta(keep).total_seconds() * 1000) if keep else None
     src = events.select(F.col(key).cast("string").alias("idempotency_key"), F.col(body_hash).alias("body_hash"), "ordinal")
-    return src.groupBy("idempotency_key").transformWithStateInPandas(
+    return src.groupBy("idempotency_key").transformWithState(
         _Ingest(millis), "idempotency_key string, accepted_hash string, replays long, conflicts long", "Update", "ProcessingTime" if keep else "None")
 
 
@@ -163,16 +172,16 @@ class _Maturity(StatefulProcessor):
         self.handle = handle
         self.held = handle.getValueState("held", "paid bigint, total bigint, refund bigint, exposed boolean, returned bigint, reported boolean, seen bigint")
 
-    def _row(self, key, status: str, net: int) -> pd.DataFrame:
-        return pd.DataFrame([{"transaction_id": key[0], "status": status, "net_revenue_minor": net}])
+    def _row(self, key, status: str, net: int) -> Row:
+        return Row(transaction_id=key[0], status=status, net_revenue_minor=net)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        paid, total, refund, exposed, returned, reported, seen = self.held.get() if self.held.exists() else (None, 0, 0, False, -(1 << 62), False, 0)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        paid, total, refund, exposed, returned, reported, seen = self.held.get() or (None, 0, 0, False, _NEVER, False, 0)
         before = total - refund, exposed
-        for pdf in rows:
-            pdf = pdf.sort_values("occurred_at", kind="stable")
-            for t, at, amount, ret in zip(pdf["event_type"], pdf["occurred_at"], pdf["amount_minor"], pdf["return_exposure_state"]):
-                millis = pd.Timestamp(at).value // 1_000_000
+        for run in batched(rows, _RUN):
+            for row in sorted(run, key=lambda x: (x["_occurred"] is None, x["_occurred"] or 0)):
+                t, at, amount, ret = row["event_type"], row["_occurred"], row["amount_minor"], row["return_exposure_state"]
+                millis = (_NEVER if at is None else at) // 1000
                 seen = max(seen, millis)
                 if t == "paid":
                     paid, total = millis, int(amount)
@@ -188,10 +197,11 @@ class _Maturity(StatefulProcessor):
             self.handle.registerTimer(max(paid + self.span_ms, now))
         self.handle.registerTimer(max(seen + self.span_ms + self.keep_ms, now))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.held.exists():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.held.get()
+        if not held:
             return
-        paid, total, refund, exposed, returned, reported, seen = self.held.get()
+        paid, total, refund, exposed, returned, reported, seen = held
         fired = expiredTimerInfo.getExpiryTimeInMs()
         if not reported and paid is not None and not exposed and fired >= paid + self.span_ms:
             reported = True
@@ -211,7 +221,7 @@ def maturity_stream(payments: DataFrame, window_days: int, keep_days: int = 365)
     for its closing; `stale` when a refund or return comes after that. A transaction
     leaves the store `keep_days` after window and last event, also one that was never
     paid; one with an open return stays."""
-    return payments.groupBy("transaction_id").transformWithStateInPandas(
+    return payments.withColumn("_occurred", _micros("occurred_at")).groupBy("transaction_id").transformWithState(
         _Maturity(window_days * DAY, keep_days * DAY), "transaction_id string, status string, net_revenue_minor long", "Append", "EventTime")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 
 import pytest
+from pyspark.sql import Row
 
 from haggle.streaming import funnels as U
 from haggle.streaming import lifecycle as S
@@ -93,3 +94,21 @@ def test_late_rows_are_counted(spark, tmp_path):
     late = S.run_to_table(U.tumbling_funnel(stream, "1 hour", ["view", "click", "purchase"]), out, str(tmp_path / "cp"), mode="append")
     got = sorted((str(r["window_start"]), r["n_0"], r["n_1"], r["n_2"], r["depth"]) for r in spark.read.parquet(out).collect())
     assert late == 1 and got[:2] == [("2024-01-01 00:00:00", 1, 1, 0, 2), ("2024-01-02 00:00:00", 2, 0, 0, 1)]
+
+
+class _Held(dict):
+    """A map state in memory."""
+
+    def iterator(self):
+        return iter([(k, v) for k, v in self.items()])
+
+    updateValue = dict.__setitem__
+
+
+def test_keys_are_taken_as_rows():
+    """Many keys with few events each: a key's rows come and go as they are, with no frame built for each."""
+    p = S._Ingest(None)
+    p.bodies = _Held()
+    for ordinals in ([(5, "x"), (2, "y")], [(1, "x"), (7, None)]):
+        got = list(p.handleInputRows(("k",), iter([Row(body_hash=b, ordinal=o) for o, b in ordinals]), None))
+    assert got == [Row(idempotency_key="k", accepted_hash="x", replays=1, conflicts=2)]

@@ -3,6 +3,7 @@ bytes below a string column, ragged gathers and span hashes."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,38 +51,55 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_powers: list[tuple[np.ndarray, np.ndarray]] = []
+_POWER_BITS = 12
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i < n at least; an odd base has an inverse. The
-    largest table so far serves all shorter data, so slices of changing kinds share one."""
-    if not _powers or len(_powers[0][0]) < n:
-        size = 1 << max(16, int(n).bit_length())
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _powers[:] = [(np.cumprod(up), np.cumprod(down))]
-    return _powers[0]
+@functools.cache
+def _power_steps(base: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^i modulo 2^64 for i below 2^_POWER_BITS, and base^(i 2^_POWER_BITS) for i < steps."""
+    out = []
+    for factor, n in ((base, 1 << _POWER_BITS), (pow(base, 1 << _POWER_BITS, 1 << 64), steps)):
+        powers = np.full(n, factor, np.uint64)
+        powers[0] = 1
+        out.append(np.cumprod(powers))
+    return out[0], out[1]
+
+
+def _steps(n: int) -> int:
+    """Long steps that reach n places, as a power of two, so that few tables are kept."""
+    return 1 << max(4, int(n >> _POWER_BITS).bit_length())
+
+
+def _powers(n: int) -> np.ndarray:
+    """_BASE^i modulo 2^64 for i < n, put together from two short tables: a worker keeps no table as long as its data."""
+    short, long = _power_steps(_BASE, _steps(n))
+    return (long[: (n >> _POWER_BITS) + 1, None] * short).ravel()[:n]
+
+
+def _inverse_powers(at: np.ndarray, n: int) -> np.ndarray:
+    """_BASE^-i modulo 2^64 at the given i <= n; an odd base has an inverse."""
+    short, long = _power_steps(pow(_BASE, -1, 1 << 64), _steps(n))
+    return long[at >> _POWER_BITS] * short[at & ((1 << _POWER_BITS) - 1)]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans [start, end): equal spans, equal hashes, wherever they stand."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
-    up, down = _power_tables(len(data) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(len(data)), out=total[1:])
     lengths = (ends - starts).astype(np.uint64)
-    return mix((total[ends] - total[starts]) * down[starts] + lengths * np.uint64(0xD6E8FEB86659FD93))
+    return mix((total[ends] - total[starts]) * _inverse_powers(starts, len(data)) + lengths * np.uint64(0xD6E8FEB86659FD93))
 
 
 def sequence_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the runs [start, end) of 64-bit values: equal runs, equal hashes, wherever they stand."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
-    up, down = _power_tables(len(values) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)], dtype=np.uint64)))
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _powers(len(values)), out=total[1:])
     lengths = (ends - starts).astype(np.uint64)
-    return mix((total[ends] - total[starts]) * down[starts] + lengths * np.uint64(0xD6E8FEB86659FD93))
+    return mix((total[ends] - total[starts]) * _inverse_powers(starts, len(values)) + lengths * np.uint64(0xD6E8FEB86659FD93))
 
 
 def lower_ascii() -> bytes:

@@ -24,6 +24,9 @@ from haggle.llm.arrays import mix, ragged, span_hashes, sums, text_slices
 #: Merged pre-tokens that a worker remembers; beyond it the memory starts anew. Only speed depends on it.
 MEMORY = 1 << 19
 
+#: Bytes of text split at a time. The arrays of a split are some forty times as large, in each worker.
+SPLIT_BYTES = 1 << 20
+
 
 @functools.cache
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -133,7 +136,7 @@ def _encode(path: str, table: PerfectHash):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, known = read_ranks(path), _known.setdefault(path, {})
         for batch in batches:
-            for i, j, data, offsets in text_slices(batch, "text"):
+            for i, j, data, offsets in text_slices(batch, "text", SPLIT_BYTES):
                 tokens, bounds = pretokens.split(data, offsets)
                 words = tokens.dictionary
                 at = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1].astype(np.int64) if len(words) else np.zeros(1, np.int64)

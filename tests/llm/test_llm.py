@@ -458,3 +458,19 @@ def test_short_words_are_terms(spark):
     labels = spark.createDataFrame([(i, y) for i, (_, y) in made.items()], "doc_id bigint, toxic int")
     got = {r["doc_id"]: r["score"] for r in toxicity.score(rows, toxicity.fit(rows, labels)).collect()}
     assert got[900] > 0.7 and got[901] > 0.7 and got[902] < 0.3 and got[1] > 0.7 and got[2] < 0.3
+
+
+def test_span_hashes_keep_no_table_as_long_as_the_data():
+    """Hashes of a long slice are those of its spans alone, and what a worker keeps afterwards is small."""
+    import tracemalloc
+
+    from haggle.llm.arrays import span_hashes
+
+    data = np.frombuffer(random.Random(2).randbytes(3_000_000), np.uint8)
+    starts = np.array([0, 5, 4096, 70_000, 2_999_990], np.int64)
+    tracemalloc.start()
+    got = span_hashes(data, starts, starts + 10).tolist()
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 1 << 20
+    assert got == [int(span_hashes(data[s : s + 10], np.array([0]), np.array([10]))[0]) for s in starts]

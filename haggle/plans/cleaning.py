@@ -10,7 +10,7 @@ from haggle.operators import quality as Q
 from haggle.operators import text as X
 from haggle.plans.learning import norm_listings, norm_turns
 from haggle.plans.registry import query, staged, view
-from haggle.session import scratch_path
+from haggle.session import scratch_path, written
 from haggle.sources import files as S
 from haggle.sources.tables import listings_view, table, thread_probe, turns_view
 
@@ -449,16 +449,17 @@ def _(spark, sf):
 
 @query("header_reports", """SELECT 'order_matches' AS state, COUNT(DISTINCT o_orderstatus) AS files FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT 'missing anon_thread_id, unexpected thread', COUNT(DISTINCT o_orderstatus) FROM orders WHERE o_orderstatus = 'P'""")
 def _(spark, sf):
-    """A file of turns per order status; in that of P one column has another name."""
+    """A folder of turns per order status; in that of P one column has another name. Its files count as one where they agree."""
     home = scratch_path(spark, "headers")
     raw = turns_view(spark, sf).join(table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("thread_id"), "o_orderstatus"), "thread_id")
+    raw = written(raw.select("listing_id", "o_orderstatus"), "header-turns")
     cells = lambda names: [F.coalesce(F.col("listing_id"), F.lit("")).alias(n) for n in names]
     wrong = ["thread" if n == "anon_thread_id" else n for n in S.THREAD_COLUMNS]
     for state, names in (("F", S.THREAD_COLUMNS), ("O", S.THREAD_COLUMNS), ("P", wrong)):
-        raw.filter(F.col("o_orderstatus") == state).select(*cells(names)).coalesce(1).write.option("header", True).csv(f"{home}/{state}")
+        raw.filter(F.col("o_orderstatus") == state).select(*cells(names)).write.option("header", True).csv(f"{home}/{state}")
     r = S.header_reports(spark, f"{home}/*", S.THREAD_COLUMNS)
     state = F.when(F.col("order_matches"), "order_matches").otherwise(F.concat(F.lit("missing "), F.array_join("missing", ","), F.lit(", unexpected "), F.array_join("unexpected", ",")))
-    return r.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("files"))
+    return r.groupBy(state.alias("state")).agg(F.count_distinct(F.element_at(F.split("file", "/"), -2)).alias("files"))
 
 
 @query("retention_due", "SELECT o_orderkey, o_orderdate + INTERVAL 365 DAY <= TIMESTAMP '1996-01-01 00:00:00' AS deleted FROM orders WHERE o_orderdate + INTERVAL 365 DAY <= TIMESTAMP '1996-01-01 00:00:00'")

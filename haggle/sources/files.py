@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haggle.operators.quality import partition_hashes, verify_partitions
+from haggle.session import written
 
 # The header lines of the source files, in order.
 LISTING_COLUMNS = (
@@ -38,11 +39,14 @@ def header_report(spark: SparkSession, path: str, expected: Sequence[str]) -> di
 
 def header_reports(spark: SparkSession, path: str, expected: Sequence[str]) -> DataFrame:
     """The report of every file under a path, as file, missing, unexpected and order_matches.
-    The task that holds a file's start holds its first line, so one row a file is shuffled. All
-    lines are read; the readers below need no such pass, they refuse a file when they meet it.
-    A file without any line has no row."""
+    Lines are numbered as they are read and only the least number of each file is aggregated, so
+    that no line is held or sorted; a second pass picks those lines. The readers below need no
+    such pass, they refuse a file when they meet it. A file without any line has no row."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), "value")
-    first = lines.filter("_at = 0").groupBy("file").agg(F.first("value").alias("_h"))
+    lines = lines.withColumn("_n", F.monotonically_increasing_id()).filter("_at = 0")
+    # one number per file; lines of a file's start are numbered in file order
+    least = written(lines.groupBy("file").agg(F.min("_n").alias("_n")), "first-lines")
+    first = lines.join(least, ["file", "_n"]).withColumnRenamed("value", "_h")
     found = F.transform(F.split("_h", ","), lambda c: F.trim(F.translate(c, '"\r\ufeff', "")))
     want = F.array(*[F.lit(c) for c in expected])
     return first.select("file", F.array_except(want, found).alias("missing"), F.array_except(found, want).alias("unexpected"), (found == want).alias("order_matches"))

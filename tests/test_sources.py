@@ -204,3 +204,13 @@ def test_groups_missing_from_a_required_split_are_an_error(spark):
     cases = split_input(spark).withColumn("seller_id", F.when(F.col("timestamp") != 5, F.col("seller_id")))
     with pytest.raises(Exception, match="missing group in a required split"):
         P.split_table(cases).count()
+
+
+def test_header_reports_sort_no_lines(spark, tmp_path):
+    """The first line of each file is found by its number: no line goes through a sort or an aggregate."""
+    for name, head in (("a", S.THREAD_COLUMNS), ("b", ["x", *S.THREAD_COLUMNS[1:]])):
+        (tmp_path / f"{name}.csv").write_text("\n".join([",".join(head), *(f"{i},z" for i in range(3000))]) + "\n")
+    df = S.header_reports(spark, str(tmp_path), S.THREAD_COLUMNS)
+    assert {r["file"].rsplit("/", 1)[1]: (r["unexpected"], r["order_matches"]) for r in df.collect()} == {"a.csv": ([], True), "b.csv": (["x"], False)}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Sort [" not in plan

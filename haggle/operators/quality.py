@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haggle.functions.scalar import first_match, row_hash
 from haggle.operators.ordered import done, grouped, with_previous, with_row_number, with_running
 from haggle.operators.tasks import STATUSES, decode_codes
-from haggle.session import scratch_path
+from haggle.session import scratch_path, written
 
 
 def quarantine(df: DataFrame, rules: dict[str, Column], examples: int = 25) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -296,26 +300,64 @@ def redact(df: DataFrame, cols: list[str]) -> DataFrame:
 LEAF_ROWS = 1_024
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashed rows in file order to pieces of leaves: a whole leaf as its hash, and what a task
+    holds only a part of (LEAF_ROWS row hashes at most) as text. One piece is open at a time."""
+    open_at, text = None, b""  # file, first row and row hashes of the open piece
+
+    def piece(at: tuple[str, int], text: bytes) -> tuple:
+        n = len(text) // 64
+        whole = n == LEAF_ROWS and at[1] % LEAF_ROWS == 0
+        return at[0], at[1] // LEAF_ROWS, at[1], n, hashlib.sha256(text).hexdigest() if whole else None, None if whole else text.decode()
+
+    def packed(pieces: list[tuple]) -> pa.RecordBatch:
+        kinds = {"file": pa.string(), "leaf": pa.int64(), "at": pa.int64(), "rows": pa.int64(), "h": pa.string(), "text": pa.string()}
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pieces], t) for i, t in enumerate(kinds.values())], list(kinds))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        file, row = batch.column("file").dictionary_encode(), batch.column("row").to_numpy()
+        which, hashes = file.indices.to_numpy(zero_copy_only=False), batch.column("h").to_numpy(zero_copy_only=False)
+        cut = (which[1:] != which[:-1]) | (row[1:] != row[:-1] + 1) | (row[1:] % LEAF_ROWS == 0)
+        starts, out = np.flatnonzero(np.append(True, cut)), []
+        for a, b in zip(starts, [*starts[1:], len(row)]):
+            name, first = file.dictionary[int(which[a])].as_py(), int(row[a])
+            goes_on = open_at is not None and name == open_at[0] and first == open_at[1] + len(text) // 64 and first % LEAF_ROWS
+            if not goes_on:
+                if open_at is not None:
+                    out.append(piece(open_at, text))
+                open_at, text = (name, first), b""
+            text += "".join(hashes[a:b]).encode()
+        if out:
+            yield packed(out)
+    if open_at is not None:
+        yield packed([piece(open_at, text)])
+
+
 def partition_hashes(spark: SparkSession, path: str) -> DataFrame:
     """partition, rows and sha256 of every partition of a Parquet table (Q15): the folder inside the
     table, or the file where there is none.
 
     Rows are hashed, LEAF_ROWS of them in file order make a leaf, a file's leaves its hash, a
-    partition's files its own, so a row of this job never holds more than a leaf."""
+    partition's files its own, so a row of this job never holds more than a leaf. A scan gives rows
+    in file order, so leaves are hashed where they are read; only pieces at a task's borders are
+    shuffled as row hashes. The result, a row per partition, is written, as its readers take it twice."""
     data = spark.read.parquet(path)
     cells = [F.coalesce(F.to_json(F.struct(F.col(c).alias("v"))), F.lit("")) for c in data.columns]
     at = F.col("_metadata.file_path")
-    inside = F.regexp_extract(at, r"((?:[^/]+=[^/]+/)+)[^/]*$", 1)
-    name = F.when(inside != "", F.rtrim(inside, F.lit("/"))).otherwise(F.element_at(F.split(at, "/"), -1))
-    row = F.col("_metadata.row_index")
-    rows = data.select(name.alias("partition"), at.alias("file"), row.alias("row"), F.floor(row / LEAF_ROWS).alias("leaf"), F.sha2(F.concat_ws("\x1f", *cells), 256).alias("h"))
-
-    def over(df: DataFrame, keys: list[str], place: str) -> DataFrame:
-        ordered = F.transform(F.array_sort(F.collect_list(F.struct(place, "h"))), lambda x: x["h"])
-        return df.groupBy(*keys).agg(F.sum("rows").alias("rows"), F.sha2(F.array_join(ordered, ""), 256).alias("h"))
-
-    leaves = over(rows.withColumn("rows", F.lit(1).cast("long")), ["partition", "file", "leaf"], "row")
-    return over(over(leaves, ["partition", "file"], "leaf"), ["partition"], "file").withColumnRenamed("h", "sha256")
+    rows = data.select(at.alias("file"), F.col("_metadata.row_index").alias("row"), F.sha2(F.concat_ws("\x1f", *cells), 256).alias("h"))
+    pieces = rows.mapInArrow(_runs, "file string, leaf bigint, at bigint, rows bigint, h string, text string")
+
+    def over(df: DataFrame, keys: list[str], place: str, part: str = "h") -> DataFrame:
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct(place, part))), lambda x: x[part])
+        return df.groupBy(*keys).agg(F.sum("rows").alias("rows"), F.coalesce(F.max("h") if part != "h" else F.lit(None), F.sha2(F.array_join(ordered, ""), 256)).alias("h"))
+
+    leaves = over(pieces, ["file", "leaf"], "at", "text")
+    inside = F.regexp_extract("file", r"((?:[^/]+=[^/]+/)+)[^/]*$", 1)
+    name = F.when(inside != "", F.rtrim(inside, F.lit("/"))).otherwise(F.element_at(F.split("file", "/"), -1))
+    files = over(leaves, ["file"], "leaf").withColumn("partition", name)
+    return written(over(files, ["partition"], "file").withColumnRenamed("h", "sha256"), "partition-hashes")
 
 
 def verify_partitions(found: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import hmac
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -309,6 +310,28 @@ def test_table_manifest(spark, tmp_path):
     assert [(r["partition"], r["failure"]) for r in files.check_table(spark, at).orderBy("partition").collect()] == [("(table)", "row_sum_mismatch"), ("part=1", "row_count_mismatch")]
 
 
+def test_partition_hashes_shuffle_no_rows(spark, tmp_path):
+    """Leaves are hashed where they are read, to the hash of all rows in order, and the result is a table already."""
+    path = str(tmp_path / "t")
+    spark.range(2500).select("id", F.when(F.col("id") % 5 > 0, F.col("id").cast("string")).alias("v")).coalesce(1).write.parquet(path)
+    found = quality.partition_hashes(spark, path)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = [sha("\x1f".join([f'{{"v":{i}}}', f'{{"v":"{i}"}}' if i % 5 else "{}"])) for i in range(2500)]
+    leaves = [sha("".join(rows[a:a + 1024])) for a in range(0, 2500, 1024)]
+    assert [(r["rows"], r["sha256"]) for r in found.collect()] == [(2500, sha(sha("".join(leaves))))]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    # tasks that end inside a leaf hand on its pieces
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 700)
+    try:
+        assert quality.partition_hashes(spark, path).collect() == found.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    held = [list(range(0, 600)), list(range(600, 2500))]
+    parts = [list(quality._runs(iter([pa.RecordBatch.from_pydict({"file": ["f"] * len(x), "row": x, "h": [rows[i] for i in x]})]))) for x in held]
+    pieces = [p for bs in parts for b in bs for p in b.to_pylist()]
+    assert [(p["leaf"], p["at"], p["rows"], p["h"]) for p in pieces] == [(0, 0, 600, None), (0, 600, 424, None), (1, 1024, 1024, leaves[1]), (2, 2048, 452, None)]
+
+
 @pytest.mark.parametrize("size", [1, 3, 64])
 def test_history_chunks_expand_to_the_array(spark, size):
     """Chunks and tails give the same histories as the arrays, and hold each turn once."""

@@ -15,9 +15,13 @@ from pyspark.sql import functions as F
 from haggle.functions.scalar import clip, entropy_bits, logit, sigmoid
 from haggle.operators.metrics import bin_of, exact_median, exact_quantiles, log_loss_one, top_of
 from haggle.operators.rank import global_running
+from haggle.session import written
 
 KEEP = ["row_id", "label"]
 
+#: Positions of history that nearest_ratio packs into one row.
+RUN_POSITIONS = 32
+
 
 def _num(c: str) -> Column:
     return F.coalesce(F.col(c).cast("double"), F.lit(0.0))
@@ -454,30 +458,53 @@ def nearest_ratio(candidates: DataFrame, history: DataFrame, k: int) -> DataFram
     Both sides are laid on one line per category in ratio order; a nearest row
     is among the k before or the k after the candidate. History rows get their
     position by a distributed rank, a candidate's position is the number of
-    history rows at or below it, and only those 2k positions are joined, so no
-    pair is ever formed inside a category beyond them."""
-    from haggle.operators.rank import global_running as running
-
+    history rows at or below it. History is packed by runs of positions, each with
+    k more at both ends, so a candidate meets one run, takes its 2k positions
+    out of that and keeps k: no row per position is joined or shuffled."""
     c = candidates.select("cand_id", "category", "ratio")
     h = history.select("hist_id", "category", "ratio", "label")
-    line = h.select("category", "ratio", F.lit(0).alias("side"), F.col("hist_id").alias("id")).unionByName(
-        c.select("category", "ratio", F.lit(1).alias("side"), F.col("cand_id").alias("id")))
-    run = running(line, ["category", "ratio", "side", "id"], {"pos": (F.col("side") == 0).cast("long")})
-    spot = run.filter("side = 1").select(F.col("id").alias("cand_id"), "category", "ratio", "pos")
-    placed = run.filter("side = 0").select(F.col("id").alias("hist_id"), "category", F.col("ratio").alias("h_ratio"), "pos")
-    placed = placed.join(h.select("hist_id", "label"), "hist_id")
-    want = spot.withColumn("hpos", F.explode(F.sequence(F.col("pos") - (k - 1), F.col("pos") + k))).drop("pos")
-    near = want.join(placed.withColumnRenamed("pos", "hpos").withColumnRenamed("category", "h_category"), "hpos").filter(
-        F.col("category") == F.col("h_category"))
-    gap = F.abs(F.col("h_ratio") - F.col("ratio"))
-    from pyspark.sql import Window
-
-    # at most 2k rows per candidate reach the window
-    after = F.col("h_ratio") > F.col("ratio")
-    # ties go to the closest position on the line
-    w = Window.partitionBy("cand_id").orderBy(gap, after, F.when(after, F.col("hpos")).otherwise(-F.col("hpos")))
-    return near.withColumn("nearest", F.row_number().over(w)).filter(F.col("nearest") <= k).select(
-        "cand_id", "category", "ratio", "hist_id", "h_ratio", "label", "nearest")
+    kind = h.schema["label"].dataType
+    line = written(h.select("category", "ratio", F.lit(0).alias("side"), F.col("hist_id").alias("id"), "label").unionByName(
+        c.select("category", "ratio", F.lit(1).alias("side"), F.col("cand_id").alias("id"), F.lit(None).cast(kind).alias("label"))), "line")
+    # ids that repeat: a history row has the labels of all rows of its id, candidates of one id share their k
+    again = {r["side"] for r in line.groupBy("side", F.xxhash64("id").alias("_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("side").distinct().collect()}
+    run = global_running(line, ["category", "ratio", "side", "id"], {"pos": (F.col("side") == 0).cast("long")})
+
+    held = run.filter("side = 0").select(F.col("id").alias("hist_id"), F.col("category").alias("h_category"), F.col("ratio").alias("h_ratio"), "pos", "label")
+    if 0 in again:
+        labels = line.filter("side = 0").groupBy(F.col("id").alias("hist_id")).agg(F.collect_list(F.struct("label")).alias("labels"))
+        held = held.join(labels, "hist_id", "left").withColumn("label", F.explode_outer("labels.label")).drop("labels")
+    width = max(RUN_POSITIONS, 4 * k)
+    first, last = (F.floor((F.col("pos") + d) / width) for d in (-k, k - 1))
+    runs = held.withColumn("run", F.explode(F.sequence(first, last))).groupBy("run").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "hist_id", "h_category", "h_ratio", "label"))).alias("held"))
+
+    spot = run.filter("side = 1").select(F.col("id").alias("cand_id"), "category", "ratio", "pos", F.floor(F.col("pos") / width).alias("run"))
+    low = F.greatest(F.col("pos") - (k - 1), F.lit(1))
+    if 0 in again:  # several rows of one position
+        around = F.filter("held", lambda x: (x["pos"] >= low) & (x["pos"] <= F.col("pos") + k))
+    else:
+        base = F.greatest(F.col("run") * width - (k - 1), F.lit(1))
+        around = F.slice("held", (low - base + 1).cast("int"), (F.col("pos") + k - low + 1).cast("int"))
+
+    def place(x: Column, i: Column) -> Column:
+        after = x["h_ratio"] > F.col("ratio")
+        # ties go to the closest position on the line
+        return F.when(x["hist_id"].isNotNull() & (x["h_category"] == F.col("category")), F.struct(
+            F.abs(x["h_ratio"] - F.col("ratio")).alias("gap"), after.alias("after"), F.when(after, x["pos"]).otherwise(-x["pos"]).alias("closest"), (i + 1).alias("at")))
+
+    # the places of at most 2k rows are sorted, the rows themselves are taken by place
+    met = spot.join(runs, "run").select("cand_id", "category", "ratio", "pos", around.alias("around"))
+    met = met.withColumn("best", F.slice(F.sort_array(F.array_compact(F.transform("around", place))), 1, k))
+    row = lambda x: F.struct(x["gap"].alias("gap"), x["after"].alias("after"), x["closest"].alias("closest"), "category", "ratio", *[
+        F.try_element_at("around", x["at"])[c].alias(c) for c in ("hist_id", "h_ratio", "label")])
+    if 1 not in again:
+        return met.select("cand_id", "around", "category", "ratio", F.posexplode("best").alias("nearest", "x")).select("cand_id", row(F.col("x")).alias("x"), "nearest").select(
+            "cand_id", "x.category", "x.ratio", "x.hist_id", "x.h_ratio", "x.label", (F.col("nearest") + 1).alias("nearest"))
+    near = met.select("cand_id", F.transform("best", row).alias("near"))
+    near = near.groupBy("cand_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    return near.select("cand_id", F.posexplode("near").alias("nearest", "x")).select(
+        "cand_id", "x.category", "x.ratio", "x.hist_id", "x.h_ratio", "x.label", (F.col("nearest") + 1).alias("nearest"))
 
 
 def offer_frontier(candidates: DataFrame, history: DataFrame, k: int = 5) -> DataFrame:

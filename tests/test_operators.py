@@ -180,6 +180,20 @@ def test_nearest_ratio_against_brute_force(spark):
     assert got == sorted(want)
 
 
+def test_nearest_ratio_moves_no_row_per_position(spark):
+    """Repeated ids share their k rows and carry all labels of their id; unique ones need no window over 2k rows a candidate."""
+    cand, hist = "cand_id string, category string, ratio double", "hist_id string, category string, ratio double, label string"
+    h = [(f"h{i:03}", "k", i / 100, "accept") for i in range(200)]
+    out = models.nearest_ratio(spark.createDataFrame([("a", "k", 0.5), ("b", "k", 1.99)], cand), spark.createDataFrame(h, hist), 3)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString().split("Generate posexplode")[0]
+    assert rows(out, "cand_id", "nearest", "hist_id") == [("a", 1, "h050"), ("a", 2, "h049"), ("a", 3, "h051"), ("b", 1, "h199"), ("b", 2, "h198"), ("b", 3, "h197")]
+    twice = models.nearest_ratio(spark.createDataFrame([("a", "k", 0.5), ("a", "k", 0.501), (None, "k", 0.0), (None, "k", 1.0)], cand),
+                                 spark.createDataFrame([*h, ("h050", "x", 0.1, "counter"), (None, "k", 0.5, "accept")], hist), 3)
+    got = sorted(((r["cand_id"] or "", r["nearest"], r["hist_id"], r["h_ratio"]) for r in twice.collect()))
+    assert got == [("", 1, "h100", 1.0), ("", 2, "h000", 0.0), ("", 3, "h001", 0.01), ("a", 1, "h050", 0.5), ("a", 2, "h050", 0.5), ("a", 3, "h050", 0.5)]
+    assert {r["label"] for r in twice.collect() if r["cand_id"] == "a"} == {"accept", "counter"}
+
+
 def nearest_by_force(train, new):
     """(id, nearest id, squared distance) in standardised space; absent components are 0."""
     dim = max(len(v or []) for _, v in train)

@@ -227,12 +227,15 @@ def history_rows(turns: DataFrame) -> DataFrame:
 
 def with_history(cases: DataFrame, turns: DataFrame) -> DataFrame:
     """Cases with the observed prefix as an array, for readers that need it. The
-    array is the result itself: its length is the length of the case's history."""
+    array is the result itself: its length is the length of the case's history.
+    A thread's turns meet its cases once, by thread, as one array, of which each case
+    takes its part there: prefixes are not shuffled."""
     item = F.struct("turn_index", "actor", "action", "amount")
-    upto = Window.partitionBy("thread_id").orderBy("turn_index").rowsBetween(Window.unboundedPreceding, 0)
-    hist = history_rows(turns).select("thread_id", F.col("turn_index").alias("round_number"),
-                                      F.collect_list(item).over(upto).alias("observed_history"))
-    return cases.join(hist, ["thread_id", "round_number"], "left")
+    whole = history_rows(turns).groupBy("thread_id").agg(F.array_sort(F.collect_list(item)).alias("_turns"))
+    ends = F.filter(F.sequence(F.lit(1), F.size("_turns")), lambda i: F.try_element_at("_turns", i)["turn_index"] == F.col("round_number"))
+    met = cases.join(whole, "thread_id", "left").withColumn("_end", F.explode_outer(ends))
+    rest = [c for c in cases.columns if c not in ("thread_id", "round_number")]
+    return met.select("thread_id", "round_number", *rest, F.when(F.col("_end").isNotNull(), F.slice("_turns", F.lit(1), F.col("_end"))).alias("observed_history"))
 
 
 #: Turns of a chunk of a thread's history.

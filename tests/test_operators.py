@@ -194,6 +194,18 @@ def test_nearest_ratio_moves_no_row_per_position(spark):
     assert {r["label"] for r in twice.collect() if r["cand_id"] == "a"} == {"accept", "counter"}
 
 
+def test_histories_are_not_shuffled_by_round(spark):
+    turns = spark.createDataFrame([(t, i, "buyer", "offer", float(i)) for t, n in (("x", 3), ("y", 1)) for i in range(1, n + 1)] + [("x", 2, "seller", "counter", 9.0)],
+                                  "thread_id string, turn_index int, actor string, action string, amount double")
+    cases = spark.createDataFrame([("x", 1, "a"), ("x", 2, "b"), ("x", 7, "c"), ("z", 1, "d"), (None, 1, "e")], "thread_id string, round_number int, row_id string")
+    out = tasks.with_history(cases, turns)
+    assert out.columns == ["thread_id", "round_number", "row_id", "observed_history"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any("hashpartitioning(" in x and "round_number" in x.split("hashpartitioning(")[1].split(")")[0] for x in plan.splitlines())
+    got = sorted((r["row_id"], None if r["observed_history"] is None else [x["turn_index"] for x in r["observed_history"]]) for r in out.collect())
+    assert got == [("a", [1]), ("b", [1, 2]), ("b", [1, 2, 2]), ("c", None), ("d", None), ("e", None)]
+
+
 def nearest_by_force(train, new):
     """(id, nearest id, squared distance) in standardised space; absent components are 0."""
     dim = max(len(v or []) for _, v in train)

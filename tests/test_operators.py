@@ -206,6 +206,14 @@ def test_histories_are_not_shuffled_by_round(spark):
     assert got == [("a", [1]), ("b", [1, 2]), ("b", [1, 2, 2]), ("c", None), ("d", None), ("e", None)]
 
 
+def test_tied_timestamps_stages_no_cases(spark):
+    from haggle.plans import QUERIES, registry
+
+    before = dict(registry._STAGED)
+    out = QUERIES["tied_timestamps"].run(spark, "/root/testdata/sf0.001")
+    assert registry._STAGED == before and "case-turns" not in "".join(out.inputFiles())
+
+
 def nearest_by_force(train, new):
     """(id, nearest id, squared distance) in standardised space; absent components are 0."""
     dim = max(len(v or []) for _, v in train)

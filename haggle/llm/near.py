@@ -38,6 +38,9 @@ BLOCK = 1 << 14
 #: Bytes of text of one cluster that are compared at once; more are compared block by block.
 BLOCK_BYTES = 16 << 20
 
+#: Bytes of text whose shingles are hashed at once: arrays of 8 bytes a byte of text stand beside it.
+TEXT_BYTES = 1 << 20
+
 _FACTORS = mix(np.arange(1, PLACES + FINE + 1, dtype=np.uint64)) | np.uint64(1)
 # Words are cut at space, tab, line feed, vertical tab, form feed and return.
 _WHITE = np.zeros(256, bool)
@@ -114,7 +117,7 @@ def _digest(shingles: np.ndarray) -> bytes:
 def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in text_slices(batch, "text"):
+            for i, j, data, offsets in text_slices(batch, "text", TEXT_BYTES):
                 sets = shingle_sets(data, offsets, size)
                 full = [k for k, s in enumerate(sets) if len(s)]
                 sig: list[bytes | None] = [None] * len(sets)
@@ -247,7 +250,7 @@ def _confirm(size: int, low: int, high: int):
 
     def of_cluster(rows: pa.Table) -> pa.RecordBatch | None:
         texts = pa.RecordBatch.from_arrays([rows.column("text").combine_chunks()], ["text"])
-        sets = [s for _, _, data, offsets in text_slices(texts, "text") for s in shingle_sets(data, offsets, size)]
+        sets = [s for _, _, data, offsets in text_slices(texts, "text", TEXT_BYTES) for s in shingle_sets(data, offsets, size)]
         digests = rows.column("digest").to_pylist()
         # rows that share an id come with the texts of all of them: one row of the class itself stays
         own = {c: k for k, c in enumerate(rows.column("c").to_pylist()) if _digest(sets[k]) == digests[k]}

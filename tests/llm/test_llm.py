@@ -158,6 +158,22 @@ def least_links(sets, low, high):
     return {i: root(i) for i in sets}
 
 
+def test_sketch_holds_little_beside_the_texts():
+    """Memory of the hashing task stands by its slices, not by its batch; slices change no signature."""
+    import tracemalloc
+
+    rng = random.Random(8)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(80)), "text": [" ".join(str(rng.randrange(10**6)) for _ in range(15_000)) for _ in range(80)]})
+    tracemalloc.start()
+    whole = pa.Table.from_batches(near._sketch(5)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    single = pa.Table.from_batches([x for i in range(80) for x in near._sketch(5)(iter([batch.slice(i, 1)]))])
+    assert whole.to_pydict() == single.to_pydict()
+    print(f"peak {peak / 1e6:.0f} MB of a batch of {batch.nbytes / 1e6:.0f} MB")
+    assert peak < 120e6
+
+
 def test_near(docs, texts, none, spark, monkeypatch):
     rng = random.Random(3)
     base = [f"w{k}" for k in range(120)]

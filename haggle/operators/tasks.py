@@ -252,25 +252,38 @@ def history_chunks(turns: DataFrame, size: int = CHUNK_TURNS) -> DataFrame:
 
 def with_history_tail(cases: DataFrame, turns: DataFrame, size: int = CHUNK_TURNS) -> DataFrame:
     """Cases with `chunks`, the whole chunks of their history, and `tail`, the fewer than `size`
-    turns behind those. Cases of a thread share its chunks, so output grows with turns."""
+    turns behind those. Cases of a thread share its chunks, so output grows with turns.
+    A case stands behind its last turn in one order of turns and cases, so what already lies
+    by thread is not shuffled; both are null where the thread has no such turn."""
     item = F.struct("turn_index", "actor", "action", "amount")
-    chunk = F.floor((F.col("turn_index") - 1) / size).cast("long")
-    upto = Window.partitionBy("thread_id", "_chunk").orderBy("turn_index").rowsBetween(Window.unboundedPreceding, 0)
-    rows = history_rows(turns).withColumn("_chunk", chunk).withColumn("_seen", F.collect_list(item).over(upto))
+    chunk = lambda at: F.floor((F.col(at) - 1) / size).cast("long")
+    rows = history_rows(turns).select("thread_id", F.col("turn_index").alias("_at"), chunk("turn_index").alias("_chunk"), F.lit(0).alias("_case"), item.alias("_turn"))
+    asked = cases.withColumns({"_at": F.col("round_number"), "_chunk": chunk("round_number"), "_case": F.lit(1)})
+    upto = Window.partitionBy("thread_id", "_chunk").orderBy("_at", "_case").rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(asked, allowMissingColumns=True).withColumn("_seen", F.collect_list("_turn").over(upto)).where("_case = 1")
+    known = F.col("thread_id").isNotNull() & (F.try_element_at("_seen", F.lit(-1))["turn_index"] == F.col("_at"))
     whole = F.size("_seen") == size
-    ends = rows.select("thread_id", F.col("turn_index").alias("round_number"), (F.col("_chunk") + whole.cast("long")).alias("chunks"),
-                       F.when(whole, F.array().cast(rows.schema["_seen"].dataType)).otherwise(F.col("_seen")).alias("tail"))
-    return cases.join(ends, ["thread_id", "round_number"], "left")
-
-
-def expand_history(cases: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """`keys` of cases with their whole observed_history as an array, from chunks and tail: for
-    readers that want it, at the length of the history itself."""
-    pieces = cases.select(*keys, "thread_id", "chunks", "tail")
-    held = pieces.where("chunks > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    packed = held.join(chunks, ["thread_id", "chunk"]).groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "turns"))), lambda x: x["turns"])).alias("_before"))
-    out = pieces.join(packed, keys, "left")
-    return out.select(*keys, F.concat(F.coalesce("_before", F.array().cast(packed.schema["_before"].dataType)), "tail").alias("observed_history"))
+    rest = [c for c in cases.columns if c not in ("thread_id", "round_number")]
+    tail = F.when(whole, F.array().cast(both.schema["_seen"].dataType)).otherwise(F.col("_seen"))
+    return both.select("thread_id", "round_number", *rest, F.when(known, F.col("_chunk") + whole.cast("long")).alias("chunks"), F.when(known, tail).alias("tail"))
+
+
+def expand_history(cases: DataFrame, chunks: DataFrame, keys: list[str], keep: list[str] | None = None) -> DataFrame:
+    """`keys` of cases, which tell cases of a thread apart, and columns to `keep`, with their whole
+    observed_history as an array, from chunks and tail: for readers that want it, at the length of
+    the history itself. A thread's chunks meet its cases once, by thread, as one array, of which each
+    case takes its part there. Where keys repeat, a chunk comes once for each of their rows."""
+    names = list(dict.fromkeys([*keys, *(keep or [])]))
+    pieces = cases.select(*dict.fromkeys([*names, "thread_id", "chunks", "tail"]))
+    packed = chunks.where("chunk >= 0").groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "turns"))).alias("_packed"))
+    pieces = pieces.withColumn("_upto", F.collect_list("chunks").over(Window.partitionBy("thread_id", *keys)))
+    taken = lambda x: F.flatten(F.array_repeat(x["turns"], F.size(F.filter("_upto", lambda n: n > x["chunk"]))))
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    before = F.when(known, F.flatten(F.transform("_packed", taken)))
+    met = pieces.join(packed, "thread_id", "left")
+    return met.select(*names, F.concat(F.coalesce(before, F.array().cast(chunks.schema["turns"].dataType)), "tail").alias("observed_history"))
 
 
 def task_manifest(cases: DataFrame, excluded: DataFrame | None = None) -> DataFrame:

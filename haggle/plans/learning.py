@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from haggle.operators import guards as G
@@ -212,9 +213,12 @@ def _(spark, sf):
     turns = norm_turns(spark, sf)
     cases = K.build_cases(turns, norm_listings(spark, sf), thread_probe(spark, sf)).filter("target = 'seller_next_action'")
     tails = K.with_history_tail(cases, turns, 2)
-    whole = K.expand_history(tails, K.history_chunks(turns, 2), ["row_id"])
+    whole = K.expand_history(tails, K.history_chunks(turns, 2), ["row_id"], ["thread_id", "chunks", "tail"])
     path = F.array_join(F.transform("observed_history", lambda x: F.concat_ws("-", x["actor"], x["action"])), ",")
-    return tails.select("row_id", "chunks", F.size("tail").cast("long").alias("tail_turns")).join(whole.select("row_id", path.alias("path")), "row_id")
+    # rows of one row_id meet each of its histories: a join by row_id, done inside the thread
+    histories = F.collect_list(F.struct("path")).over(Window.partitionBy("thread_id", "row_id"))
+    met = whole.withColumn("path", path).withColumn("_met", histories).withColumn("_met", F.explode("_met"))
+    return met.select("row_id", "chunks", F.size("tail").cast("long").alias("tail_turns"), "_met.path")
 
 
 # ---- ranks and splits

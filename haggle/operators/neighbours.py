@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from haggle.session import scratch_path
 
 #: Training rows of one task's piece of a cell, and scored rows that share a copy of it.
-PIECE_ROWS, ASK_ROWS = 1 << 16, 1 << 18
+PIECE_ROWS, ASK_ROWS = 1 << 16, 1 << 16
 
 #: Cells at least and at most, and rows that a cell is meant to have in between.
-LEAST_CELLS, MOST_CELLS, CELL_ROWS = 8, 1024, 4096
+LEAST_CELLS, MOST_CELLS, CELL_ROWS = 8, 1024, 1 << 15
 
 #: Numbers in all pivots at most (8 MB); the pivots are the only rows that tasks share.
 PIVOT_NUMBERS = 1 << 20
@@ -30,6 +30,9 @@ PIVOT_NUMBERS = 1 << 20
 #: Training rows compared first, those whose gap is most like the row's own.
 FIRST_LOOK = 256
 
+#: Asking rows of one matrix product, held rows of one at most, and numbers in a matrix of vectors at most (8 MB).
+ASK_BLOCK, BLOCK_ROWS, MATRIX_NUMBERS = 256, 4096, 1 << 20
+
 #: Room for rounding in bounds.
 SLACK = 1e-9
 
@@ -96,28 +99,53 @@ def _others(pivots: np.ndarray, scale: np.ndarray, low: np.ndarray, high: np.nda
     return run
 
 
+def _nearest(vecs: np.ndarray, ids: np.ndarray, asks: np.ndarray, scale: np.ndarray, best: np.ndarray, best_id: np.ndarray) -> None:
+    """Lower best and best_id of a block of asking rows to the nearest of some held rows.
+
+    One matrix product gives all distances but for rounding, which `room` bounds; only rows that
+    may be the nearest within it are compared component by component, and these comparisons decide."""
+    centre = vecs.mean(axis=0)
+    x, y = (vecs - centre) / scale, (asks - centre) / scale
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    near = yy[:, None] + xx - 2.0 * (y @ x.T)
+    room = (32 + 8 * len(scale)) * np.finfo(float).eps * (yy[:, None] + xx)
+    bound = np.minimum(best * (1 + SLACK), (near + room).min(axis=1))
+    row, col = np.nonzero(~(near - room > bound[:, None]))
+    step = max(1, MATRIX_NUMBERS // len(scale))
+    for at in range(0, len(row), step):
+        r, c = row[at:at + step], col[at:at + step]
+        d = (((vecs[c] - asks[r]) / scale) ** 2).sum(axis=1)
+        order = np.lexsort((ids[c], d, r))
+        r, c, d = r[order], c[order], d[order]
+        first = np.append(True, r[1:] != r[:-1])
+        r, c, d = r[first], c[first], d[first]
+        less = (d < best[r]) | ((d == best[r]) & (ids[c] < best_id[r]))
+        best[r[less]], best_id[r[less]] = d[less], ids[c[less]]
+
+
 def _look(dim: int, scale: np.ndarray):
     """The nearest held row of every asking row of a piece, by squared distance, and how many were compared."""
+    block = max(1, min(BLOCK_ROWS, MATRIX_NUMBERS // dim))
 
-    def nearest(v: np.ndarray, gap: float, best: float, held: tuple) -> tuple[float, int, int]:
+    def nearest(asks: np.ndarray, gap: np.ndarray, best: np.ndarray, held: tuple) -> tuple[np.ndarray, np.ndarray, int]:
         gaps, ids, vecs = held
-        found, tested = (best, np.iinfo(np.int64).max), 0
+        best, best_id, tested = best.copy(), np.full(len(best), np.iinfo(np.int64).max), 0
 
         def compare(a: int, b: int) -> None:
-            nonlocal found, tested
-            if a < b:
-                d = (((vecs[a:b] - v) / scale) ** 2).sum(axis=1)
-                least = d.min()
-                found = min(found, (float(least), int(ids[a:b][d == least].min())))
-                tested += b - a
-
-        at = int(np.searchsorted(gaps, gap))
-        a, b = max(0, at - FIRST_LOOK // 2), min(len(gaps), at + FIRST_LOOK // 2)
+            nonlocal tested
+            for at in range(a, b, block):
+                end = min(b, at + block)
+                _nearest(vecs[at:end], ids[at:end], asks, scale, best, best_id)
+                tested += end - at
+
+        # the block's rows are sorted by gap, and so are the held ones
+        a = max(0, int(np.searchsorted(gaps, gap[0])) - FIRST_LOOK // 2)
+        b = min(len(gaps), int(np.searchsorted(gaps, gap[-1])) + FIRST_LOOK // 2)
         compare(a, b)
-        room = found[0] ** 0.5 * (1 + SLACK) + SLACK * gap
-        compare(min(a, int(np.searchsorted(gaps, gap - room, "left"))), a)
-        compare(b, max(b, int(np.searchsorted(gaps, gap + room, "right"))))
-        return found[0], found[1], tested
+        room = np.sqrt(best) * (1 + SLACK) + SLACK * gap
+        compare(min(a, int(np.searchsorted(gaps, (gap - room).min(), "left"))), a)
+        compare(b, max(b, int(np.searchsorted(gaps, (gap + room).max(), "right"))))
+        return best, best_id, tested
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts, held = None, [], None
@@ -136,9 +164,13 @@ def _look(dim: int, scale: np.ndarray):
                     if held is None:
                         held = tuple(np.concatenate(x) for x in zip(*parts))
                     best = run_of.column("best").to_numpy()
-                    out += [(int(i), *nearest(v, g, x, held)) for i, v, g, x in zip(ids, vecs, gaps, best)]
-            kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], t) for n, t in enumerate(kinds)], ["id", "distance", "nearest_id", "tested"])
+                    for a in range(0, len(ids), ASK_BLOCK):
+                        part = slice(a, a + ASK_BLOCK)
+                        d, i, n = nearest(vecs[part], gaps[part], best[part], held)
+                        out.append((ids[part], d, i, np.full(len(d), n)))
+            kinds = {"id": pa.int64(), "distance": pa.float64(), "nearest_id": pa.int64(), "tested": pa.int64()}
+            cols = [np.concatenate(x) for x in zip(*out)] if out else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds.values())], list(kinds))
 
     return run
 

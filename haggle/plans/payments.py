@@ -144,10 +144,17 @@ def _(spark, sf):
 # ---- streams: the events are written as files of a few batches and drained
 
 
-def _as_stream(spark, df, name: str, files: int = 2):
+def _in_files(spark, df, path: str, batches: int = 2) -> int:
+    """Write df in as many files a batch as there are cores, rows dealt by hash; returns how many those are."""
+    each = max(1, spark.sparkContext.defaultParallelism)
+    df.repartition(batches * each, *df.columns).write.parquet(path)
+    return each
+
+
+def _as_stream(spark, df, name: str):
     path = scratch_path(spark, name)
-    df.repartition(files).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    each = _in_files(spark, df, path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 @query("lifecycle_stream", "SELECT * FROM v_states")
@@ -177,12 +184,12 @@ def _(spark, sf):
     amount = F.when(F.col("event_type") == "paid", F.col("paid_total_minor")).when(F.col("event_type") == "refund_recorded", F.lit(500)).otherwise(0).cast("long")
     e = pay(spark, sf).select("transaction_id", "event_type", "occurred_at", amount.alias("amount_minor"), "return_exposure_state")
     path = scratch_path(spark, "mature-in")
-    e.repartition(2).write.parquet(path)
+    each = _in_files(spark, e, path)
     # events of a time beyond all windows move the watermark past every timer
     for at in ("2100-01-01", "2100-01-02"):
         last = e.limit(1).select(F.lit("last").alias("transaction_id"), F.lit("seen").alias("event_type"), F.lit(at).cast("timestamp").alias("occurred_at"), F.lit(0).cast("long").alias("amount_minor"), "return_exposure_state")
         last.coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path).withWatermark("occurred_at", "3650 days")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", each).parquet(path).withWatermark("occurred_at", "3650 days")
     out, cp = scratch_path(spark, "mature-out"), scratch_path(spark, "mature-cp")
     S.run_to_table(S.maturity_stream(stream, 14, keep_days=36500), out, cp, mode="append")
     return spark.read.parquet(out).drop("batch")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from haggle.operators.lifecycle import TRANSITIONS, WEBHOOK_STATES, reachable
+from haggle.streaming.pages import by_page
 
 _REACH = {s: set(reachable(s)) for s in TRANSITIONS}
 TERMINAL = [s for s, nxt in TRANSITIONS.items() if s and not nxt]
@@ -74,15 +75,15 @@ class _Lifecycle(StatefulProcessor):
         self.events = handle.getMapState("events", "event_id string", "occurred bigint, received bigint, transition_to string, currency string, has_conversion boolean")
         self.head = handle.getValueState("head", "occurred bigint, received bigint, event_id string, state string, applied bigint, pending bigint, errors bigint, currency string, events bigint")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[tuple]:
         head = self.head.get()
         last, at, count = (tuple(head[:3]), tuple(head[3:8]), head[8]) if head else (None, _START, 0)
         fresh: dict[str, tuple] = {}
         for row in rows:
             i = row["event_id"]
             if i not in fresh and not (head and self.events.containsKey((i,))):
-                o, r = (_NEVER if row[c] is None else row[c] for c in ("_occurred", "_received"))
-                fresh[i] = (o, r, i, row["transition_to"], row["currency"], bool(row["has_conversion"]))
+                o, r = row["_occurred"], row["_received"]
+                fresh[i] = (_NEVER if o is None else o, _NEVER if r is None else r, i, row["transition_to"], row["currency"], bool(row["has_conversion"]))
         new = sorted(fresh.values())
         if not new and head:
             return
@@ -97,9 +98,9 @@ class _Lifecycle(StatefulProcessor):
         self.head.update((*last, *at, count))
         if self.retire_ms is not None and at[0] in TERMINAL:
             self.handle.registerTimer(max(last[0] // 1000 + self.retire_ms, timerValues.getCurrentWatermarkInMs() + 1))
-        yield Row(merchant_namespace=key[0], transaction_id=key[1], current_state=at[0], events=count, applied=at[1], pending=at[2], errors=at[3])
+        yield *key, at[0], count, *at[1:4]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[tuple]:
         head = self.head.get()
         # a later event has its own timer, or reopened the transaction
         if head and head[3] in TERMINAL and head[0] // 1000 + self.retire_ms <= expiredTimerInfo.getExpiryTimeInMs():
@@ -118,9 +119,9 @@ def lifecycle_stream(events: DataFrame, retire_after: str | None = None) -> Data
     a watermark; without it their events stay."""
     millis = int(pd.Timedelta(retire_after).total_seconds() * 1000) if retire_after else None
     timed = events.withColumns({"_occurred": _micros("occurred_at"), "_received": _micros("received_at")})
-    return timed.groupBy("merchant_namespace", "transaction_id").transformWithState(
-        _Lifecycle(millis), "merchant_namespace string, transaction_id string, current_state string, events long, applied long, pending long, errors long",
-        "Update", "EventTime" if retire_after else "None")
+    return by_page(timed, ["merchant_namespace", "transaction_id"], ["event_id", "_occurred", "_received", "transition_to", "currency", "has_conversion"], _Lifecycle(millis),
+                   "merchant_namespace string, transaction_id string, current_state string, events long, applied long, pending long, errors long",
+                   "Update", "EventTime" if retire_after else "None", "occurred_at" if retire_after else None)
 
 
 class _Ingest(StatefulProcessor):
@@ -133,7 +134,7 @@ class _Ingest(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.bodies = handle.getMapState("bodies", "body string", "n bigint, first bigint", self.keep_ms)
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[tuple]:
         fresh: dict[str, tuple[int, int]] = {}
         for row in rows:
             body = row["body_hash"] or ""
@@ -146,7 +147,7 @@ class _Ingest(StatefulProcessor):
             held[body] = (n, first)
             self.bodies.updateValue((body,), held[body])
         _, accepted, n = min((first, body, n) for body, (n, first) in held.items())
-        yield Row(idempotency_key=key[0], accepted_hash=accepted or None, replays=n - 1, conflicts=sum(m for m, _ in held.values()) - n)
+        yield key[0], accepted or None, n - 1, sum(m for m, _ in held.values()) - n
 
     def close(self) -> None:
         pass
@@ -158,8 +159,8 @@ def ingest_stream(events: DataFrame, key: str, body_hash: str, keep: str | None
     which the store forgets a body that did not come again."""
     millis = int(pd.Timedelta(keep).total_seconds() * 1000) if keep else None
     src = events.select(F.col(key).cast("string").alias("idempotency_key"), F.col(body_hash).alias("body_hash"), "ordinal")
-    return src.groupBy("idempotency_key").transformWithState(
-        _Ingest(millis), "idempotency_key string, accepted_hash string, replays long, conflicts long", "Update", "ProcessingTime" if keep else "None")
+    return by_page(src, ["idempotency_key"], ["body_hash", "ordinal"], _Ingest(millis),
+                   "idempotency_key string, accepted_hash string, replays long, conflicts long", "Update", "ProcessingTime" if keep else "None")
 
 
 class _Maturity(StatefulProcessor):
@@ -172,10 +173,10 @@ class _Maturity(StatefulProcessor):
         self.handle = handle
         self.held = handle.getValueState("held", "paid bigint, total bigint, refund bigint, exposed boolean, returned bigint, reported boolean, seen bigint")
 
-    def _row(self, key, status: str, net: int) -> Row:
-        return Row(transaction_id=key[0], status=status, net_revenue_minor=net)
+    def _row(self, key, status: str, net: int) -> tuple:
+        return key[0], status, net
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[tuple]:
         paid, total, refund, exposed, returned, reported, seen = self.held.get() or (None, 0, 0, False, _NEVER, False, 0)
         before = total - refund, exposed
         for run in batched(rows, _RUN):
@@ -197,7 +198,7 @@ class _Maturity(StatefulProcessor):
             self.handle.registerTimer(max(paid + self.span_ms, now))
         self.handle.registerTimer(max(seen + self.span_ms + self.keep_ms, now))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[tuple]:
         held = self.held.get()
         if not held:
             return
@@ -221,8 +222,8 @@ def maturity_stream(payments: DataFrame, window_days: int, keep_days: int = 365)
     for its closing; `stale` when a refund or return comes after that. A transaction
     leaves the store `keep_days` after window and last event, also one that was never
     paid; one with an open return stays."""
-    return payments.withColumn("_occurred", _micros("occurred_at")).groupBy("transaction_id").transformWithState(
-        _Maturity(window_days * DAY, keep_days * DAY), "transaction_id string, status string, net_revenue_minor long", "Append", "EventTime")
+    return by_page(payments.withColumn("_occurred", _micros("occurred_at")), ["transaction_id"], ["event_type", "_occurred", "amount_minor", "return_exposure_state"],
+                   _Maturity(window_days * DAY, keep_days * DAY), "transaction_id string, status string, net_revenue_minor long", "Append", "EventTime", "occurred_at")
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> int:

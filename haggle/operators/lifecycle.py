@@ -206,7 +206,41 @@ def transaction_states(replayed: DataFrame) -> DataFrame:
 def admit(history: DataFrame, new: DataFrame) -> DataFrame:
     """Whether each new event may join its transaction (T4): it must not undo
     what was applied, and must itself apply, or wait as a webhook. At most one
-    new event per transaction is judged at a time."""
+    new event per transaction is judged at a time. A transaction's events meet once and are
+    folded there without and with the new one; those too long for an array (as in
+    `replay_lifecycle`) are replayed over ranges, and the outcomes joined."""
+    columns = [*TX, *_ORDER, "transition_to", "currency", "has_conversion"]
+    events = history.select(*columns, F.lit(False).alias("_new")).unionByName(new.select(*columns, F.lit(True).alias("_new")))
+    # events without a transaction's name are in none
+    events = events.filter(" AND ".join(f"{c} IS NOT NULL" for c in TX))
+    sizes = events.groupBy(*TX).agg(F.count(F.lit(1)).alias("_n"))
+    long = sizes.where(F.col("_n") > min(FOLD_EVENTS, hot_limit(events))).select(*TX)
+    if long.isEmpty():
+        return _admit_arrays(events)
+    return _admit_arrays(events.join(long, TX, "left_anti")).unionByName(_admit_long(history.join(long, TX, "left_semi"), new.join(long, TX, "left_semi")))
+
+
+def _replayed(events: Column) -> Column:
+    """Outcomes of an array of events, in replay order."""
+    first = F.array_min(F.transform(F.filter(events, lambda x: x["currency"].isNotNull()), lambda x: F.struct(*[x[c].alias(c) for c in _ORDER], x["currency"].alias("currency"))))["currency"]
+    bad = lambda x: F.coalesce((x["currency"] != first) & ~x["has_conversion"], F.lit(False))
+    return _fold(F.array_sort(F.transform(events, lambda x: F.struct(*[x[c].alias(c) for c in _ORDER], x["transition_to"].alias("transition_to"), bad(x).alias("_bad")))))["out"]
+
+
+def _admit_arrays(events: DataFrame) -> DataFrame:
+    packed = events.groupBy(*TX).agg(F.collect_list(F.struct(*_ORDER, "transition_to", "currency", "has_conversion", "_new")).alias("_e"))
+    both = packed.select(*TX, F.transform(F.filter("_e", lambda x: x["_new"]), lambda x: x["event_id"]).alias("_mine"),
+                         _replayed(F.filter("_e", lambda x: ~x["_new"])).alias("_before"), _replayed(F.col("_e")).alias("_after"))
+    applied = lambda c: F.transform(F.filter(c, lambda x: x["outcome"] == "applied"), lambda x: x["event_id"])
+    ids = both.select(*TX, "_mine", "_after", applied("_before").alias("_was"), applied("_after").alias("_is"))
+    lost = F.size(F.filter("_was", lambda i: ~F.coalesce(F.array_contains(F.col("_is"), i), F.lit(False)))).cast("long")
+    mine = F.flatten(F.transform("_mine", lambda i: F.filter("_after", lambda x: x["event_id"] == i)))
+    rows = ids.select(*TX, lost.alias("invalidated"), F.explode(mine).alias("_x"))
+    ok = (F.col("invalidated") == 0) & F.col("_x.outcome").isin("applied", "pending")
+    return rows.select(*TX, "_x.event_id", "_x.outcome", "invalidated", ok.alias("admitted"))
+
+
+def _admit_long(history: DataFrame, new: DataFrame) -> DataFrame:
     before = replay_lifecycle(history).filter("outcome = 'applied'").select(*TX, "event_id")
     after = replay_lifecycle(history.unionByName(new)).select(*TX, "event_id", "outcome")
     lost = before.join(after.filter("outcome = 'applied'"), [*TX, "event_id"], "left_anti").groupBy(*TX).agg(F.count(F.lit(1)).alias("invalidated"))

@@ -411,3 +411,37 @@ def test_history_chunks_stay_with_their_thread(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == [("none", None), ("null", None), ("stranger", None), ("x", [1, 2, 1, 2, 3]), ("x", [1, 2, 1, 2, 3]), ("y", [1, 2, 3, 4, 5]), ("z", [1, 2, 3, 4])]
     assert sorted((r["row_id"], r["chunks"], len(r["tail"])) for r in tails.distinct().collect() if r["chunks"] is not None) == [("x", 1, 1), ("y", 2, 1), ("z", 2, 0)]
+
+
+def test_admit_meets_a_transaction_once(spark):
+    """Events of a transaction are shuffled once, and folded as they are over ranges; odd rows included."""
+    draw = random.Random(5)
+    states = lifecycle.STATES[1:]
+    schema = "merchant_namespace string, transaction_id string, event_id string, occurred_at timestamp, received_at timestamp, transition_to string, currency string, has_conversion boolean"
+    at = lambda d: None if d == 9 else f"2024-01-{d + 1:02d} 00:00:00"
+    path = ["offer_submitted", "merchant_accepted", "checkout_created", "order_created", "paid", "mature"]
+
+    def event(t, i, d):
+        to = path[d] if d < 6 and draw.random() < 0.8 else draw.choice(states)
+        return ("m" if t % 7 else None, f"t{t}", None if draw.random() < 0.05 else f"e{i % 5 if draw.random() < 0.1 else i}", at(d), at(d), to, draw.choice(["USD", "USD", "EUR", None]), draw.choice([True, False, None]))
+
+    history = [event(t, d, draw.choice([d, d, 9])) for t in range(60) for d in range(draw.randrange(0, 7))]
+    new = [event(t, 20, draw.randrange(0, 7)) for t in range(60)]
+    # one that undoes what was applied behind it
+    history += [("m", "x", f"x{d}", at(d), at(d), to, "USD", False) for d, to in ((0, "offer_submitted"), (2, "merchant_accepted"), (3, "checkout_created"))]
+    new.append(("m", "x", "x1", at(1), at(1), "cancelled", "USD", False))
+    text = schema.replace("timestamp", "string")
+    h, n = (spark.createDataFrame(x, text).withColumns({c: F.col(c).cast("timestamp") for c in ("occurred_at", "received_at")}) for x in (history, new))
+    got = lifecycle.admit(h, n)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    rows = lambda df: sorted(map(str, df.collect()))
+    known = lambda df: df.filter("merchant_namespace IS NOT NULL")
+    assert rows(got) == rows(lifecycle._admit_long(known(h), known(n))) and 0 < got.filter("admitted").count() < got.count()
+    assert [r["invalidated"] for r in got.filter("transaction_id = 'x'").collect()] == [2]
+    timed = [x.filter("occurred_at IS NOT NULL AND event_id IS NOT NULL") for x in (h, n)]
+    want = rows(lifecycle.admit(*timed))
+    spark.conf.set("haggle.hot.rows", "4")
+    try:
+        assert rows(lifecycle.admit(*timed)) == want
+    finally:
+        spark.conf.unset("haggle.hot.rows")

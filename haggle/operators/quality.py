@@ -137,11 +137,11 @@ def normalize_turns(raw: DataFrame, text_order: bool = False, drop_duplicates: b
     they share the thread and are neighbours in its order.
 
     Cells are cast once, before the one shuffle, which then moves typed columns
-    instead of text."""
+    instead of text, and the rows' hashes as bytes, which sort as their digits do."""
     ids = {"thread_id": "anon_thread_id", "listing_id": "anon_item_id", "buyer_id": "anon_byr_id", "seller_id": "anon_slr_id"}
     cells = [src for src, _ in TURN_CASTS.values()]
     cast = raw.select(
-        row_hash(raw.columns).alias("source_row_id"), *[F.col(c).alias(n) for n, c in ids.items()],
+        F.unhex(row_hash(raw.columns)).alias("source_row_id"), *[F.col(c).alias(n) for n, c in ids.items()],
         F.col("offr_type_id").cast("int").alias("_k"), F.col("status_id").cast("int").alias("status_id"),
         *[fn(src).alias(f"_c_{name}") for name, (src, fn) in TURN_CASTS.items()], *[_text(c).isNotNull().alias(f"_has_{c}") for c in cells],
         (F.col("offr_price") if text_order else F.lit(None)).alias("_text"))
@@ -158,7 +158,7 @@ def normalize_turns(raw: DataFrame, text_order: bool = False, drop_duplicates: b
         d = d.withColumn("turn_index", F.col("turn_index").cast("int"))
     else:
         d = done(with_row_number(g, "turn_index"))
-    coded = decode_codes(d, "_k", "status_id")
+    coded = decode_codes(d.withColumn("source_row_id", F.hex("source_row_id")), "_k", "status_id")
     good = coded.filter(~F.col("_bad")).select("source_row_id", *ids, "turn_index", "actor", "action", "status", "status_id", *TURN_CASTS,
                                                F.lit(version).alias("transformation_version"))
     return good, coded.filter("_bad").select("source_row_id", "thread_id", "turn_index", F.lit("thread_normalization_error").alias("reason"))

@@ -14,6 +14,9 @@ from haggle.session import scratch_path, written
 from haggle.sources import files as S
 from haggle.sources.tables import listings_view, table, thread_probe, turns_view
 
+#: Rows of a file of the text source; a packed file is read by one task.
+FILE_ROWS = 100_000
+
 T_DATE, T_TIME = "ddMMMyyyy", "ddMMMyyyy HH:mm:ss"
 
 
@@ -28,19 +31,19 @@ def raw_threads(spark, sf):
         "status_id": F.when(k % 89 == 0, "5").otherwise(F.col("status_id").cast("string")), "offr_price": F.coalesce(F.col("offer_price").cast("string"), F.lit("")),
         "src_cre_date": stamp("event_time", T_TIME), "response_time": stamp("response_time", T_TIME), "slr_hist": F.col("l_suppkey").cast("string"), "byr_hist": F.col("l_partkey").cast("string"),
         "any_mssg": F.when(k % 79 == 0, "2").otherwise((k % 2).cast("string")), "byr_us": F.lit("1")}
-    once = t.select(*[c.alias(n) for n, c in cells.items()])
-    again = t.filter(k % 83 == 0).select(*[c.alias(n) for n, c in cells.items()])
-    return once.unionByName(again)
+    # a row that comes twice is made where it is read, so that the turns are joined once
+    twice = t.withColumn("_copy", F.explode(F.when(k % 83 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    return twice.select(*[c.alias(n) for n, c in cells.items()])
 
 
 view("v_raw", """SELECT *, l_partkey % 97 = 0 AS blank, l_partkey % 89 = 0 AS odd, l_partkey % 79 = 0 AS flag FROM v_turns""")
 
 
 def staged_threads(spark, sf):
-    """The text source as CSV files in the shared folder, one per core."""
+    """The text source as packed CSV files in the shared folder, written where the turns lie: the text
+    is several times as large as the tables, so it is neither shuffled nor stored as it is."""
     def write(path: str) -> None:
-        spread = raw_threads(spark, sf).repartition(spark.sparkContext.defaultParallelism)
-        spread.write.option("header", True).option("emptyValue", "").csv(path)
+        raw_threads(spark, sf).write.option("header", True).option("emptyValue", "").option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).csv(path)
 
     return S.read_threads(spark, staged(spark, sf, "threads-csv", ("lineitem", "orders"), write)).drop(S.CORRUPT)
 

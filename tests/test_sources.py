@@ -214,3 +214,23 @@ def test_header_reports_sort_no_lines(spark, tmp_path):
     assert {r["file"].rsplit("/", 1)[1]: (r["unexpected"], r["order_matches"]) for r in df.collect()} == {"a.csv": ([], True), "b.csv": (["x"], False)}
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "Sort [" not in plan
+
+
+def test_text_source_is_packed_where_turns_lie(spark, tmp_path):
+    """Rows that come twice stay two, and no text of turns is shuffled or stored unpacked."""
+    from collections import Counter
+    from datetime import datetime
+
+    from haggle.plans import cleaning
+
+    day = datetime(2024, 1, 1)
+    spark.createDataFrame([(k, k % 3, "F", 10.0, day, "1-URGENT") for k in range(1, 9)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    lines = [(k, 83 if n == 0 else k + n, 5, n, 3.0, 100.0, 0.5, 0.0 if k == 2 else 0.1, "N", "O", day) for k in range(1, 9) for n in range(3)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz").write.parquet(str(tmp_path / "lineitem.parquet"))
+    text = cleaning.raw_threads(spark, str(tmp_path))
+    assert "RoundRobinPartitioning" not in text._jdf.queryExecution().executedPlan().toString() and "Union" not in text._jdf.queryExecution().executedPlan().toString()
+    got = cleaning.staged_threads(spark, str(tmp_path))
+    files = got.inputFiles()
+    assert files and all(f.endswith(".csv.gz") for f in files)
+    plain = lambda df: Counter(tuple(v or None for v in r) for r in df.collect())
+    assert plain(got) == plain(text) and got.count() == 8 * 4 and sorted(plain(got).values()) == [1] * 16 + [2] * 8
